@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, lm_score, near_dedup
+from . import decontaminate, language_id, lm_score, near_dedup, sentencepiece_viterbi
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_documents(_documents(spark, sf_dir))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_viterbi.encode_documents(_documents(spark, sf_dir)).drop("ids")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -30,7 +34,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op6_decontaminate": op6_decontaminate, "op7_lm_score": op7_lm_score, "op10_near_dedup": op10_near_dedup}
+    return {"op1_language_id": op1_language_id, "op3_sentencepiece": op3_sentencepiece, "op6_decontaminate": op6_decontaminate, "op7_lm_score": op7_lm_score, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
