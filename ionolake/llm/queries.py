@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, lm_score, near_dedup, pii, sentencepiece_viterbi
+from . import decontaminate, language_id, license_scan, lm_score, near_dedup, pii, quality, sentencepiece_viterbi, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.encode_documents(_documents(spark, sf_dir)).drop("ids")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_documents(spark, sf_dir))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licences(_documents(spark, sf_dir))
 
@@ -33,6 +37,10 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(_documents(spark, sf_dir))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_counts(_documents(spark, sf_dir))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scrub_report(_documents(spark, sf_dir))
 
@@ -42,7 +50,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op3_sentencepiece": op3_sentencepiece, "op5_license_scan": op5_license_scan, "op6_decontaminate": op6_decontaminate, "op7_lm_score": op7_lm_score, "op9_pii": op9_pii, "op10_near_dedup": op10_near_dedup}
+    return {"op1_language_id": op1_language_id, "op3_sentencepiece": op3_sentencepiece, "op4_quality": op4_quality, "op5_license_scan": op5_license_scan, "op6_decontaminate": op6_decontaminate, "op7_lm_score": op7_lm_score, "op8_token_counts": op8_token_counts, "op9_pii": op9_pii, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
