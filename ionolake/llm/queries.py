@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, lm_score, near_dedup, pii, quality, sentencepiece_viterbi, token_counts
+from . import decontaminate, language_id, license_scan, lm_score, near_dedup, pii, quality, sentencepiece_viterbi, token_counts, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # texts are long: fewer rows in each Arrow batch keep the Python workers small
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -17,6 +20,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_documents(_documents(spark, sf_dir))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.encode_documents(_documents(spark, sf_dir)).drop("ids")
 
@@ -50,8 +57,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op3_sentencepiece": op3_sentencepiece, "op4_quality": op4_quality, "op5_license_scan": op5_license_scan, "op6_decontaminate": op6_decontaminate, "op7_lm_score": op7_lm_score, "op8_token_counts": op8_token_counts, "op9_pii": op9_pii, "op10_near_dedup": op10_near_dedup}
+    return {"op1_language_id": op1_language_id, "op2_topk": op2_topk, "op3_sentencepiece": op3_sentencepiece, "op4_quality": op4_quality, "op5_license_scan": op5_license_scan, "op6_decontaminate": op6_decontaminate, "op7_lm_score": op7_lm_score, "op8_token_counts": op8_token_counts, "op9_pii": op9_pii, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": license_scan.oracle_sql()}
+    return {"op2_topk": topk.ORACLE_SQL, "op5_license_scan": license_scan.oracle_sql()}
