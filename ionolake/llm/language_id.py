@@ -102,10 +102,10 @@ def train(docs: DataFrame, learn):
     return _fit(x, lang[order])
 
 
-def identify(docs: DataFrame, model) -> DataFrame:
-    """docs with lang_pred and score added, by a model of train()."""
+def identify(docs: DataFrame, model, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """docs with the predicted language and its score added under those names (replacing columns of such names), by a model of train()."""
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return docs.withColumns({lang_name: F.lit("und"), score_name: F.lit(0.0)})
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
@@ -128,8 +128,8 @@ def identify(docs: DataFrame, model) -> DataFrame:
 
     p = predict(F.coalesce("text", F.lit("")))
     known = _has_letter("text")
-    out = docs.withColumn("_p", p)
-    return out.withColumns({"lang_pred": F.when(known, F.col("_p.lang_pred")).otherwise("und"), "score": F.when(known, F.col("_p.score")).otherwise(0.0)}).drop("_p")
+    out = docs.withColumn("_predicted", p)
+    return out.withColumns({lang_name: F.when(known, F.col("_predicted.lang_pred")).otherwise("und"), score_name: F.when(known, F.col("_predicted.score")).otherwise(0.0)}).drop("_predicted")
 
 
 def predict_documents(docs: DataFrame) -> DataFrame:

@@ -223,8 +223,8 @@ def decode_column(model):
     return decode
 
 
-def encode_documents(docs: DataFrame, model=None) -> DataFrame:
-    """doc_id, ids, n_tokens, n_bytes (byte pieces among them), ids_hash, round_trip: a row for each row of docs."""
+def encode_documents(docs: DataFrame, model=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids, n_tokens, n_bytes (byte pieces among them), ids_hash, round_trip, and the columns to keep: a row for each row of docs."""
     shared = model or load(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +241,8 @@ def encode_documents(docs: DataFrame, model=None) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column(0), "ids": pa.array(ids, pa.list_(pa.int32())), "n_tokens": pa.array([len(x) for x in some], pa.int64()), "n_bytes": pa.array([int(is_byte[x].sum()) for x in some], pa.int64()),
                     "ids_hash": pa.array(np.array(h, np.uint64).view(np.int64)), "round_trip": pa.array([None if t is None else codec.decode(x) == t for t, x in zip(texts, some, strict=True)], pa.bool_()),
+                    **{c: part.column(2 + i) for i, c in enumerate(keep)},
                 })
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids array<int>, n_tokens long, n_bytes long, ids_hash long, round_trip boolean")
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(encode, "doc_id long, ids array<int>, n_tokens long, n_bytes long, ids_hash long, round_trip boolean" + more)
