@@ -518,3 +518,78 @@ def top_rejections(spark, sf_dir):
 @_query(_decided(" SELECT subject, winner, COUNT(*) AS n FROM decisions WHERE decision = 'applied' GROUP BY ALL HAVING COUNT(*) > 10 ORDER BY n DESC, subject, winner LIMIT 20"))
 def frequent_pairs(spark, sf_dir):
     return analytics.frequent_pairs(_decisions(spark, sf_dir))
+
+
+# ---- keyed distances, feeds and streams
+
+
+@_query()
+def consensus_keyed_distance(spark, sf_dir):
+    from .functions.distance import with_distance
+
+    s = spots(spark, sf_dir)
+    d = _decisions(spark, sf_dir).where("winner <> subject").select("event_id", "subject", "winner").join(s.select("event_id", "mode"), "event_id")
+    return with_distance(d, "subject", "winner", "mode").groupBy("mode", "distance").agg(F.count("*").alias("n"))
+
+
+@_query(_sql(" SELECT dx_call, de_call, freq_khz, mode, report, 'CQ ' || dx_call || 'X' AS comment, COUNT(*) AS n FROM spots GROUP BY ALL"))
+def feed_lines(spark, sf_dir):
+    from .sources.feeds import parse_lines
+
+    s = spots(spark, sf_dir)
+    line = F.concat(F.lit("DX de "), F.col("de_call"), F.lit(":  "), F.format_string("%.1f", F.col("freq_khz")), F.lit("  "), F.col("dx_call"), F.lit("  "), F.col("mode"), F.lit(" "), F.col("report").cast("string"), F.lit(" dB CQ "), F.col("dx_call"), F.lit("X 1200Z"))
+    p = parse_lines(s.select(line.alias("value")), F.lit("2025-12-04 12:30:00").cast("timestamp"))
+    return p.groupBy("dx_call", "de_call", "freq_khz", "mode", F.col("report").cast("long").alias("report"), "comment").agg(F.count("*").alias("n"))
+
+
+@_query(_sql(" SELECT dx_call, CASE WHEN length(de_call) <= 8 THEN de_call || '-#' ELSE de_call END AS de_call, freq_khz, mode, COUNT(*) AS n FROM spots WHERE k % 3 <> 0 GROUP BY ALL"))
+def psk_messages(spark, sf_dir):
+    from .sources.feeds import parse_psk
+
+    s = spots(spark, sf_dir)
+    good = F.to_json(F.struct(F.floor(F.col("freq_khz") * 1000 + 0.5).cast("long").alias("f"), F.col("mode").alias("md"), F.col("report").cast("int").alias("rp"), F.lit(1764850000).alias("t"), F.col("dx_call").alias("sc"), F.col("de_call").alias("rc")))
+    value = F.when(F.col("k") % 3 == 0, F.lit("{broken")).otherwise(good)
+    p = parse_psk(s.select(value.alias("value")), F.lit("2025-12-04 12:30:00").cast("timestamp"))
+    return p.groupBy("dx_call", "de_call", "freq_khz", "mode").agg(F.count("*").alias("n"))
+
+
+def _stream_dirs(spark: SparkSession, name: str) -> tuple[str, str]:
+    """Folders for a stream's output and progress, in the shared folder where one is set."""
+    import tempfile
+    import uuid
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ionolake-')}"
+    base = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base}/out", f"{base}/progress"
+
+
+@_query("SELECT date_trunc('hour', ts) AS window_start, event_type, COUNT(*) AS n FROM events GROUP BY ALL")
+def stream_tumbling(spark, sf_dir):
+    from .streaming import spots as streams
+
+    path = f"{sf_dir}/events.parquet"
+    out, progress = _stream_dirs(spark, "tumbling")
+    # complete mode: a finite input ends before its last windows' watermark
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(_glob(path))
+    name = "tumbling_" + out.split("-")[-1].split("/")[0]
+    q = streams.tumbling_counts(events).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", progress).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@_query(_ANCHOR_SQL)
+def stream_dedup(spark, sf_dir):
+    from .streaming import spots as streams
+
+    out, progress = _stream_dirs(spark, "dedup")
+    table, _ = _stream_dirs(spark, "spots")
+    s = spots(spark, sf_dir).select("event_id", "t", "report", "dx_call", F.floor("freq_khz").alias("khz"), (F.col("adif") % 5).alias("zone"))
+    s.write.parquet(table)
+    stream = spark.readStream.schema(s.schema).parquet(table)
+    streams.run_once(streams.anchor_dedup(stream, ["khz", "zone", "dx_call"], 60), out, progress)
+    return spark.read.schema("event_id long").parquet(out)
+
+
+def _glob(path: str) -> str:
+    """A table's files as a stream source: a folder, or the one file by a pattern that only it meets."""
+    return path[:-1] + "[t]"
