@@ -67,8 +67,11 @@ def votes(spots: DataFrame, s: Settings) -> DataFrame:
 
 def tallies(vote_rows: DataFrame) -> DataFrame:
     """event_id, subject, cand, n (reliable reporters), last_seen, last_khz, rn (1: most reporters, then latest, then call), total, subject_support."""
-    by_call = vote_rows.groupBy("event_id", "subject", "freq_khz", "cand").agg(F.countDistinct(F.when(F.col("reliable"), F.col("rep"))).alias("n"), F.max("seen").alias("last_seen"), F.max_by("vote_khz", F.struct("seen", "rep")).alias("last_khz"))
-    total = vote_rows.groupBy("event_id").agg(F.countDistinct("rep").alias("total"))
+    # one shuffle by spot; the groupings, the join and the windows below all keep that partitioning
+    spot = ["event_id", "subject", "freq_khz"]
+    once = vote_rows.repartition("event_id").groupBy(*spot, "cand", "rep").agg(F.max(F.struct("seen", "rep", "vote_khz")).alias("x"), F.max("reliable").alias("ok"))
+    by_call = once.groupBy(*spot, "cand").agg(F.count_if("ok").alias("n"), F.max("x").alias("x")).select(*spot, "cand", "n", F.col("x.seen").alias("last_seen"), F.col("x.vote_khz").alias("last_khz"))
+    total = once.groupBy("event_id", "rep").agg(F.lit(1).alias("_one")).groupBy("event_id").agg(F.count("*").alias("total"))
     w = Window.partitionBy("event_id")
     ranked = by_call.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("n"), F.desc("last_seen"), "cand")), "subject_support": F.max(F.when(F.col("cand") == F.col("subject"), F.col("n")).otherwise(0)).over(w)})
     return ranked.join(total, "event_id")
