@@ -191,3 +191,14 @@ def fixed_line(de: Column | str, khz: Column | str, dx: Column | str, mode: Colu
 
 def edit_distance(a: Column | str, b: Column | str) -> Column:
     return F.levenshtein(_c(a), _c(b)).cast("long")
+
+
+def is_spot(dx: Column | str, de: Column | str, khz: Column | str, mode: Column | str) -> Column:
+    """Both calls and the mode are there, and the frequency is from 100 kHz to 3 GHz."""
+    filled = lambda x: F.trim(F.coalesce(_c(x), F.lit(""))) != ""
+    return filled(dx) & filled(de) & filled(mode) & F.coalesce(_c(khz).between(100, 3_000_000), F.lit(False))
+
+
+def spot_text(de: Column | str, khz: Column | str, dx: Column | str, mode: Column | str) -> Column:
+    """A spot in a few words, for logs."""
+    return F.format_string("%s on %.1f kHz (%s) by %s", _c(dx), _c(khz), _c(mode), _c(de))

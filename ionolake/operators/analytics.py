@@ -78,6 +78,20 @@ def stability_by_band(flags: DataFrame) -> DataFrame:
     return x.withColumn("percent", radio.percent("stable", "total"))
 
 
+def stability_by_horizon(d: DataFrame, spots: DataFrame, horizons: list[int], tolerance_khz: float = 0.5, least: int = 2) -> DataFrame:
+    """horizon, total, stable, percent for several horizons at once: one join over the longest, counted for each."""
+    longest = max(horizons)
+    tick = F.floor(F.col("t") / longest).cast("long")
+    a = d.where(_applied).select("event_id", "t", "freq_khz", "winner")
+    spread = a.withColumn("_tick", F.explode(F.array(tick, tick + 1)))
+    s = spots.select(F.col("dx_call").alias("winner"), F.col("t").alias("_t"), F.col("freq_khz").alias("_f"), tick.alias("_tick"))
+    met = spread.join(s, ["winner", "_tick"]).where(F.col("_t").between(F.col("t"), F.col("t") + longest) & (F.abs(F.col("_f") - F.col("freq_khz")) <= tolerance_khz + 1e-9))
+    counts = met.groupBy("event_id").agg(*[_count(F.col("_t") <= F.col("t") + h).alias(f"n{h}") for h in horizons])
+    flags = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), (F.coalesce(F.col(f"n{h}"), F.lit(0)) >= least).alias("stable")) for h in horizons]))
+    x = a.select("event_id").join(counts, "event_id", "left").select(flags.alias("x")).groupBy("x.horizon").agg(F.count("*").alias("total"), _count(F.col("x.stable")).alias("stable"))
+    return x.withColumn("percent", radio.percent("stable", "total"))
+
+
 def reappearance(d: DataFrame, horizon: int) -> DataFrame:
     """Applied decisions with winner_again and subject_again: a later decision within the horizon whose winner or subject is the winner, and among those one whose subject is the subject."""
     tick = F.floor(F.col("t") / horizon).cast("long")

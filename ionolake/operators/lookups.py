@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import radio
 
@@ -113,3 +114,19 @@ def seed_known(stored: DataFrame, known: DataFrame, now: int) -> DataFrame:
     none = lambda t: F.lit(None).cast(t)
     new = known.select(F.upper(F.trim("call")).alias("call")).distinct().select("call", F.lit(1).alias("is_known"), none("string").alias("grid"), F.lit(0).cast("long").alias("observations"), F.lit(now).cast("long").alias("first_seen"), F.lit(now).cast("long").alias("updated_at"), none("long").alias("expires_at"))
     return merge_calls(stored.withColumn("is_known", F.lit(0)), new)
+
+
+def grid_changes(df: DataFrame, call: str, grid: str, order: tuple[str, str] = ("t", "event_id"), stored: DataFrame | None = None) -> DataFrame:
+    """Rows whose grid (four characters or more) is not the last one known of the call, from the rows before or else from stored (call, grid)."""
+    rows = df.where((F.trim(F.col(call)) != "") & (F.length(F.trim(F.col(grid))) >= 4))
+    last = F.lag(grid).over(Window.partitionBy(call).orderBy(*order))
+    if stored is None:
+        return rows.withColumn("_last", last).where(~F.col("_last").eqNullSafe(F.col(grid))).drop("_last")
+    known = stored.select(F.col("call").alias("_call"), F.col("grid").alias("_stored"))
+    held = rows.withColumn("_last", last).join(known, F.col(call) == F.col("_call"), "left")
+    return held.where(~F.coalesce("_last", "_stored").eqNullSafe(F.col(grid))).drop("_last", "_call", "_stored")
+
+
+def with_prefix(table: DataFrame, start: str, prefix: str = "prefix") -> DataFrame:
+    """Rows of a prefix table whose key begins so."""
+    return table.where(F.col(prefix).startswith(start.strip().upper()))

@@ -198,6 +198,12 @@ def grid_backfill(spark, sf_dir):
     return lookups.backfill_grid(s, store, "dx_call", "grid").select("event_id", "grid")
 
 
+@_query(_sql(", x AS (SELECT event_id, dx_call, t, 'FN' || CAST(k % 4 + 10 AS VARCHAR) AS grid FROM spots WHERE k % 5 <> 0), y AS (SELECT *, LAG(grid) OVER (PARTITION BY dx_call ORDER BY t, event_id) AS pg FROM x) SELECT event_id, grid FROM y WHERE pg IS NULL OR pg <> grid"))
+def grid_changes(spark, sf_dir):
+    s = spots(spark, sf_dir).withColumn("grid", F.when(F.col("k") % 5 != 0, F.concat(F.lit("FN"), (F.col("k") % 4 + 10).cast("string"))))
+    return lookups.grid_changes(s, "dx_call", "grid").select("event_id", "grid")
+
+
 # ---- duplicates
 
 
@@ -445,6 +451,14 @@ def stability_bucket(spark, sf_dir):
     return analytics.stability_by_bucket(analytics.follow_on(_decisions(spark, sf_dir), spots(spark, sf_dir), 300, least=3), 900)
 
 
+_HORIZONS = (60, 300, 900)
+
+
+@_query(_decided(", h(horizon) AS (VALUES " + ", ".join(f"({h})" for h in _HORIZONS) + "), fh AS (SELECT h.horizon, d.event_id, COUNT(s.event_id) AS n FROM decisions d CROSS JOIN h LEFT JOIN spots s ON s.dx_call = d.winner AND s.t BETWEEN d.t AND d.t + h.horizon AND abs(s.freq_khz - d.freq_khz) <= 0.5 + 1e-9 WHERE d.decision = 'applied' GROUP BY h.horizon, d.event_id) SELECT horizon, COUNT(*) AS total, COUNT(*) FILTER (WHERE n >= 3) AS stable, CAST(COUNT(*) FILTER (WHERE n >= 3) AS DOUBLE) * 100 / COUNT(*) AS percent FROM fh GROUP BY horizon"))
+def stability_horizons(spark, sf_dir):
+    return analytics.stability_by_horizon(_decisions(spark, sf_dir), spots(spark, sf_dir), list(_HORIZONS), least=3)
+
+
 @_query(_decided(_STABLE_SQL + f" SELECT {_REPORT_BAND_SQL} AS band, COUNT(*) AS total, COUNT(*) FILTER (WHERE stable) AS stable, CAST(COUNT(*) FILTER (WHERE stable) AS DOUBLE) * 100 / COUNT(*) AS percent FROM fl GROUP BY 1"))
 def stability_band(spark, sf_dir):
     return analytics.stability_by_band(analytics.follow_on(_decisions(spark, sf_dir), spots(spark, sf_dir), 300, least=3))
