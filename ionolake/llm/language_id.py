@@ -90,8 +90,10 @@ def train(docs: DataFrame, learn):
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offs in chunks(*string_buffer(b.column(1)), _BLOCK):
-                packed = np.packbits(_presence(data, offs).astype(bool), axis=1)
-                yield pa.RecordBatch.from_pydict({"lang": b.column(0).slice(lo, hi - lo), "bits": pa.array([p.tobytes() for p in packed], pa.binary())})
+                for k in range(0, hi - lo, 500):  # a presence row is 32 KB while it is made, however short its text
+                    cut = offs[k : k + 501]
+                    packed = np.packbits(_presence(data[cut[0] : cut[-1]], cut - cut[0]).astype(bool), axis=1)
+                    yield pa.RecordBatch.from_pydict({"lang": b.column(0).slice(lo + k, len(packed)), "bits": pa.array([p.tobytes() for p in packed], pa.binary())})
 
     got = drawn.select("lang", "text").mapInArrow(bits, "lang string, bits binary").toArrow()
     if not got.num_rows:
