@@ -408,3 +408,16 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (5, 5)], "u long, v long")
     root = {r["id"]: r["root"] for r in near_dedup.components(links).collect()}
     assert all(root.get(i, i) == 0 for i in range(41)) and root[101] == 100
+
+
+def test_lm_slots_of_half_a_byte():
+    gram = np.full(15, int.from_bytes(b"abcdef\x00", "big"), np.uint64)
+    for order in (1, lm_score.ORDERS):
+        high = np.concatenate([lm_score._slots(order, gram[: 1 << bit], np.arange(1 << bit, 2 << bit, dtype=np.uint64), bit) for bit in range(4)])
+        assert len(set(high)) == 15 and len(set(high >> 4)) == 1
+    # the two halves are told apart by the first: a node of the second half under another first half lies elsewhere
+    one = lm_score._slots(3, gram[:1], np.array([0b1_0110], np.uint64), 4)
+    other = lm_score._slots(3, gram[:1], np.array([0b1_0111], np.uint64), 4)
+    assert one[0] >> 4 != other[0] >> 4
+    deep = lm_score._slots(3, gram[:2], np.array([0b1_0110_0, 0b1_0110_1], np.uint64), 5)
+    assert set(deep >> 4) == {one[0] >> 4} and len({*deep, *one}) == 3
