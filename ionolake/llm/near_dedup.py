@@ -9,9 +9,12 @@ a collision raises a df and lowers a weight, alike in every document.
 
 Plan: one pass counts df, one pass makes a K-sample ICWS signature of each document (192 bytes).
 Documents of equal word sequence are one representative from then on. Representatives meet in BANDS keys of
-ROWS samples each; each bucket links its members to its least id, and those whose signature denies that link go on
+ROWS samples each. First each bucket links its members to its least id, and those whose signature denies that link go on
 to the least id left, for ROUNDS rounds. Pairs whose signatures agree enough are verified by their exact weighted Jaccard similarity,
 from the whole texts, and the verified links are closed to components by alternating large-star and small-star steps.
+That joins large groups of copies by few links. Then, in each bucket that still holds more than one component, every pair of members of
+different components is compared, block by block, and verified likewise: two texts that share a bucket are in one class by verified links
+or have been compared. The second step grows with the square of a bucket's texts that no link joins.
 
 Cases: null or word-less texts are in a class of their own; rows that repeat a doc_id are one document; rows of null
 doc_id are not compared and have no class; an empty table gives an empty result; extra columns are ignored.
@@ -33,6 +36,8 @@ K = 48
 BANDS = 24
 ROWS = 5
 ROUNDS = 2
+#: Members of a bucket that are compared with each other, or with another block of it, at once.
+BLOCK = 256
 SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair is verified if this share of its samples agrees: 3.5 standard errors under the threshold.
@@ -211,9 +216,8 @@ def _agree(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(own, "id").join(lead, "lead").select("id", "lead", "sig", "lead_sig").mapInArrow(share, "id long, lead long, est double")
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (id, lead), lead < id, whose signatures agree enough."""
-    keys = materialise(_band_keys(reps), "keys")
+def _candidates(keys: DataFrame, reps: DataFrame) -> DataFrame:
+    """Distinct pairs (id, lead), lead < id, of a bucket's members and its first leads, whose signatures agree enough."""
     found = None
     for k in range(ROUNDS):
         leads = keys.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m")
@@ -225,6 +229,37 @@ def _candidates(reps: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def _rest(keys: DataFrame, reps: DataFrame, root: DataFrame) -> DataFrame:
+    """Distinct pairs (id, lead), lead < id, of one bucket and of different components (id, root), whose signatures agree enough."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, leads = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in range(b.num_rows):
+                members = b.column(2)[i].values
+                own, roots, block = (members.field(k).to_numpy() for k in range(3))
+                sig = np.frombuffer(b"".join(members.field(3).to_pylist()), np.uint32).reshape(-1, K)
+                one = block == b.column(0)[i].as_py()
+                x, y = np.flatnonzero(one), np.flatnonzero(block == b.column(1)[i].as_py())
+                same = np.zeros((len(x), len(y)), np.uint8)
+                for k in range(K):
+                    same += sig[x, k][:, None] == sig[y, k]
+                u, v = np.nonzero((same >= ESTIMATE * K) & (roots[x][:, None] != roots[y]))
+                u, v = own[x[u]], own[y[v]]
+                ids.append(np.maximum(u, v))
+                leads.append(np.minimum(u, v))
+            pairs = np.unique(np.stack([np.concatenate(ids), np.concatenate(leads)]), axis=1)
+            yield pa.RecordBatch.from_pydict({"id": pa.array(pairs[0]), "lead": pa.array(pairs[1])})
+
+    held = keys.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    mixed = held.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    met = materialise(held.join(mixed, "key"), "mixed").join(reps.select("id", "sig"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # each block with itself and each other one
+    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.struct("id", "root", "block", "sig").alias("member"))
+    groups = dealt.groupBy("key", "x", "y").agg(F.collect_list("member").alias("members"))
+    return groups.select("x", "y", "members").mapInArrow(compare, "id long, lead long").distinct()
+
+
 def _id_place(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
 
@@ -328,9 +363,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = signed.withColumn("alone", own_class)
     classes = signed.groupBy("h1", "h2", "alone").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies"))
     reps = materialise(signed.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select(F.col("x.doc_id").alias("id"), "x.sig"), "reps")
-    pairs = materialise(_candidates(reps), "pairs")
+    keys = materialise(_band_keys(reps), "keys")
+    pairs = materialise(_candidates(keys, reps), "pairs")
     links = materialise(_verified(pairs, docs, idf, threshold), "links")
     root = components(links.select(F.col("id").alias("u"), F.col("lead").alias("v")))
+    rest = materialise(_rest(keys, reps, root).join(pairs, ["id", "lead"], "left_anti"), "rest")
+    links = links.unionByName(materialise(_verified(rest, docs, idf, threshold), "links"))
+    root = components(links.select(F.col("id").alias("u"), F.col("lead").alias("v")))
     ends = links.select("id").unionByName(links.select(F.col("lead").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     known = classes.join(root.withColumnRenamed("id", "rep"), "rep", "left").join(ends.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.select("h1", "h2", "alone", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies")

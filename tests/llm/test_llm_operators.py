@@ -382,6 +382,17 @@ def test_near_duplicates_in_a_large_group_of_edited_copies(spark):
     assert all(got[i] == 0 for i in range(300)) and all(got[1000 + i] == 1000 + i for i in range(100))
 
 
+def test_near_duplicates_in_a_template_family(spark):
+    template, rows, want = prose(4, 400), [], {}
+    for i in range(160):  # texts at 0.77 to each other; every second pair of them at 0.84, by few words outside the template
+        partner = i % 4 == 3
+        own = (prose(3000 + i - 1, 50).split()[:16] if partner else []) + prose(3000 + i, 50).split()
+        rows.append((i, template + " " + " ".join(own[:50]), "en", "s", 1))
+        want[i] = i - 1 if partner else i
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
+    assert got == want
+
+
 def test_icws_agreement_is_weighted_jaccard():
     rng = random.Random(8)
     a = [f"w{rng.randrange(10**6)}" for _ in range(600)]
