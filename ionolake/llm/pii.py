@@ -4,6 +4,10 @@ Kinds, in order of precedence where spans overlap: secrets (quoted hexadecimal o
 social security numbers (SSA ranges), IPv4 addresses (octets to 255), phone numbers (+ and 8 to 15 digits, or national (ddd) ddd-dddd), and calendar dates
 (YYYY-MM-DD, DD.MM.YYYY, MM/DD/YYYY) that exist. What looks like one but isn't valid (a number that fails its check digit, 31 February) is left alone.
 
+A candidate may hold more than the value (digits or capitals that stand after or before it). The parts of it that the layout suggests are tried first (cards in their usual groups or as one
+run, IBANs of their country's length, phones of their country's number of digits), then the whole, then its shorter ends at separators; if none is valid, the search goes on one character
+after the candidate's start. reveal() reads by the same order; where a neighbour makes the layout ambiguous (numbers in fours before a card), a longer reading of the pseudonym can be valid by chance.
+
 A value of N possibilities is numbered, the number goes through a balanced Feistel network over the least even number of bits that holds N (rounds of keyed BLAKE2b), walking the
 cycle until it falls under N, and is written back in the value's own layout: separators, case and length stay, check digits are computed anew, dates stay dates. It is a permutation
 of the format, so equal values get equal pseudonyms in every document and different values stay different; reveal() inverts it with the key.
@@ -47,6 +51,44 @@ _CANDIDATE = re.compile(
 _HINT = re.compile(r"@|[0-9][^\n]{0,3}[0-9]|[\"'][0-9A-Fa-f]{32}", re.ASCII)
 
 
+#: Lengths of IBANs by country.
+_IBAN_LENGTHS = {k: n for n, names in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for k in names.split()}
+#: Digits after the country code, at most, of countries whose numbers have a settled length.
+_PHONE_DIGITS = {k: n for n, names in {8: "45 47 65", 9: "27 31 33 34 36 40 41 48 51 56 61 351 380 420", 10: "1 7 20 30 44 52 57 63 81 90 91 92", 11: "49 55 86"}.items() for k in names.split()}
+_CARD_GROUPS = re.compile(r"(?<![0-9-])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}|[0-9]{13,19})(?![0-9-])")
+
+
+def _parts(kind: str, value: str) -> Iterator[tuple[int, int]]:
+    """Where the value may lie in a candidate, in the order to be tried."""
+    ends = [m.start() for m in re.finditer(r"[ .-]", value)]
+    if kind == "card":
+        at = 0
+        while m := _CARD_GROUPS.search(value, at):
+            yield m.span()
+            at = m.start() + 1
+        yield 0, len(value)
+        yield from ((0, e) for e in reversed(ends) if 13 <= len(_digits(value[:e])))
+    elif kind == "iban":
+        sizes = {e: e - value[:e].count(" ") for e in (*ends, len(value))}
+        yield from ((0, e) for e, n in sizes.items() if n == _IBAN_LENGTHS.get(value[:2]))
+        yield 0, len(value)
+        yield from ((0, e) for e in reversed(ends) if sizes[e] >= 15)
+    elif kind == "phone" and value[0] == "+":
+        country = re.match(r"\+([0-9]{1,3})(?=[ .(-])", value)
+        if country:
+            most = len(country[1]) + _PHONE_DIGITS.get(country[1], 15) + ("(0)" in value)
+            yield from ((0, e) for e in (len(value), *reversed(ends)) if 8 <= len(_digits(value[:e])) <= most)
+        else:
+            yield from ((0, e) for e in ends if 8 <= len(_digits(value[:e])))
+        yield 0, len(value)
+        yield from ((0, e) for e in reversed(ends))
+    else:
+        yield 0, len(value)
+
+
 def _feistel(value: int, n: int, key: bytes, tweak: bytes, inverse: bool = False) -> int:
     """A permutation of 0..n-1."""
     if n < 2:
@@ -180,12 +222,17 @@ def scrub(text: str, key: bytes = DEFAULT_KEY, inverse: bool = False) -> tuple[s
     if not _HINT.search(text):
         return text, []
     out, at, found = [], 0, []
-    for m in _CANDIDATE.finditer(text):
-        new = pseudonym(m.lastgroup, m.group(), key, inverse)
-        if new is not None:
-            out += [text[at : m.start()], new]
-            at = m.end()
-            found.append((m.start(), m.end(), m.lastgroup))
+    look = 0
+    while m := _CANDIDATE.search(text, look):
+        kind, value, look = m.lastgroup, m.group(), m.start() + 1
+        for a, b in _parts(kind, value):
+            new = pseudonym(kind, value[a:b], key, inverse)
+            if new is not None:
+                start, look = m.start() + a, m.start() + b
+                out += [text[at:start], new]
+                at = look
+                found.append((start, at, kind))
+                break
     return "".join([*out, text[at:]]) if found else text, found
 
 

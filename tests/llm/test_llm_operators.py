@@ -324,6 +324,17 @@ def test_invalid_values_stay():
         assert pii.scrub(f"x {text} y") == (f"x {text} y", [])
 
 
+def test_values_beside_digits_or_capitals():
+    card, iban, phone = "4111 1111 1111 1111", "BE68 5390 0754 7034", "+1 (555) 123-4567"
+    cases = [(f"{card} 12/25", "card", card), ("4111111111111111 123", "card", "4111111111111111"), (f"12 {card}", "card", card), (f"no. 7 {card} 007 x", "card", card), ("3782 822463 10005 1234", "card", "3782 822463 10005"), (f"{card} 4111 1111", "card", card)]
+    cases += [(f"{iban} BIC", "iban", iban), (f"{iban} 2024", "iban", iban), ("NO93 8601 1117 947 OSLO", "iban", "NO93 8601 1117 947"), (f"AB12 3456 {iban}", "iban", iban)]
+    cases += [(f"{phone} 24 hours", "phone", phone), ("+44 20 7946 0958 2024", "phone", "+44 20 7946 0958"), ("+15551234567 24", "phone", "+15551234567"), ("+33 1 23 45 67 89 x", "phone", "+33 1 23 45 67 89")]
+    for text, kind, value in cases:
+        new, found = pii.scrub(f"a {text} b")
+        assert [(k, f"a {text} b"[x:y]) for x, y, k in found] == [(kind, value)], text
+        assert new == f"a {text.replace(value, pii.pseudonym(kind, value))} b" and pii.reveal(new) == f"a {text} b", text
+
+
 def test_scrub(spark, docs, empty):
     text = "mail Jo.Doe+x@Mail.example.com, card 4111 1111 1111 1111; born 2024-02-29. Call +1 (555) 123-4567 10.0.255.1 or not 4111111111111112."
     new, found = pii.scrub(text)
