@@ -187,8 +187,10 @@ def mode_range_join(spark, sf_dir):
 def grid_merge(spark, sf_dir):
     k = F.col("k")
     grid = F.when(k % 5 != 0, F.concat(F.lit("FN"), (k % 90 + 10).cast("string")))
-    new = spots(spark, sf_dir).select(F.col("dx_call").alias("call"), F.lit(0).alias("is_known"), grid.alias("grid"), F.lit(1).cast("long").alias("observations"), F.col("t").alias("first_seen"), F.col("t").alias("updated_at"), F.lit(None).cast("long").alias("expires_at"))
-    return lookups.merge_calls(new.limit(0), new).drop("expires_at")
+    s = spots(spark, sf_dir)
+    new = s.select(F.col("dx_call").alias("call"), F.lit(0).alias("is_known"), grid.alias("grid"), F.lit(1).cast("long").alias("observations"), F.col("t").alias("first_seen"), F.col("t").alias("updated_at"), F.lit(None).cast("long").alias("expires_at"))
+    early = F.col("updated_at") < F.lit(s.agg(F.avg("t")).first()[0])  # the store holds the calls of the first half
+    return lookups.merge_calls(lookups.merge_calls(new.limit(0), new.where(early)), new.where(~early)).drop("expires_at")
 
 
 @_query(_sql(", st AS (SELECT DISTINCT dx_call AS call, 'FN' || substr(dx_call, 2, 1) || '1' AS grid FROM spots WHERE k % 4 = 0) SELECT s.event_id, COALESCE(CASE WHEN k % 3 = 0 THEN 'JO22' END, st.grid) AS grid FROM spots s LEFT JOIN st ON s.dx_call = st.call"))

@@ -22,3 +22,19 @@ def test_some_queries_against_sql(spark, sf):
         cols = sorted(a.columns)
         want = sorted(map(str, ([r[cols.index(k)] for k in cols] for r in c.sql(f"select {', '.join(cols)} from ({o[name]})").fetchall())))
         assert sorted(map(str, ([r[k] for k in cols] for r in a.collect()))) == want, name
+
+
+def test_grid_merge_meets_stored_rows(spark, sf, monkeypatch):
+    import duckdb
+
+    from ionolake.operators import lookups
+
+    merge, stored = lookups.merge_calls, []
+    monkeypatch.setattr(lookups, "merge_calls", lambda old, new: stored.append(old) or merge(old, new))
+    a = entry.queries()["grid_merge"](spark, sf)
+    assert stored[-1].count() > 0 and stored[-1].where("observations > 1").count() > 0
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from read_parquet('{sf}/events.parquet')")
+    cols = sorted(a.columns)
+    want = sorted(map(str, c.sql(f"select {', '.join(cols)} from ({entry.oracle_sql()['grid_merge']})").fetchall()))
+    assert sorted(str(tuple(r[k] for k in cols)) for r in a.collect()) == want
