@@ -8,26 +8,30 @@ Document frequencies cover all documents, hashed into 2^22 counters, so the tabl
 a collision raises a df and lowers a weight, alike in every document.
 
 Plan: one pass counts df, one pass makes a K-sample ICWS signature of each document (192 bytes).
-Documents of equal word sequence are one representative from then on. Representatives meet in BANDS keys of
+Documents of equal word sequence are one text from then on, named by a 64-bit hash of that sequence. Texts meet in BANDS keys of
 ROWS samples each. First each bucket links its members to its least id, and those whose signature denies that link go on
 to the least id left, for ROUNDS rounds. Pairs whose signatures agree enough are verified by their exact weighted Jaccard similarity,
 from the whole texts, and the verified links are closed to components by alternating large-star and small-star steps.
-That joins large groups of copies by few links. Then, in each bucket that still holds more than one component, every pair of members of
-different components is compared, block by block, and verified likewise: two texts that share a bucket are in one class by verified links
-or have been compared. The second step grows with the square of a bucket's texts that no link joins.
-
-Cases: null or word-less texts are in a class of their own; rows that repeat a doc_id are one document; rows of null
-doc_id are not compared and have no class; an empty table gives an empty result; extra columns are ignored.
+That joins large groups of copies by few links. Each bucket that still holds more than one component is then compared whole, in blocks of
+at most BLOCK by BLOCK members, within tasks: only members that come near one of another component get a longer signature of FINE samples (a byte each), and
+only pairs whose long signatures agree as those of the threshold do are verified: first the best pair of a text and each other component, then, where those didn't link, all others. So two
+texts that share a bucket are in one class by verified links or have been compared. What a bucket's comparison costs grows with the square of the texts that no link
+joins, but in arithmetic on signatures, not in rows: a text stands in a bucket once for each of its blocks.
+
+Cases: null or word-less texts are in a class of their own; rows that repeat a doc_id are one document, all of whose texts count (near_duplicates() gives the id its texts' least class, one_of_each()
+treats each text by itself); rows of null doc_id are not compared and have no class; a text is never cut, however long (a pass over one takes some 30 bytes of memory a byte of it); an empty table gives an
+empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, chunks, materialise, mix, row_of, span_hashes, spans, string_buffer
@@ -40,8 +44,17 @@ ROUNDS = 2
 BLOCK = 256
 SHINGLE = 5
 THRESHOLD = 0.8
-#: A pair is verified if this share of its samples agrees: 3.5 standard errors under the threshold.
+#: A pair goes on if this share of its samples agrees: 3.5 standard errors under the threshold.
 ESTIMATE = 0.6
+#: Samples of the long signatures, a byte each, and the share that must agree for a threshold: 3.5 standard errors under it, and chance agreement of bytes on top.
+FINE = 512
+
+
+def fine_share(threshold: float) -> float:
+    low = threshold - 3.5 * math.sqrt(threshold * (1 - threshold) / FINE)
+    return low + (1 - low) / 256
+
+
 IDF_SHARE = 0.25
 DF_BITS = 22
 ID_BITS = 22
@@ -51,7 +64,8 @@ _LEVELS = 160
 _DF_PIECE = 1 << 14
 
 
-def _icws_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def _icws_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tables that stand for ICWS's random draws, the same everywhere: -ln(u) of 16 bits (two make c ~ Gamma(2,1)), and, by weight
     level and pool place (r ~ Gamma(2,1), b ~ U(0,1)), the factor exp(-r (floor(ln w / r + b) - b + 1)) and that floor, mixed."""
     rng = np.random.default_rng(20)
@@ -63,7 +77,8 @@ def _icws_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.n
     marks = (mix((t.astype(np.int64).astype(np.uint64) + np.uint64(77)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).ravel()
     seeds = rng.integers(1, 1 << 63, K, dtype=np.uint64) | np.uint64(1)
     subsets = np.array([rng.permutation(K)[:ROWS] for _ in range(BANDS)])
-    return minus_log, factor, marks, seeds, subsets
+    fine = rng.integers(1, 1 << 63, FINE, dtype=np.uint64) | np.uint64(1)
+    return minus_log, factor, marks, seeds, subsets, fine
 
 
 def _shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -156,34 +171,48 @@ def _levels(idf: np.ndarray, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
     return np.minimum(idf[_bucket(h)] + np.rint(np.log1p(np.log(tf)) / STEP).astype(np.int64), _LEVELS - 1)
 
 
+def samples(h: np.ndarray, level: np.ndarray, cuts: np.ndarray, seeds: np.ndarray) -> Iterator[np.ndarray]:
+    """For each seed, the ICWS sample (uint32) of each set: elements h with log weights of so many steps, the sets being the runs that begin at cuts."""
+    minus_log, factor, marks = _icws_tables()[:3]
+    base, low = level * _POOL, h & np.uint64(0xFFFFFFFF)
+    for seed in seeds:
+        z = h * seed
+        z ^= z >> np.uint64(29)
+        z *= np.uint64(0xD6E8FEB86659FD93)
+        place = base + (z >> np.uint64(52)).astype(np.int64)
+        a = (minus_log[(z >> np.uint64(36)) & np.uint64(0xFFFF)] + minus_log[(z >> np.uint64(20)) & np.uint64(0xFFFF)]) * factor[place]
+        best = (a.view(np.uint32).astype(np.uint64) << np.uint64(32)) | (low ^ marks[place])
+        yield np.minimum.reduceat(best, cuts).astype(np.uint32)
+
+
+def _signed(data: np.ndarray, offs: np.ndarray, idf: np.ndarray, seeds: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: each row's signature, distinct shingles, and two hashes of its word sequence."""
+    rows, h, tf, h1, h2 = _shingles(data, offs)
+    first = np.searchsorted(rows, np.arange(len(offs)))
+    some = np.flatnonzero(np.diff(first))
+    sig = np.zeros((len(offs) - 1, len(seeds)), kind)
+    if len(some):
+        for k, x in enumerate(samples(h, _levels(idf, h, tf), first[some], seeds)):
+            sig[some, k] = x.astype(kind)
+    return sig, np.diff(first), h1, h2
+
+
 def signatures(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, h1, h2 (of the word sequence), n (distinct shingles), sig (K uint32 samples); idf: a broadcast of _idf_levels()."""
+    """doc_id, h1, h2 (of the word sequence), n (distinct shingles), sig (K uint32 samples), text_key; idf: a broadcast of _idf_levels()."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minus_log, factor, marks, seeds, _ = _icws_tables()
+        seeds = _icws_tables()[3]
         for b in batches:
-            ids = b.column(0)
-            for lo, hi, data, offs in chunks(*string_buffer(b.column(1))):
-                rows, h, tf, h1, h2 = _shingles(data, offs)
-                first = np.searchsorted(rows, np.arange(hi - lo + 1))
-                some = np.flatnonzero(np.diff(first))
-                sig = np.zeros((hi - lo, K), np.uint32)
-                if len(some):
-                    base = _levels(idf.value, h, tf) * _POOL
-                    low = h & np.uint64(0xFFFFFFFF)
-                    cuts = first[some]
-                    for k in range(K):
-                        z = h * seeds[k]
-                        z ^= z >> np.uint64(29)
-                        z *= np.uint64(0xD6E8FEB86659FD93)
-                        place = base + (z >> np.uint64(52)).astype(np.int64)
-                        a = (minus_log[(z >> np.uint64(36)) & np.uint64(0xFFFF)] + minus_log[(z >> np.uint64(20)) & np.uint64(0xFFFF)]) * factor[place]
-                        best = (a.view(np.uint32).astype(np.uint64) << np.uint64(32)) | (low ^ marks[place])
-                        sig[some, k] = np.minimum.reduceat(best, cuts).astype(np.uint32)
-                n = np.diff(first)
-                yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(lo, hi - lo), "h1": pa.array(h1), "h2": pa.array(h2), "n": pa.array(n), "sig": pa.array([x.tobytes() for x in sig], pa.binary())})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(sign, "doc_id long, h1 long, h2 long, n long, sig binary")
+            for lo, hi, data, offs in chunks(*string_buffer(b.column(2))):
+                sig, n, h1, h2 = _signed(data, offs, idf.value, seeds, np.uint32)
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(lo, hi - lo), "text_key": b.column(1).slice(lo, hi - lo), "h1": pa.array(h1), "h2": pa.array(h2), "n": pa.array(n), "sig": pa.array([x.tobytes() for x in sig], pa.binary())})
+
+    return docs.select(F.col("doc_id").cast("long"), _text_key(), "text").where("doc_id is not null").mapInArrow(sign, "doc_id long, text_key long, h1 long, h2 long, n long, sig binary")
+
+
+def _text_key() -> Column:
+    """Tells apart the texts of one doc_id."""
+    return F.xxhash64("text").alias("text_key")
 
 
 def _band_keys(reps: DataFrame) -> DataFrame:
@@ -229,84 +258,139 @@ def _candidates(keys: DataFrame, reps: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def _rest(keys: DataFrame, reps: DataFrame, root: DataFrame) -> DataFrame:
-    """Distinct pairs (id, lead), lead < id, of one bucket and of different components (id, root), whose signatures agree enough."""
+def _compared(held: DataFrame, least: float, kind: type, best: bool) -> DataFrame:
+    """Pairs of members of one bucket (held: key, id, root, block, blocks, sig) and of different components whose signatures agree in a share of at least least: a, other (the root of b), b, agree, in both
+    directions; best: of each member and other component, in a pair of blocks, only the best pair."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, leads = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i in range(b.num_rows):
-                members = b.column(2)[i].values
-                own, roots, block = (members.field(k).to_numpy() for k in range(3))
-                sig = np.frombuffer(b"".join(members.field(3).to_pylist()), np.uint32).reshape(-1, K)
-                one = block == b.column(0)[i].as_py()
-                x, y = np.flatnonzero(one), np.flatnonzero(block == b.column(1)[i].as_py())
-                same = np.zeros((len(x), len(y)), np.uint8)
-                for k in range(K):
-                    same += sig[x, k][:, None] == sig[y, k]
-                u, v = np.nonzero((same >= ESTIMATE * K) & (roots[x][:, None] != roots[y]))
-                u, v = own[x[u]], own[y[v]]
-                ids.append(np.maximum(u, v))
-                leads.append(np.minimum(u, v))
-            pairs = np.unique(np.stack([np.concatenate(ids), np.concatenate(leads)]), axis=1)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(pairs[0]), "lead": pa.array(pairs[1])})
+        for batch in batches:
+            for i in range(batch.num_rows):
+                members = batch.column(2)[i].values
+                ids, roots, block = (members.field(k).to_numpy() for k in range(3))
+                sig = np.frombuffer(b"".join(members.field(3).to_pylist()), kind).reshape(len(ids), -1)
+                x, y = np.flatnonzero(block == batch.column(0)[i].as_py()), np.flatnonzero(block == batch.column(1)[i].as_py())
+                left, right = np.ascontiguousarray(sig[x].T), np.ascontiguousarray(sig[y].T)
+                same = np.zeros((len(x), len(y)), np.uint16)
+                for k in range(sig.shape[1]):
+                    same += left[k][:, None] == right[k]
+                u, v = np.nonzero((same >= least * sig.shape[1]) & (roots[x][:, None] != roots[y]))
+                agree = same[u, v].astype(np.int64)
+                a, b, agree = np.concatenate([x[u], y[v]]), np.concatenate([y[v], x[u]]), np.concatenate([agree, agree])
+                if best and len(a):
+                    o = np.lexsort((ids[b], -agree, roots[b], ids[a]))
+                    a, b, agree = a[o], b[o], agree[o]
+                    top = np.concatenate([[True], (ids[a][1:] != ids[a][:-1]) | (roots[b][1:] != roots[b][:-1])])
+                    a, b, agree = a[top], b[top], agree[top]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(ids[a]), "other": pa.array(roots[b]), "b": pa.array(ids[b]), "agree": pa.array(agree)})
 
-    held = keys.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    mixed = held.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    met = materialise(held.join(mixed, "key"), "mixed").join(reps.select("id", "sig"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # each block with itself and each other one
-    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.struct("id", "root", "block", "sig").alias("member"))
+    dealt = held.withColumn("twin", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "twin").alias("x"), F.greatest("block", "twin").alias("y"), F.struct("id", "root", "block", "sig").alias("member"))
     groups = dealt.groupBy("key", "x", "y").agg(F.collect_list("member").alias("members"))
-    return groups.select("x", "y", "members").mapInArrow(compare, "id long, lead long").distinct()
+    return groups.select("x", "y", "members").mapInArrow(compare, "a long, other long, b long, agree long")
+
+
+def _mixed(keys: DataFrame, root: DataFrame) -> DataFrame:
+    """key, id, root, block, blocks of the members of buckets that hold more than one component."""
+    held = keys.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    mixed = held.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    return held.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def _best_of(compared: DataFrame) -> DataFrame:
+    """Of each text and other component the pair that agrees best, as id and lead, lead < id."""
+    top = compared.groupBy("a", "other").agg(F.max(F.struct("agree", "b")).alias("x"))
+    return top.select(F.greatest("a", "x.b").alias("id"), F.least("a", "x.b").alias("lead")).distinct()
+
+
+def _remaining(keys: DataFrame, reps: DataFrame, docs: DataFrame, idf, links: DataFrame, root: DataFrame, threshold: float, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """links and root after all members of each bucket have been compared with those of its other components; checked: pairs that are verified or refuted already."""
+    held = materialise(_mixed(keys, root), "mixed")
+    near = materialise(_compared(held.join(reps.select("id", "sig"), "id"), ESTIMATE, np.uint32, True).select(F.col("a").alias("id")).distinct(), "near")
+    fine = materialise(_fine(docs, near.join(reps.select("id", "doc"), "id"), idf), "fine")
+    held = held.drop("root").join(fine, "id")
+    for best in (True, False):
+        now = held.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        found = _compared(now, fine_share(threshold), np.uint8, best)
+        pairs = _best_of(found) if best else found.where("a > b").select(F.col("a").alias("id"), F.col("b").alias("lead")).distinct()
+        pairs = materialise(pairs.join(checked, ["id", "lead"], "left_anti"), "rest")
+        checked = checked.unionByName(pairs)
+        new = materialise(_verified(pairs, reps, docs, idf, threshold), "links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            # the components so far stand for their links
+            root = components(root.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(new.select(F.col("id").alias("u"), F.col("lead").alias("v"))))
+    return links, root
 
 
 def _id_place(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
 
 
-def _id_bits(leads: DataFrame) -> np.ndarray:
-    """Which of 2^ID_BITS places an id of leads hashes to: keeps most other texts out of the join's shuffle, and is of one size for any input."""
+def _id_bits(ids: DataFrame) -> np.ndarray:
+    """Which of 2^ID_BITS places a value of the one column hashes to: keeps most other texts out of the join's shuffle, and is of one size for any input."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_pydict({"place": pa.array(np.unique(_id_place(b.column(0).to_numpy())).astype(np.int32))})
 
     out = np.zeros(1 << ID_BITS, bool)
-    out[leads.select("id").mapInArrow(places, "place int").distinct().toArrow().column("place").to_numpy()] = True
+    out[ids.mapInArrow(places, "place int").distinct().toArrow().column("place").to_numpy()] = True
     return out
 
 
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (id, doc and more) with text: all texts of each doc; those of another word sequence than id's are for the caller to leave out."""
+    bits = docs.sparkSession.sparkContext.broadcast(_id_bits(wanted.select("doc")))
+
+    @F.pandas_udf("boolean")
+    def hit(ids):
+        import pandas as pd
+
+        return pd.Series(bits.value[_id_place(ids.to_numpy())])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null").where(hit("doc"))
+    return wanted.join(texts, "doc").drop("doc")
+
+
+def _fine(docs: DataFrame, wanted: DataFrame, idf) -> DataFrame:
+    """id, sig (FINE bytes) of the texts in wanted (id, doc)."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = _icws_tables()[5]
+        for b in batches:
+            for lo, hi, data, offs in chunks(*string_buffer(b.column(1))):
+                sig, _, h1, _ = _signed(data, offs, idf.value, seeds, np.uint8)
+                ids = b.column(0).slice(lo, hi - lo)
+                own = np.flatnonzero(ids.to_numpy() == h1)
+                yield pa.RecordBatch.from_pydict({"id": ids.take(pa.array(own)), "sig": pa.array([sig[i].tobytes() for i in own], pa.binary())})
+
+    return _texts_of(docs, wanted).select("id", "text").mapInArrow(sign, "id long, sig binary").dropDuplicates(["id"])
+
+
 def _vectors(docs: DataFrame, leads: DataFrame, idf) -> DataFrame:
-    """id, leads, h (sorted uint32 hashes), w (levels) of the documents in leads (id, leads, is_lead)."""
+    """id, leads, is_lead, h (sorted uint32 hashes), w (levels) of the texts in leads (id, doc, leads, is_lead)."""
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offs in chunks(*string_buffer(b.column(3))):
-                rows, h, tf, _, _ = _shingles(data, offs)
+                rows, h, tf, h1, _ = _shingles(data, offs)
                 level = _levels(idf.value, h, tf).astype(np.uint8)
                 first = np.searchsorted(rows, np.arange(hi - lo + 1))
                 short = h.astype(np.uint32)
+                own = np.flatnonzero(b.column(0).slice(lo, hi - lo).to_numpy() == h1)
                 hs, ws = [], []
-                for i in range(hi - lo):
+                for i in own:
                     x = short[first[i] : first[i + 1]]
                     o = np.argsort(x, kind="stable")
                     hs.append(x[o].tobytes())
                     ws.append(level[first[i] : first[i + 1]][o].tobytes())
-                yield pa.RecordBatch.from_pydict({"id": b.column(0).slice(lo, hi - lo), "leads": b.column(1).slice(lo, hi - lo), "is_lead": b.column(2).slice(lo, hi - lo), "h": pa.array(hs, pa.binary()), "w": pa.array(ws, pa.binary())})
+                take = pa.array(own + lo)
+                yield pa.RecordBatch.from_pydict({"id": b.column(0).take(take), "leads": b.column(1).take(take), "is_lead": b.column(2).take(take), "h": pa.array(hs, pa.binary()), "w": pa.array(ws, pa.binary())})
 
-    bits = docs.sparkSession.sparkContext.broadcast(_id_bits(leads))
-
-    @F.pandas_udf("boolean")
-    def wanted(ids):
-        import pandas as pd
-
-        return pd.Series(bits.value[_id_place(ids.to_numpy())])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null").where(wanted("id"))
-    return leads.join(texts, "id").select("id", "leads", "is_lead", "text").mapInArrow(vectors, "id long, leads array<long>, is_lead boolean, h binary, w binary")
+    return _texts_of(docs, leads).select("id", "leads", "is_lead", "text").mapInArrow(vectors, "id long, leads array<long>, is_lead boolean, h binary, w binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
     """The pairs (id, lead) of at least that weighted Jaccard similarity, with it as similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +411,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, idf, threshold: float) -> DataF
             yield out.filter(keep)
 
     rows = pairs.select("id", "lead").unionByName(pairs.select(F.col("lead").alias("id"), F.lit(None).cast("long").alias("lead")))
-    leads = materialise(rows.groupBy("id").agg(F.collect_set("lead").alias("leads"), F.max(F.col("lead").isNull()).alias("is_lead")), "leads")
+    leads = rows.groupBy("id").agg(F.collect_set("lead").alias("leads"), F.max(F.col("lead").isNull()).alias("is_lead"))
+    leads = materialise(leads.join(reps.select("id", "doc"), "id"), "leads")
     vectors = materialise(_vectors(docs, leads, idf).dropDuplicates(["id"]), "vectors")
     own = vectors.where(F.size("leads") > 0).select("id", F.explode("leads").alias("lead"), "h", "w")
     lead = vectors.where("is_lead").select(F.col("id").alias("lead"), F.col("h").alias("lead_h"), F.col("w").alias("lead_w"))
@@ -353,32 +438,42 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each doc_id: doc_id, class_id (the least doc_id of its class), n_links (verified links of its representative), copies (documents of the same word sequence)."""
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, text_key, root and alone (which name the class), class_id, n_links, copies: a row for each text of each doc_id."""
     spark = docs.sparkSession
     df, n = document_frequencies(docs)
     idf = spark.sparkContext.broadcast(_idf_levels(df, n))
     signed = materialise(signatures(docs, idf), "signatures")
-    own_class = F.when(F.col("n") == 0, F.col("doc_id"))  # null for texts with words
-    signed = signed.withColumn("alone", own_class)
-    classes = signed.groupBy("h1", "h2", "alone").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies"))
-    reps = materialise(signed.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select(F.col("x.doc_id").alias("id"), "x.sig"), "reps")
+    # a text without words is a class of its own
+    signed = signed.withColumn("alone", F.when(F.col("n") == 0, F.col("doc_id")))
+    texts = signed.groupBy("h1", "h2", "alone").agg(F.min("doc_id").alias("doc"), F.countDistinct("doc_id").alias("copies"))
+    reps = materialise(signed.where("n > 0").groupBy("h1").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select(F.col("h1").alias("id"), F.col("x.doc_id").alias("doc"), "x.sig"), "reps")
     keys = materialise(_band_keys(reps), "keys")
     pairs = materialise(_candidates(keys, reps), "pairs")
-    links = materialise(_verified(pairs, docs, idf, threshold), "links")
-    root = components(links.select(F.col("id").alias("u"), F.col("lead").alias("v")))
-    rest = materialise(_rest(keys, reps, root).join(pairs, ["id", "lead"], "left_anti"), "rest")
-    links = links.unionByName(materialise(_verified(rest, docs, idf, threshold), "links"))
+    links = materialise(_verified(pairs, reps, docs, idf, threshold), "links")
     root = components(links.select(F.col("id").alias("u"), F.col("lead").alias("v")))
+    links, root = _remaining(keys, reps, docs, idf, links, root, threshold, pairs)
     ends = links.select("id").unionByName(links.select(F.col("lead").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    known = classes.join(root.withColumnRenamed("id", "rep"), "rep", "left").join(ends.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("h1", "h2", "alone", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "copies")
-    s = signed.select("doc_id", "h1", "h2", "alone").distinct()
-    return s.join(known, (s.h1 == known.h1) & (s.h2 == known.h2) & s.alone.eqNullSafe(known.alone)).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.max("copies").alias("copies"))
+    of_text = reps.select("id", "doc").join(root, "id", "left").join(ends, "id", "left").select("id", "doc", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    least = of_text.groupBy("root").agg(F.min("doc").alias("class_id"))
+    of_text = of_text.join(least, "root").select(F.col("id").alias("h1"), "root", "class_id", "n_links")
+    wordy = texts.where("alone is null").join(of_text, "h1").select("h1", "h2", "alone", "root", "class_id", "n_links", "copies")
+    wordless = texts.where("alone is not null").select("h1", "h2", "alone", F.col("h1").alias("root"), F.col("alone").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "copies")
+    known = wordy.unionByName(wordless)
+    known = known.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("alone").alias("k3"), "root", "class_id", "n_links", "copies")
+    s = signed.select("doc_id", "text_key", "h1", "h2", "alone").distinct()
+    return s.join(known, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col("alone").eqNullSafe(F.col("k3"))).select("doc_id", "text_key", "root", "alone", "class_id", "n_links", "copies")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each doc_id: doc_id, class_id (the least doc_id of its class), n_links (verified links of its text), copies (documents of the same word sequence)."""
+    return _classes(docs, threshold).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"), F.max("copies").alias("copies"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose doc_id is their class's least; of rows that repeat a doc_id one; rows of null doc_id stay."""
-    gone = near_duplicates(docs, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One row of each class: of its least doc_id. Texts of one doc_id that are no copies of each other all stay if that doc_id is the least of each one's class; rows of null doc_id stay."""
+    kept = _classes(docs, threshold).where("doc_id = class_id").groupBy("root", "alone").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
+    kept = kept.select(F.col("x.doc_id").alias("_kept_id"), F.col("x.text_key").alias("_kept_text"))
+    keyed = docs.withColumns({"_id_of_row": F.col("doc_id").cast("long"), "_text_of_row": F.xxhash64("text")})
+    held = keyed.join(kept, (F.col("_id_of_row") == F.col("_kept_id")) & (F.col("_text_of_row") == F.col("_kept_text")), "left_semi").dropDuplicates(["_id_of_row", "_text_of_row"])
+    return held.select(*docs.columns).unionByName(docs.where("doc_id is null"))

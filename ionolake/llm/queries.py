@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, license_scan, lm_score, near_dedup, pii, quality, sentencepiece_viterbi, token_counts, topk
+from .common import small_batches
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # texts are long: fewer rows in each Arrow batch keep the Python workers small
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

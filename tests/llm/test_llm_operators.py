@@ -404,26 +404,56 @@ def test_near_duplicates_in_a_template_family(spark):
     assert got == want
 
 
-def test_icws_agreement_is_weighted_jaccard():
-    rng = random.Random(8)
-    a = [f"w{rng.randrange(10**6)}" for _ in range(600)]
-    b = a[:450] + [f"v{rng.randrange(10**6)}" for _ in range(150)]
-    data, offs = string_buffer(pa.array([" ".join(a), " ".join(b)]))
-    rows, h, tf, *_ = near_dedup._shingles(data, offs)
-    x, y = set(h[rows == 0].tolist()), set(h[rows == 1].tolist())
-    jaccard = len(x & y) / len(x | y)
-    minus_log, factor, marks, seeds, _ = near_dedup._icws_tables()
-    level = np.zeros(len(h), np.int64)
-    same = 0
-    for trial in range(8):
-        for seed in seeds:
-            z = h * (seed + np.uint64(2 * trial))
-            z ^= z >> np.uint64(29)
-            z *= np.uint64(0xD6E8FEB86659FD93)
-            place = level * near_dedup._POOL + (z >> np.uint64(52)).astype(np.int64)
-            v = (minus_log[(z >> np.uint64(36)) & np.uint64(0xFFFF)] + minus_log[(z >> np.uint64(20)) & np.uint64(0xFFFF)]) * factor[place]
-            same += h[rows == 0][v[rows == 0].argmin()] == h[rows == 1][v[rows == 1].argmin()]
-    assert same / (8 * near_dedup.K) == pytest.approx(jaccard, abs=0.07)
+def test_samples_agree_as_the_weighted_jaccard_says():
+    """Weights of very different size, through the sampler that signatures() uses."""
+    rng = np.random.default_rng(8)
+    h = rng.integers(0, 1 << 44, 500, dtype=np.uint64)
+    both = slice(0, 350)
+    level_a, level_b = rng.integers(0, 120, 350), rng.integers(0, 120, 350)
+    level_b[:250] = level_a[:250]
+    a, la = np.concatenate([h[both], h[350:420]]), np.concatenate([level_a, rng.integers(0, 120, 70)])
+    b, lb = np.concatenate([h[both], h[420:]]), np.concatenate([level_b, rng.integers(0, 120, 80)])
+    weight = lambda level: np.exp(level * near_dedup.STEP)
+    shared = np.minimum(weight(level_a), weight(level_b)).sum()
+    jaccard = shared / (weight(la).sum() + weight(lb).sum() - shared)
+    seeds = near_dedup._icws_tables()[5]
+    got = list(near_dedup.samples(np.concatenate([a, b]), np.concatenate([la, lb]), np.array([0, len(a)]), seeds))
+    assert np.mean([x[0] == x[1] for x in got]) == pytest.approx(jaccard, abs=3 * (jaccard * (1 - jaccard) / len(seeds)) ** 0.5)
+
+
+def test_classes_agree_with_exact_weights(spark, monkeypatch):
+    """Pairs over a wide range of similarity, with repeated shingles, against weighted Jaccard from counted words."""
+    rng, rows = random.Random(4), []
+    for i in range(0, 400, 2):
+        base = prose(500 + i, 90).split() + prose(9, 5).split() * (i % 3)
+        other = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            other[rng.randrange(len(other))] = f"new{rng.randrange(10**6)}"
+        rows += [(i, " ".join(base), "en", "s", 1), (i + 1, " ".join(other), "en", "s", 1)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
+    grams = {i: collections.Counter(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for i, t, *_ in rows}
+    df = collections.Counter(g for c in grams.values() for g in c)
+    n = len(rows)
+    step = lambda x: round(math.log(x) / near_dedup.STEP)
+    weight = {i: {g: math.exp(near_dedup.STEP * (step(1 + math.log(k)) + step(1 + near_dedup.IDF_SHARE * math.log((1 + n) / (1 + df[g])) / math.log(2 + n)))) for g, k in c.items()} for i, c in grams.items()}
+    sure = missed = 0
+    for i in range(0, 400, 2):
+        a, b = weight[i], weight[i + 1]
+        shared = sum(min(w, b[g]) for g, w in a.items() if g in b)
+        similarity = shared / (sum(a.values()) + sum(b.values()) - shared)
+        if abs(similarity - 0.8) > 0.005:  # df counters may collide
+            sure += similarity > 0.8
+            missed += (similarity > 0.8) != (got[i] == got[i + 1])
+    assert sure > 50 and missed <= 1
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    a, b, c = prose(31, 60), prose(32, 60), prose(33, 60)
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, a, "en", "s", 1), (2, b, "en", "s", 1), (3, c, "en", "s", 1), (3, c + " x", "en", "s", 1), (4, None, "en", "s", 1), (5, None, "en", "s", 1)]
+    t = table(spark, rows).withColumn("gone_id", F.lit(1)).withColumn("root", F.lit(2)).withColumn("id", F.lit(3))
+    kept = near_dedup.one_of_each(t)
+    assert kept.columns == t.columns and sorted((r["doc_id"], (r["text"] or "")[:9]) for r in kept.collect()) == sorted([(1, a[:9]), (1, b[:9]), (3, c[:9]), (4, ""), (5, "")])
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(t).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
 def test_components_of_a_chain(spark):
