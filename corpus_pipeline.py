@@ -12,20 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionolake.llm import decontaminate, language_id, near_dedup, pii, sentencepiece_viterbi
-from ionolake.llm.common import fold_of, materialise
+from ionolake.llm.common import fold_of, materialise, small_batches
 
 #: A document goes if its text has no letter, or no language of the model reaches this score.
 LEAST_SCORE = 0.05
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Texts are long: fewer rows in each Arrow batch keep the Python workers small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model can tell; the labelled documents outside the held-out fold train it."""
-    _small_batches(spark)
+    small_batches(spark)
     model = language_id.train(docs, F.coalesce(fold_of("doc_id") != 0, F.lit(False)))
     told = language_id.identify(docs, model, "_lang_pred", "_score")
     return told.where((F.col("_lang_pred") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
@@ -33,25 +28,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
-    _small_batches(spark)
+    small_batches(spark)
     return near_dedup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    _small_batches(spark)
+    small_batches(spark)
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with PII as format-preserving pseudonyms; n_chars follows the text."""
-    _small_batches(spark)
+    small_batches(spark)
     return pii.scrub_documents(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as SentencePiece ids."""
-    _small_batches(spark)
+    small_batches(spark)
     return sentencepiece_viterbi.encode_documents(docs, keep=("source", "lang"))
 
 
