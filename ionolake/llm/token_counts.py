@@ -17,6 +17,7 @@ Cases: null or empty text has one section of 0 tokens (number 0, span 0 to 0); r
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,30 @@ def _encoder(shared) -> tuple[object, np.ndarray]:
     return _encoders[0][1:]
 
 
+#: What the pattern's \s stands for.
+_BLANK = r"[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: A longer run of blanks is encoded apart from its neighbours: the pattern's matcher keeps a state for each of its blanks.
+LONG_RUN = 100_000
+_RUN = re.compile(f"{_BLANK}{{{LONG_RUN},}}")
+
+
+def encode(encoding, text: str) -> list[int]:
+    """The ids of encoding.encode_ordinary(text), for runs of blanks of any length. The pattern takes a run of blanks before another character as all of them but the last, and at the text's end as a whole: there
+    the text can be cut, and the piece has nothing left for the pattern to do but the merges."""
+    out, at = [], 0
+    for m in _RUN.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        if at < m.start():
+            out += encoding.encode_ordinary(text[at : m.start()])
+        out += _merged(encoding, text[m.start() : end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
+def _merged(encoding, piece: str) -> list[int]:
+    return encoding._encode_single_piece(piece)
+
+
 def attribute(token_ends: np.ndarray, section_ends: np.ndarray, rule: str = "start") -> tuple[np.ndarray, np.ndarray]:
     """Tokens and crossing tokens of each section; both given by their ends in order, starting from 0 and covering the same bytes."""
     n = len(section_ends)
@@ -107,7 +132,7 @@ def section_counts(docs: DataFrame, fields: list[str] | None = None, rule: str =
                         cut[-1] -= 1
                     else:
                         cut = _line_ends(raw)
-                    spans = np.cumsum(length[np.array(encoding.encode_ordinary(whole), np.int64)])
+                    spans = np.cumsum(length[np.array(encode(encoding, whole), np.int64)])
                     n, over = attribute(spans, cut, rule)
                     rows.append(np.full(len(cut), i))
                     n_sections.append(np.arange(len(cut)))
