@@ -1,7 +1,8 @@
 """PII as format-preserving pseudonyms: validated values are permuted within their own format by a keyed Feistel network.
 
-Kinds, in order of precedence where spans overlap: secrets (quoted hexadecimal of 32 digits or more), e-mail addresses, IBANs (mod 97), card numbers (13 to 19 digits, Luhn), US
-social security numbers (SSA ranges), IPv4 addresses (octets to 255), phone numbers (+ and 8 to 15 digits, or national (ddd) ddd-dddd), and calendar dates
+Kinds, in order of precedence where spans overlap: secrets (quoted hexadecimal of 32 digits or more, keys of known prefixes, and what is assigned to a name such as token or password if it has 16 characters or more, letters and
+digits among them), e-mail addresses, IBANs (mod 97), card numbers (13 to 19 digits, Luhn), US
+social security numbers (SSA ranges), IPv4 addresses (octets to 255), phone numbers (+ and 8 to 15 digits, or national (ddd) ddd-dddd and ddd-ddd-dddd), and calendar dates
 (YYYY-MM-DD, DD.MM.YYYY, MM/DD/YYYY) that exist. What looks like one but isn't valid (a number that fails its check digit, 31 February) is left alone.
 
 A candidate may hold more than the value (digits or capitals that stand after or before it). The parts of it that the layout suggests are tried first (cards in their usual groups or as one
@@ -14,7 +15,7 @@ of the format, so equal values get equal pseudonyms in every document and differ
 
 Everything happens within a row: no shuffle, no state between tasks. Values that differ in layout only (4111-1111... and 4111 1111...) are numbered by their digits, so they stay linked too.
 
-Cases: null text stays null with 0 found, empty text stays empty; repeated rows get equal pseudonyms; other columns are untouched.
+Cases: null text stays null with 0 found, empty text stays empty; repeated rows get equal pseudonyms; a text is scrubbed whole, however long; an empty table gives no rows; other columns are untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,21 +27,28 @@ from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key for tests and examples; production passes its own.
+#: A key for tests and examples; production passes its own, or sets it as SECRET in the session.
 DEFAULT_KEY = b"ionolake-example-key"
+SECRET = "spark.ionolake.pii.secret"
 ROUNDS = 8
 KINDS = ("secret", "email", "iban", "card", "ssn", "ip", "phone", "date")
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
 
+#: What keys of well-known services begin with, and words that a secret is assigned to.
+_PREFIX = r"sk-(?:proj-|live-|test-)?|AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|AIza|eyJ"
+_NAMED = r"(?:api[_-]?key|access[_-]?key|private[_-]?key|token|secret|passw(?:or)?d)"
 _CANDIDATE = re.compile(
-    r"""(?P<secret>(?<=["'])[0-9A-Fa-f]{32,}(?=["']))
+    rf"""(?P<secret>(?<=["'])[0-9A-Fa-f]{{32,}}(?=["'])|(?<![A-Za-z0-9_])(?:{_PREFIX})(?=[A-Za-z0-9_.-]{{0,40}}[0-9])[A-Za-z0-9_-]{{16,}}(?:\.[A-Za-z0-9_-]+)*)
+    |(?P<named>(?i:{_NAMED})["']?[ ]?[=:][ ]?["']?(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{{16,}}={{0,2}})
+    """
+    r"""
     |(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9_%+-]*(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
     |(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?\b)
-    |(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9]|\.[0-9])|(?<![\w])\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4}(?![0-9]))
+    |(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9]|\.[0-9])|(?<![\w])\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![\w.+-])[2-9][0-9]{2}-[0-9]{3}-[0-9]{4}(?![\w-]))
     |(?P<date>(?<![\d./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\d/-]))
     |(?P<ssn>(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d-]))
     |(?P<ip>(?<![\d.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\d]|\.\d))
@@ -48,7 +56,7 @@ _CANDIDATE = re.compile(
     re.VERBOSE | re.ASCII,
 )
 #: Every candidate has one of these; a text without needs no further look.
-_HINT = re.compile(r"@|[0-9][^\n]{0,3}[0-9]|[\"'][0-9A-Fa-f]{32}", re.ASCII)
+_HINT = re.compile(rf"@|[0-9][^\n]{{0,3}}[0-9]|[\"'][0-9A-Fa-f]{{32}}|{_PREFIX}|(?i:{_NAMED})[\"']?[ ]?[=:]", re.ASCII)
 
 
 #: Lengths of IBANs by country.
@@ -64,7 +72,9 @@ _CARD_GROUPS = re.compile(r"(?<![0-9-])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9
 def _parts(kind: str, value: str) -> Iterator[tuple[int, int]]:
     """Where the value may lie in a candidate, in the order to be tried."""
     ends = [m.start() for m in re.finditer(r"[ .-]", value)]
-    if kind == "card":
+    if kind == "named":
+        yield re.match(r"[^=:]*[=:][ ]?[\"']?", value).end(), len(value)
+    elif kind == "card":
         at = 0
         while m := _CARD_GROUPS.search(value, at):
             yield m.span()
@@ -162,7 +172,11 @@ def pseudonym(kind: str, value: str, key: bytes = DEFAULT_KEY, inverse: bool = F
     """The value's pseudonym (inverse: the value of a pseudonym); None if it isn't valid as that kind."""
     tweak = kind.encode()
     if kind == "secret":
-        return _mixed(value, key, tweak, inverse, hexa=True)
+        if re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", value):
+            return _mixed(value, key, tweak, inverse, hexa=True)
+        keep = re.match(_PREFIX, value)
+        head = keep[0] if keep else ""
+        return head + _refill(value[len(head) :], _mixed(re.sub(r"[^A-Za-z0-9]", "", value[len(head) :]), key, tweak, inverse))
     if kind == "email":
         user, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
@@ -225,7 +239,9 @@ def scrub(text: str, key: bytes = DEFAULT_KEY, inverse: bool = False) -> tuple[s
     look = 0
     while m := _CANDIDATE.search(text, look):
         kind, value, look = m.lastgroup, m.group(), m.start() + 1
-        for a, b in _parts(kind, value):
+        parts = _parts(kind, value)
+        kind = "secret" if kind == "named" else kind
+        for a, b in parts:
             new = pseudonym(kind, value[a:b], key, inverse)
             if new is not None:
                 start, look = m.start() + a, m.start() + b
@@ -241,8 +257,13 @@ def reveal(text: str, key: bytes = DEFAULT_KEY) -> str:
     return scrub(text, key, inverse=True)[0]
 
 
-def scrub_documents(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """docs with text pseudonymised, and pii: an array of (start, end, kind) in the original text (null where text is)."""
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key (SECRET, which Spark masks in its logs), or the example key."""
+    return spark.conf.get(SECRET, DEFAULT_KEY.decode()).encode()
+
+
+def scrub_documents(docs: DataFrame, key: bytes = DEFAULT_KEY, spans: str | None = "pii") -> DataFrame:
+    """docs with text pseudonymised, and a column of that name (with _ after it if docs has one; None: without): an array of (start, end, kind) in the original text (null where text is)."""
 
     @F.pandas_udf("text string, pii array<struct<start:int,end:int,kind:string>>")
     def run(texts):
@@ -251,9 +272,13 @@ def scrub_documents(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
         done = [(None, None) if t is None else scrub(t, key) for t in texts]
         return pd.DataFrame({"text": [t for t, _ in done], "pii": [s and [{"start": a, "end": b, "kind": k} for a, b, k in s] if s is not None else None for _, s in done]})
 
-    names = [c for c in docs.columns if c != "pii"]
-    held = docs.withColumn("_pii", run("text"))
-    return held.select(*[F.col("_pii.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], F.col("_pii.pii").alias("pii"))
+    def free(name: str) -> str:
+        return name if name not in docs.columns else free(name + "_")
+
+    held = free("_pii")
+    done = docs.withColumn(held, run("text"))
+    columns = [F.col(f"`{held}`.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return done.select(*columns, *([F.col(f"`{held}`.pii").alias(free(spans))] if spans else []))
 
 
 def scrub_report(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:

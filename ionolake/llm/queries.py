@@ -49,7 +49,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.scrub_report(_documents(spark, sf_dir))
+    return pii.scrub_report(_documents(spark, sf_dir), pii.key_of(spark))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
