@@ -2,18 +2,19 @@
 
 The index holds, for each term, its postings (item, impact) in item order, with the largest impact of each block of BLOCK items (block
 maxima). Impacts are BM25 term scores over the item's own full score, so one threshold says how much of an item a
-passage holds. Passages are windows of words, each overlapping the next by half, at least twice as long as the longest item.
+passage holds. An item of more than PIECE words is indexed in pieces of about equal length, each retrieved by itself. Passages are windows of words, each overlapping the next by half, twice as long as the longest piece or longer.
 
 A passage is dropped early when its terms' largest impacts, then its terms' block maxima, cannot reach the threshold; the
 rest run block-max WAND, which retrieves every item at or above it. Each retrieved (document, item) is verified on the whole
 document: shares of the question's and of the answer's word trigrams that it holds. The answer of an item is its last sentence or line, or, if
 it has one only, its last third of words; the question is what stands before.
 
-The test items are indexed in blocks of at most INDEX_ITEMS items and INDEX_WORDS words, one broadcast at a time, however large the benchmark is.
-Documents are read once for each block and nothing is shuffled.
+The test items are indexed in blocks of at most INDEX_ITEMS items and INDEX_WORDS words. With more than one block, each block's result is written before its index is given up and the next one built, so driver and executors hold
+one index at a time, however large the benchmark is. Documents are read once for each block and nothing is shuffled.
 
-Cases: null or word-less items and texts match nothing; repeated items are found each under its own item_id; rows that repeat a doc_id give rows each;
-a null doc_id is returned as null; an empty table gives no rows; extra columns are ignored.
+Cases: null or word-less items and texts match nothing; an item of fewer than LEAST_WORDS words can't be told from chance inside a text and is found in texts only that have no other words; repeated items are found each under its own
+item_id; rows that repeat a doc_id give rows each; a null doc_id is returned as null; a text is searched whole, however long (a pass over one takes some 40 bytes of memory a byte of it); an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, chunks, mix, row_of, span_hashes, spans, string_buffer
+from .common import WORD_BYTES, chunks, materialise, mix, row_of, span_hashes, spans, string_buffer
 
 THRESHOLD = 0.6
 QUESTION_OVERLAP = 0.6
@@ -34,6 +35,8 @@ ANSWER_OVERLAP = 0.6
 K1, B = 1.2, 0.75
 BLOCK = 2
 WINDOW = 128
+PIECE = 256
+LEAST_WORDS = 5
 INDEX_ITEMS = 20_000
 INDEX_WORDS = 2_000_000
 #: Entries of the block maxima's matrix, at most.
@@ -77,6 +80,10 @@ class Index:
         words = [words[i] for i in keep]
         self.parts = [tuple(np.unique(_grams(p)) for p in _parts(texts[i])) for i in keep]
         self.short = [tuple(min(3, len(p)) for p in _parts(texts[i])) for i in keep]
+        self.n_words = [len(w) for w in words]
+        pieces = [np.array_split(w, -(-len(w) // PIECE)) for w in words]
+        self.owner = [i for i, ps in enumerate(pieces) for _ in ps]  # the item of each piece; below, an item is a piece
+        words = [p for ps in pieces for p in ps]
         n = len(words)
         length = np.array([len(w) for w in words], np.float64)
         self.window = max([WINDOW, *(2 * len(w) for w in words)])
@@ -209,10 +216,13 @@ class Index:
         for k in np.flatnonzero(self.block_bounds(term, cut) >= threshold - 1e-5):
             terms = term[cut[k] : cut[k + 1]]
             r = int(np.searchsorted(base, window[cut[k]], "right")) - 1
-            for item, score in self.wand(terms, threshold):
+            for piece, score in self.wand(terms, threshold):
+                item = self.owner[piece]
                 hits[r, item] = max(score, hits.get((r, item), 0.0))
         for (r, item), score in sorted(hits.items()):
             own_words = words[first[r] : first[r + 1]]
+            if self.n_words[item] < LEAST_WORDS and len(own_words) != self.n_words[item]:
+                continue
             share = [float(np.isin(p, _grams(own_words, n)).mean()) if len(p) else 1.0 for p, n in zip(self.parts[item], self.short[item], strict=True)]
             if share[0] >= question and share[1] >= answer:
                 yield r, item, score, *share
@@ -233,12 +243,24 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
         yield Index(ids, texts)
 
 
+def _passes(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """Each index, and whether it is the only one."""
+    held, more = None, False
+    for index in indexes(benchmark):
+        if held is not None:
+            more = True
+            yield held, False
+        held = index
+    if held is not None:
+        yield held, not more
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: a row for each test item that a document holds."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = spark.createDataFrame([], schema)
-    for index in indexes(benchmark):
+    for index, alone in _passes(benchmark):
         shared = spark.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -249,14 +271,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, q
                         r, item, *rest = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(r)), pa.array([ix.item_ids[i] for i in item], pa.int64()), *(pa.array(x, pa.float64()) for x in rest)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, schema))
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, schema)
+        if not alone:
+            found = materialise(found, "leaks")
+            shared.destroy()
+        out = out.unionByName(found)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP) -> DataFrame:
     """The documents that hold no test item; the filter runs in the scan."""
     spark = docs.sparkSession
-    for index in indexes(benchmark):
+    for index, alone in _passes(benchmark):
         shared = spark.sparkContext.broadcast(index)
 
         @F.pandas_udf("boolean")
@@ -270,4 +296,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
             return pd.Series(out)
 
         docs = docs.where(~leaked(F.coalesce("text", F.lit(""))))
+        if not alone:
+            docs = materialise(docs, "clean")
+            shared.destroy()
     return docs
