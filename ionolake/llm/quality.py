@@ -9,7 +9,8 @@ texts, drawn by the hash of the id with a share for each pattern, so rare patter
 keep is score >= KEEP. The labels table takes no part in training; tests hold the scores against it.
 
 Cases: null or word-less texts have all votes bad and score by their features alone; rows of null doc_id are scored but not learned from; repeated rows are scored alike;
-an empty table gives no rows; extra columns are ignored. With one pattern only, every text gets its posterior as label.
+an empty table gives no rows; extra columns are ignored. With one pattern only, every text gets its posterior as label. A vote pattern that the model hasn't seen gets its posterior from the accuracies, as the others do. Texts are read
+whole, however long (some 70 bytes of memory a byte of the longest).
 """
 
 from __future__ import annotations
@@ -113,9 +114,16 @@ def _decode(code: np.ndarray) -> np.ndarray:
     return code[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """EM over vote patterns (rows of 0, 1, 2) and their counts: the posterior of good by pattern, and accuracies [labeller, 2]: how often a labeller that says
-    something of a bad (of a good) text is right. Priors hold the classes to their meaning: without them, EM may split texts by another trait, such as length."""
+def posterior(patterns: np.ndarray, accuracies: np.ndarray, bad: float) -> np.ndarray:
+    """The probability of good for vote patterns, from the labellers' accuracies and the share of bad texts."""
+    bad_votes, good_votes = (patterns == 0).astype(np.float64), (patterns == 1).astype(np.float64)
+    log = [np.log(p) + bad_votes @ np.log(q) + good_votes @ np.log(1 - q) for p, q in ((bad, accuracies[:, 0]), (1 - bad, 1 - accuracies[:, 1]))]
+    return 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
+    """EM over vote patterns (rows of 0, 1, 2) and their counts: the posterior of good by pattern, accuracies [labeller, 2] (how often a labeller that says
+    something of a bad (of a good) text is right), and the share of bad texts. Priors hold the classes to their meaning: without them, EM may split texts by another trait, such as length."""
     n = counts.sum()
     bad_votes, any_votes = (patterns == 0).astype(np.float64), (patterns != 2).astype(np.float64)
     hit = np.full(patterns.shape[1], 0.4)
@@ -124,15 +132,15 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, steps: int = 300) -> tupl
     post = np.zeros(len(patterns))
     for _ in range(steps):
         before = post
-        log = [np.log(p) + bad_votes @ np.log(q) + (any_votes - bad_votes) @ np.log(1 - q) for p, q in ((bad, hit), (1 - bad, alarm))]
-        post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+        post = posterior(patterns, np.stack([hit, 1 - alarm], axis=1), bad)
         w_bad, w_good = counts * (1 - post), counts * post
         hit = (w_bad @ bad_votes + 0.4 * 0.02 * n) / (w_bad @ any_votes + 0.02 * n)
         alarm = (w_good @ bad_votes + FALSE_ALARM * PRIOR_WEIGHT * n) / (w_good @ any_votes + PRIOR_WEIGHT * n)
         bad = (w_bad.sum() + BAD * PRIOR_WEIGHT * n) / (n + PRIOR_WEIGHT * n)
         if np.abs(post - before).max() < 1e-9:
             break
-    return post, np.stack([hit, 1 - alarm], axis=1)
+    accuracies = np.stack([hit, 1 - alarm], axis=1)
+    return posterior(patterns, accuracies, bad), accuracies, bad
 
 
 def _fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -170,7 +178,7 @@ def train(docs: DataFrame) -> dict | None:
     code, count = counted.column("pattern").to_numpy(), counted.column("count").to_numpy()
     o = np.argsort(code)
     code, count = code[o], count[o]
-    post, accuracies = estimate(_decode(code), count)
+    post, accuracies, bad = estimate(_decode(code), count)
     each = TRAIN_ROWS / len(code)
     # half of the sample in proportion, half alike for every pattern
     share = np.minimum(1, (TRAIN_ROWS / 2) / count.sum() + each / 2 / count)
@@ -194,7 +202,7 @@ def train(docs: DataFrame) -> dict | None:
         got = got.sort_by([("place", "ascending"), ("y", "ascending")])
         x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
         weights = _fit(x, got.column("y").to_numpy(), np.sqrt(got.column("w").to_numpy()))
-    return {"patterns": code, "posterior": post, "accuracies": accuracies, "weights": weights}
+    return {"patterns": code, "posterior": post, "accuracies": accuracies, "bad": bad, "weights": weights}
 
 
 def score(docs: DataFrame, model: dict | None, keep: float = KEEP) -> DataFrame:
@@ -209,10 +217,11 @@ def score(docs: DataFrame, model: dict | None, keep: float = KEEP) -> DataFrame:
         for b in batches:
             for lo, hi, data, offs in chunks(*string_buffer(b.column(1)), _BLOCK):
                 code = _code(votes(data, offs))
-                at = np.minimum(np.searchsorted(m["patterns"], code), len(m["patterns"]) - 1)
+                seen, at = np.unique(code, return_inverse=True)
+                good = posterior(_decode(seen), m["accuracies"], m["bad"])[at]
                 s = np.concatenate([_features(data[offs[i] : offs[min(i + 500, hi - lo)]], offs[i : min(i + 500, hi - lo) + 1] - offs[i]) @ m["weights"][:-1] for i in range(0, hi - lo, 500)])
                 p = 1 / (1 + np.exp(-np.clip(s + m["weights"][-1], -30, 30)))
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(lo, hi - lo), "pattern": pa.array(code.astype(np.int32)), "posterior": pa.array(m["posterior"][at]), "score": pa.array(p.astype(np.float64)), "keep": pa.array(p >= keep)})
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(lo, hi - lo), "pattern": pa.array(code.astype(np.int32)), "posterior": pa.array(good), "score": pa.array(p.astype(np.float64)), "keep": pa.array(p >= keep)})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
