@@ -14,8 +14,8 @@ to the least id left, for ROUNDS rounds. Pairs whose signatures agree enough are
 from the whole texts, and the verified links are closed to components by alternating large-star and small-star steps.
 That joins large groups of copies by few links. Each bucket that still holds more than one component is then compared whole, in blocks of
 at most BLOCK by BLOCK members, within tasks: only members that come near one of another component get a longer signature of FINE samples (a byte each), and
-only pairs whose long signatures agree as those of the threshold do are verified: first the best pair of a text and each other component, then, where those didn't link, all others. So two
-texts that share a bucket are in one class by verified links or have been compared. What a bucket's comparison costs grows with the square of the texts that no link
+only pairs whose long signatures agree as those of the threshold do are verified: first each text's best partner of another component, then all others whose components still differ, each pair from
+the first band that its texts share. So two texts that share a bucket are in one class by verified links or have been compared. What a bucket's comparison costs grows with the square of the texts that no link
 joins, but in arithmetic on signatures, not in rows: a text stands in a bucket once for each of its blocks.
 
 Cases: null or word-less texts are in a class of their own; rows that repeat a doc_id are one document, all of whose texts count (near_duplicates() gives the id its texts' least class, one_of_each()
@@ -216,7 +216,7 @@ def _text_key() -> Column:
 
 
 def _band_keys(reps: DataFrame) -> DataFrame:
-    """id, key: a row for each of the BANDS keys."""
+    """id, key, band: a row for each of the BANDS keys."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subsets = _icws_tables()[4]
@@ -228,9 +228,9 @@ def _band_keys(reps: DataFrame) -> DataFrame:
                 for c in s:
                     z = mix(z * np.uint64(0x9E3779B97F4A7C15) + sig[:, c] + np.uint64(1))
                 out[:, j] = z
-            yield pa.RecordBatch.from_pydict({"id": pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), "key": pa.array(out.view(np.int64).ravel())})
+            yield pa.RecordBatch.from_pydict({"id": pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), "key": pa.array(out.view(np.int64).ravel()), "band": pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sig)))})
 
-    return reps.select("id", "sig").mapInArrow(keys, "id long, key long")
+    return reps.select("id", "sig").mapInArrow(keys, "id long, key long, band int")
 
 
 def _agree(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -258,61 +258,91 @@ def _candidates(keys: DataFrame, reps: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def _compared(held: DataFrame, least: float, kind: type, best: bool) -> DataFrame:
-    """Pairs of members of one bucket (held: key, id, root, block, blocks, sig) and of different components whose signatures agree in a share of at least least: a, other (the root of b), b, agree, in both
-    directions; best: of each member and other component, in a pair of blocks, only the best pair."""
+def _blocks(held: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """x, y, band, members: each block of a bucket with itself and with each other one; held: key, band, id, root, block, blocks, sig (and extra)."""
+    dealt = held.withColumn("twin", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "band", F.least("block", "twin").alias("x"), F.greatest("block", "twin").alias("y"), F.struct("id", "root", "block", "sig", *extra).alias("member"))
+    return dealt.groupBy("key", "band", "x", "y").agg(F.collect_list("member").alias("members")).select("x", "y", "band", "members")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _agreeing(members: pa.StructArray, x: int, y: int, least: float, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places u, v of members of block x and of block y whose roots differ and whose signatures agree in a share of at least least, how many samples agree, and all ids."""
+    ids, roots, block = (members.field(k).to_numpy() for k in range(3))
+    sig = np.frombuffer(b"".join(members.field(3).to_pylist()), kind).reshape(len(ids), -1)
+    p, q = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    left, right = np.ascontiguousarray(sig[p].T), np.ascontiguousarray(sig[q].T)
+    same = np.zeros((len(p), len(q)), np.uint16)
+    for k in range(sig.shape[1]):
+        same += left[k][:, None] == right[k]
+    u, v = np.nonzero((same >= least * sig.shape[1]) & (roots[p][:, None] != roots[q]))
+    return p[u], q[v], same[u, v].astype(np.int64), ids
+
+
+def _near(held: DataFrame, least: float) -> DataFrame:
+    """id: the members that agree so much with a member of another component."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y, members in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True):
+                u, v, _, ids = _agreeing(members.values, x, y, least, np.uint32)
+                yield pa.RecordBatch.from_pydict({"id": pa.array(ids[np.unique(np.concatenate([u, v]))])})
+
+    return _blocks(held).mapInArrow(near, "id long").distinct()
+
+
+def _best(held: DataFrame, least: float) -> DataFrame:
+    """id, lead: of each member, the one of another component that agrees best with it by long signatures."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                members = batch.column(2)[i].values
-                ids, roots, block = (members.field(k).to_numpy() for k in range(3))
-                sig = np.frombuffer(b"".join(members.field(3).to_pylist()), kind).reshape(len(ids), -1)
-                x, y = np.flatnonzero(block == batch.column(0)[i].as_py()), np.flatnonzero(block == batch.column(1)[i].as_py())
-                left, right = np.ascontiguousarray(sig[x].T), np.ascontiguousarray(sig[y].T)
-                same = np.zeros((len(x), len(y)), np.uint16)
-                for k in range(sig.shape[1]):
-                    same += left[k][:, None] == right[k]
-                u, v = np.nonzero((same >= least * sig.shape[1]) & (roots[x][:, None] != roots[y]))
-                agree = same[u, v].astype(np.int64)
-                a, b, agree = np.concatenate([x[u], y[v]]), np.concatenate([y[v], x[u]]), np.concatenate([agree, agree])
-                if best and len(a):
-                    o = np.lexsort((ids[b], -agree, roots[b], ids[a]))
-                    a, b, agree = a[o], b[o], agree[o]
-                    top = np.concatenate([[True], (ids[a][1:] != ids[a][:-1]) | (roots[b][1:] != roots[b][:-1])])
-                    a, b, agree = a[top], b[top], agree[top]
-                yield pa.RecordBatch.from_pydict({"a": pa.array(ids[a]), "other": pa.array(roots[b]), "b": pa.array(ids[b]), "agree": pa.array(agree)})
-
-    # each block with itself and each other one
-    dealt = held.withColumn("twin", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "twin").alias("x"), F.greatest("block", "twin").alias("y"), F.struct("id", "root", "block", "sig").alias("member"))
-    groups = dealt.groupBy("key", "x", "y").agg(F.collect_list("member").alias("members"))
-    return groups.select("x", "y", "members").mapInArrow(compare, "a long, other long, b long, agree long")
+            for x, y, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+                u, v, agree, ids = _agreeing(members.values, x, y, least, np.uint8)
+                a, b, agree = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([agree, agree])
+                o = np.lexsort((ids[b], -agree, a))
+                a, b, agree = a[o], b[o], agree[o]
+                top = np.flatnonzero(np.diff(a, prepend=-1))
+                yield pa.RecordBatch.from_pydict({"a": pa.array(ids[a[top]]), "b": pa.array(ids[b[top]]), "agree": pa.array(agree[top])})
+
+    top = _blocks(held).mapInArrow(best, "a long, b long, agree long").groupBy("a").agg(F.max(F.struct("agree", "b"))["b"].alias("b"))
+    return top.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("lead")).distinct()
+
+
+def _all_pairs(held: DataFrame, least: float) -> DataFrame:
+    """id, lead, lead < id: the pairs of different components that agree so much by long signatures, each from the first of the bands that its members share; held has the short signature too."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subsets = _icws_tables()[4]
+        for b in batches:
+            for x, y, band, members in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
+                u, v, _, ids = _agreeing(members.values, x, y, least, np.uint8)
+                short = np.frombuffer(b"".join(members.values.field(4).to_pylist()), np.uint32).reshape(len(ids), -1)
+                once = u < v if x == y else np.ones(len(u), bool)
+                u, v = u[once], v[once]
+                for k in range(0, len(u), 10_000):
+                    p, q = u[k : k + 10_000], v[k : k + 10_000]
+                    here = (short[p] == short[q])[:, subsets].all(axis=2).argmax(axis=1) == band
+                    p, q = ids[p[here]], ids[q[here]]
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(np.maximum(p, q)), "lead": pa.array(np.minimum(p, q))})
+
+    return _blocks(held, ("short",)).mapInArrow(pairs, "id long, lead long")
 
 
 def _mixed(keys: DataFrame, root: DataFrame) -> DataFrame:
-    """key, id, root, block, blocks of the members of buckets that hold more than one component."""
-    held = keys.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    """key, band, id, root, block, blocks of the members of buckets that hold more than one component."""
+    held = keys.join(root, "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("root"))
     mixed = held.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     return held.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
-def _best_of(compared: DataFrame) -> DataFrame:
-    """Of each text and other component the pair that agrees best, as id and lead, lead < id."""
-    top = compared.groupBy("a", "other").agg(F.max(F.struct("agree", "b")).alias("x"))
-    return top.select(F.greatest("a", "x.b").alias("id"), F.least("a", "x.b").alias("lead")).distinct()
-
-
 def _remaining(keys: DataFrame, reps: DataFrame, docs: DataFrame, idf, links: DataFrame, root: DataFrame, threshold: float, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """links and root after all members of each bucket have been compared with those of its other components; checked: pairs that are verified or refuted already."""
     held = materialise(_mixed(keys, root), "mixed")
-    near = materialise(_compared(held.join(reps.select("id", "sig"), "id"), ESTIMATE, np.uint32, True).select(F.col("a").alias("id")).distinct(), "near")
-    fine = materialise(_fine(docs, near.join(reps.select("id", "doc"), "id"), idf), "fine")
-    held = held.drop("root").join(fine, "id")
-    for best in (True, False):
+    near = materialise(_near(held.join(reps.select("id", "sig"), "id"), ESTIMATE), "near")
+    near = reps.join(near, "id")
+    fine = materialise(_fine(docs, near.select("id", "doc"), idf).join(near.select("id", F.col("sig").alias("short")), "id"), "fine")
+    held = materialise(held.drop("root").join(fine.select("id"), "id"), "mixed")
+    for find in (_best, _all_pairs):
         now = held.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        found = _compared(now, fine_share(threshold), np.uint8, best)
-        pairs = _best_of(found) if best else found.where("a > b").select(F.col("a").alias("id"), F.col("b").alias("lead")).distinct()
-        pairs = materialise(pairs.join(checked, ["id", "lead"], "left_anti"), "rest")
+        pairs = materialise(find(now.join(fine, "id"), fine_share(threshold)).join(checked, ["id", "lead"], "left_anti"), "rest")
         checked = checked.unionByName(pairs)
         new = materialise(_verified(pairs, reps, docs, idf, threshold), "links")
         if not new.isEmpty():
