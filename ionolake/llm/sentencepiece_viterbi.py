@@ -1,24 +1,26 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
 
 The model file is a public one, read by its path; scores are the file's own. A text is escaped as the file says (spaces become U+2581, one
-before the text). The automaton runs over it once; at each position it reports the pieces that end there (the state's piece and those of its
+before the text; a character map and the dropping of extra spaces apply first, where the file has them). The automaton runs over it once; at each position it reports the pieces that end there (the state's piece and those of its
 output links, longest first), and each relaxes the best score of the position by that of its start plus the piece's. A character that no piece
-covers is worth the lowest score minus 10 and becomes its UTF-8 byte pieces. Equal scores keep the longest last piece.
+covers is worth the lowest score minus 10 and becomes its UTF-8 byte pieces, or the unknown piece in a model without them. Equal scores keep the longest last piece.
 
 No piece of such a model crosses from a word into the next one's U+2581, so the best path of a text is the best paths of its words in a row. Words
 repeat, so each task keeps the paths of the words that it has met (at most CACHE_WORDS, then it starts anew). A model with pieces across
 words is encoded whole texts at a time.
 
 Decoding joins pieces and bytes, undoes the escape and drops the leading space. It gives back the text, unless the text itself has
-U+2581 (decoded as a space), as round_trip says.
+U+2581 (decoded as a space), or the model maps characters, drops spaces or has no byte pieces, as round_trip says.
 
-Cases: null text has null ids and 0 tokens, empty text no ids; repeated rows are encoded alike; extra columns are ignored or kept.
+Cases: null text has null ids and 0 tokens, empty text no ids; repeated rows are encoded alike; a text or word is never cut, however long (some 40 bytes of memory a character of the longest word); an empty table gives no
+rows; extra columns are ignored or kept.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +32,14 @@ from .common import mix
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CACHE_WORDS = 400_000
+#: Characters from which on a word's scores are kept in packed arrays.
+LONG = 10_000
 UNKNOWN_PENALTY = 10.0
 _SPACE = "▁"
 _NONE = float("-inf")
-_NORMAL, _USER, _BYTE = 1, 4, 6
+_NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
+#: What an unknown piece is decoded as.
+_UNKNOWN_TEXT = " \u2047 ".encode()
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -67,21 +73,39 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
 
 
 def read_model(raw: bytes) -> dict:
-    """Pieces (text, score, type) in order of id, and the normaliser's add_dummy_prefix, of a SentencePiece model file.
-    Models with a character map or without byte pieces are refused."""
-    pieces, prefix = [], True
+    """Pieces (text, score, type) in order of id, and of the normaliser whether it sets a space before the text, drops extra spaces, and what it maps, of a SentencePiece model file."""
+    pieces, prefix, squeeze, mapped = [], True, True, {}
     for number, value in _fields(raw):
         if number == 1:
             p = {1: b"", 2: struct.pack("<f", 0), 3: _NORMAL} | dict(_fields(value))
             pieces.append((p[1].decode(), struct.unpack("<f", p[2])[0], p[3]))
         elif number == 3:
             spec = dict(_fields(value))
-            prefix = bool(spec.get(3, 1))
-            if spec.get(2) or spec.get(4, 1):
-                raise ValueError("models that map characters or drop spaces are not supported")
-    if sum(kind == _BYTE for _, _, kind in pieces) != 256:
-        raise ValueError("the model has no byte pieces")
-    return {"pieces": pieces, "prefix": prefix}
+            prefix, squeeze, mapped = bool(spec.get(3, 1)), bool(spec.get(4, 1)), character_map(spec.get(2) or b"")
+    if sum(kind == _BYTE for _, _, kind in pieces) not in (0, 256):
+        raise ValueError("the model has some byte pieces, but not all")
+    return {"pieces": pieces, "prefix": prefix, "squeeze": squeeze, "map": mapped}
+
+
+def character_map(raw: bytes) -> dict[str, str]:
+    """What a model's compiled character map replaces: a double-array trie of UTF-8 strings, whose values are places in a block of texts that each end in a zero byte."""
+    if not raw:
+        return {}
+    size = struct.unpack("<I", raw[:4])[0]
+    unit, texts = np.frombuffer(raw[4 : 4 + size], np.uint32).astype(np.int64), raw[4 + size :]
+    offset = lambda u: int((u >> 10) << ((u & 512) >> 6))
+    out, nodes, every = {}, [(b"", offset(unit[0]))], np.arange(1, 256)
+    while nodes:
+        key, base = nodes.pop()
+        at = base ^ every
+        at, label = at[at < len(unit)], every[at < len(unit)]
+        for c, u, place in zip(*(x[(unit[at] & (1 << 31 | 255)) == label].tolist() for x in (label, unit[at], at)), strict=True):
+            below = place ^ offset(u)
+            if u >> 8 & 1:
+                value = int(unit[below]) & (1 << 31) - 1
+                out[(key + bytes([c])).decode("utf-8", "surrogateescape")] = texts[value : texts.index(b"\0", value)].decode()
+            nodes.append((key + bytes([c]), below))
+    return out
 
 
 class Codec:
@@ -90,10 +114,17 @@ class Codec:
     def __init__(self, model: dict) -> None:
         import ahocorasick
 
-        self.prefix = model["prefix"]
+        self.prefix, self.squeeze, self.map = model["prefix"], model["squeeze"], model["map"]
+        # from a character that begins a mapped string on, the longest such string
+        by_first: dict[str, list[str]] = {}
+        for key in sorted(self.map, key=len, reverse=True):
+            by_first.setdefault(key[0], []).append(key)
+        self.by_first, self.first = by_first, re.compile("[" + "".join(map(re.escape, by_first)) + "]") if by_first else None
         self.automaton = ahocorasick.Automaton()
         self.bytes_of: list[bytes] = []
         self.byte_ids = [0] * 256
+        self.unk = next((i for i, (_, _, kind) in enumerate(model["pieces"]) if kind == _UNKNOWN), 0)
+        self.has_bytes = any(kind == _BYTE for _, _, kind in model["pieces"])
         usable = [(i, t, s) for i, (t, s, kind) in enumerate(model["pieces"]) if kind in (_NORMAL, _USER) and t]
         for i, t, s in usable:
             self.automaton.add_word(t, (len(t), s, i))
@@ -105,7 +136,7 @@ class Codec:
                 self.byte_ids[value] = i
                 self.bytes_of.append(bytes([value]))
             else:
-                self.bytes_of.append(t.replace(_SPACE, " ").encode() if kind in (_NORMAL, _USER) else b"")
+                self.bytes_of.append(t.replace(_SPACE, " ").encode() if kind in (_NORMAL, _USER) else _UNKNOWN_TEXT if kind == _UNKNOWN else b"")
         self.single = {t for _, t, _ in usable if len(t) == 1}
         text = set().union(*(t for _, t, _ in usable))
         # where no piece reaches over: before a run of U+2581, and around line ends that are in no piece
@@ -117,7 +148,11 @@ class Codec:
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best path over an escaped text."""
         n = len(text)
-        best, start, last = [0.0] + [_NONE] * n, [0] * (n + 1), [-1] * (n + 1)
+        if n < LONG:
+            best, start, last = [0.0] + [_NONE] * n, [0] * (n + 1), [-1] * (n + 1)
+        else:  # a fifth of the memory, a little slower
+            best, start, last = array("d", [_NONE]) * (n + 1), array("q", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+            best[0] = 0.0
         if self.single.issuperset(text):
             for end, (length, score, piece) in self.automaton.iter(text):
                 end += 1
@@ -142,17 +177,33 @@ class Codec:
                     best[end], start[end], last[end] = total, end - length, piece
             as_bytes(n)
         out: list[int] = []
-        at = n
+        at = end = n
         while at:
             if last[at] < 0:
-                out.extend(self.byte_ids[b] for b in reversed(text[start[at] : at].encode()))
+                if self.has_bytes:
+                    out.extend(self.byte_ids[b] for b in reversed(text[start[at] : at].encode()))
+                elif not out or out[-1] != self.unk or last[end] >= 0:
+                    out.append(self.unk)  # unknown characters in a row are one piece
             else:
                 out.append(last[at])
-            at = start[at]
+            end, at = at, start[at]
         return out[::-1]
 
+    def normal(self, text: str) -> str:
+        """The text as the model's normaliser leaves it."""
+        if self.first:
+            out, at = [], 0
+            while m := self.first.search(text, at):
+                key = next((k for k in self.by_first[m[0]] if text.startswith(k, m.start())), None)
+                out += [text[at : m.start()], m[0] if key is None else self.map[key]]
+                at = m.start() + len(key or m[0])
+            text = "".join([*out, text[at:]])
+        return re.sub(" +", " ", text).strip(" ") if self.squeeze else text
+
     def encode(self, text: str) -> bytes:
         """Ids as int32 bytes."""
+        if self.first or self.squeeze:
+            text = self.normal(text)
         if not text:
             return b""
         escaped = (_SPACE if self.prefix else "") + text.replace(" ", _SPACE)

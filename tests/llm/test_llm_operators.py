@@ -210,6 +210,34 @@ def test_sentencepiece_round_trip(spark, docs, empty, codec):
     assert text.where("NOT text <=> back").count() == 0
 
 
+def test_character_maps_and_other_models(codec):
+    import sentencepiece
+
+    rng = random.Random(4)
+    texts = ["ﬁne ①  ｶﾞ x", "  a\u3000b\t\tc  ", "Å\u0301 ½", "", " ", "a\u200bb"] + ["".join(rng.choice("aé ﬁ①Ⅳｶﾞ½\u00a0\u3000\tx한\u0301") for _ in range(30)) for _ in range(100)]
+    for rule in ("nmt_nfkc", "nfkc", "identity"):
+        library = sentencepiece.SentencePieceNormalizer(rule_name=rule, escape_whitespaces=False, add_dummy_prefix=False, remove_extra_whitespaces=True)
+        spec = dict(sentencepiece_viterbi._fields(dict(sentencepiece_viterbi._fields(library.serialized_model_proto()))[3]))
+        c = sentencepiece_viterbi.Codec({"pieces": [("a", -1.0, 1)], "prefix": False, "squeeze": True, "map": sentencepiece_viterbi.character_map(spec.get(2) or b"")})
+        assert [c.normal(t) for t in texts] == [library.normalize(t) for t in texts]
+    pieces = [("<unk>", 0.0, 2), ("▁", -2.0, 1), ("a", -3.0, 1), ("ab", -4.0, 1), ("▁ab", -4.5, 1)]
+    c = sentencepiece_viterbi.Codec({"pieces": pieces, "prefix": True, "squeeze": True, "map": {}})
+    ids = np.frombuffer(c.encode("ab  axx☃a"), np.int32)
+    assert ids.tolist() == [4, 1, 2, 0, 2] and c.decode(ids) == "ab a \u2047 a"
+
+
+def test_a_word_of_two_million_characters(codec):
+    word = "abcdefgh" * 250_000
+    ids = np.frombuffer(codec.encode(word), np.int32)
+    assert codec.decode(ids) == word
+    old, sentencepiece_viterbi.LONG = sentencepiece_viterbi.LONG, 10
+    try:
+        packed = codec.viterbi("▁the☃bingan" * 9)
+    finally:
+        sentencepiece_viterbi.LONG = old
+    assert packed == codec.viterbi("▁the☃bingan" * 9)
+
+
 # 4
 
 
