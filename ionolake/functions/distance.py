@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Morse code of letters, digits and the slash.
@@ -28,20 +29,42 @@ def _edits(a: str, b: str, sub) -> int:
     return row[-1]
 
 
+@dataclass(frozen=True)
+class Weights:
+    """What the edits of codes cost: a sign more or less, a sign for another, and what a whole difference of codes is scaled to."""
+
+    insert_delete: int = 1
+    substitute: int = 2
+    scale: int = 2
+
+
 @lru_cache(maxsize=None)
-def code_cost(code: str, x: str, y: str, scale: int = 2) -> int:
-    """What a character costs for another: the edits between their codes (a changed sign counts two) over the longer code's length and one, scaled and rounded up."""
+def code_cost(code: str, x: str, y: str, weights: Weights = Weights()) -> int:
+    """What a character costs for another: the edits between their codes over the longer code's length and one, scaled and rounded up."""
     table = MORSE if code == "morse" else BAUDOT
     if x == y:
         return 0
     if x not in table or y not in table:
         return UNKNOWN_COST
     p, q = table[x], table[y]
-    return max(1, math.ceil(_edits(p, q, lambda *_: 2) / (max(len(p), len(q)) + 1) * scale))
+    edits = _edits(p, q, lambda *_: weights.substitute / weights.insert_delete) * weights.insert_delete
+    return max(1, math.ceil(edits / (max(len(p), len(q)) + 1) * weights.scale))
+
+
+def call_distance(a: str, b: str, model: str = "plain", weights: Weights = Weights()) -> int:
+    return _edits(a, b, (lambda *_: 1) if model == "plain" else lambda x, y: code_cost(model, x, y, weights))
+
+
+def register(spark: SparkSession) -> None:
+    """call_distance(a, b, model) for SQL; model is plain, morse or baudot."""
+
+    @F.pandas_udf("long")
+    def distance(a, b, m):
+        import pandas as pd
 
+        return pd.Series([None if p is None or q is None else call_distance(p, q, k or "plain") for p, q, k in zip(a, b, m, strict=True)], dtype="Int64")
 
-def call_distance(a: str, b: str, model: str = "plain") -> int:
-    return _edits(a, b, (lambda *_: 1) if model == "plain" else lambda x, y: code_cost(model, x, y))
+    spark.udf.register("call_distance", distance)
 
 
 def model_of(mode: Column | str) -> Column:
@@ -50,14 +73,14 @@ def model_of(mode: Column | str) -> Column:
     return F.when(m == "CW", "morse").when(m == "RTTY", "baudot").otherwise("plain")
 
 
-def with_distance(df: DataFrame, a: str, b: str, mode: str, out: str = "distance") -> DataFrame:
+def with_distance(df: DataFrame, a: str, b: str, mode: str, out: str = "distance", weights: Weights = Weights()) -> DataFrame:
     """df with the distance of two call columns under the mode's model. Plain distances are native; keyed ones run in Python over distinct pairs only."""
 
     @F.pandas_udf("long")
     def keyed(x, y, m):
         import pandas as pd
 
-        return pd.Series([call_distance(p, q, k) for p, q, k in zip(x, y, m, strict=True)], dtype="int64")
+        return pd.Series([call_distance(p, q, k, weights) for p, q, k in zip(x, y, m, strict=True)], dtype="int64")
 
     named = df.withColumn("_model", model_of(mode))
     pairs = named.where("_model <> 'plain'").select(a, b, "_model").where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()

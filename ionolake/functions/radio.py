@@ -82,7 +82,7 @@ def collapse_ssid(call: Column | str) -> Column:
 
 def base_call(call: Column | str) -> Column:
     """The call that a licence is issued for: without -#, the longest part between slashes that has a digit (the first of equal ones; the first part if none has), up to its first dash."""
-    parts = F.split(F.regexp_replace(F.upper(F.trim(_c(call))), "-#$", ""), "/")
+    parts = F.split(F.regexp_replace(normal_call(call), "-#$", ""), "/")
     ranked = F.transform(parts, lambda p, i: F.struct(F.when(p.rlike("[0-9]"), -F.length(p)).otherwise(1).alias("rank"), i.alias("i"), p.alias("p")))
     best = F.array_min(ranked)["p"]
     return F.regexp_replace(best, "^(.+?)-.*$", "$1")

@@ -33,6 +33,11 @@ def reject_reasons(d: DataFrame, distance: int | None = None) -> DataFrame:
     return r.groupBy(F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def most_first(counts: DataFrame, by: str = "reason", n: str = "n") -> DataFrame:
+    """A report's lines of counts: the largest first, equal ones by name."""
+    return counts.orderBy(F.desc(n), by)
+
+
 def headroom(d: DataFrame) -> DataFrame:
     """Confidence rejects in all, of distance to 2 at 55 to 59, of distance 3 at 60 to 64: one row."""
     r, dist, conf = F.col("reason") == "confidence", F.col("distance"), F.col("conf")
@@ -66,10 +71,11 @@ def follow_on(d: DataFrame, spots: DataFrame, horizon: int, tolerance_khz: float
 
 
 def stability_by_bucket(flags: DataFrame, seconds: int) -> DataFrame:
-    """bucket_start (from the first decision on), total, stable, percent."""
-    first = flags.agg(F.min("t").alias("_min"))
-    start = F.col("_min") + F.floor((F.col("t") - F.col("_min")) / seconds).cast("long") * seconds
-    x = flags.crossJoin(F.broadcast(first)).groupBy(start.alias("bucket_start")).agg(F.count("*").alias("total"), _count(F.col("stable")).alias("stable"))  # one row
+    """bucket_start (from the first decision on), total, stable, percent. flags are counted by second first, in one pass; the first second is then the least of those, at most one row a second."""
+    per_second = flags.groupBy("t").agg(F.count("*").alias("total"), _count(F.col("stable")).alias("stable"))
+    first = F.min("t").over(Window.partitionBy(F.lit(1)))
+    start = first + F.floor((F.col("t") - first) / seconds).cast("long") * seconds
+    x = per_second.select(start.alias("bucket_start"), "total", "stable").groupBy("bucket_start").agg(F.sum("total").alias("total"), F.sum("stable").alias("stable"))
     return x.withColumn("percent", radio.percent("stable", "total"))
 
 
@@ -136,22 +142,37 @@ def distance_gap(d: DataFrame) -> DataFrame:
     rate = lambda k: radio.percent(_count(ok & (F.col("distance") == k)), _count(F.col("distance") == k))
     conf = lambda k: F.sum(F.when(ok & (F.col("distance") == k), F.col("conf"))).cast("double") / _count(ok & (F.col("distance") == k))
     x = d.agg(rate(1).alias("rate_d1"), rate(3).alias("rate_d3"), conf(1).alias("conf_d1"), conf(3).alias("conf_d3"))
-    return x.withColumns({"rate_gap": F.col("rate_d1") - F.col("rate_d3"), "conf_gap": F.col("conf_d1") - F.col("conf_d3")})
+    x = x.withColumns({"rate_gap": F.col("rate_d1") - F.col("rate_d3"), "conf_gap": F.col("conf_d1") - F.col("conf_d3")})
+    return x
+
+
+def rate_class(percent: str) -> F.Column:
+    """What an overall apply rate says of the thresholds: below 30 percent low, above 60 high."""
+    p = F.col(percent)
+    return F.when(p < 30, "low").when(p > 60, "high").otherwise("balanced")
+
+
+def gap_class(gap: str) -> F.Column:
+    """How much lower the apply rate of distance 3 is than that of distance 1."""
+    return F.when(F.col(gap) > 30, "conservative").otherwise("balanced")
 
 
-def simulate(d: DataFrame, grid: list[tuple[int, int]], max_distance: int = 3) -> DataFrame:
-    """min_reports, min_conf, passed, rescued (rejected now, would pass) for each pair of thresholds, over decisions with a winner. The grid is exploded within each row: one scan."""
+def simulate(d: DataFrame, grid: list[tuple[int, int]], max_distance: int = 3, extra_advantage_d3: int = 1, extra_confidence_d3: int = 5) -> DataFrame:
+    """min_reports, min_conf, passed, rescued (rejected now, would pass), rescued_d1, rescued_d2, rescued_d3 for each pair of thresholds, over decisions with a winner; distance 3 wants more advantage and confidence. The grid is exploded
+    within each row: one scan."""
     cells = F.explode(F.array(*[F.struct(F.lit(a).alias("min_reports"), F.lit(b).alias("min_conf")) for a, b in grid]))
-    x = d.where((F.col("winner") != F.col("subject")) & (F.col("distance") <= max_distance)).select("decision", "winner_support", "subject_support", "conf", cells.alias("g"))
-    ok = (F.col("winner_support") >= F.col("g.min_reports")) & (F.col("winner_support") >= F.col("subject_support") + 1) & (F.col("conf") >= F.col("g.min_conf"))
-    return x.groupBy("g.min_reports", "g.min_conf").agg(_count(ok).alias("passed"), _count(ok & (F.col("decision") == "rejected")).alias("rescued"))
+    x = d.where((F.col("winner") != F.col("subject")) & (F.col("distance") <= max_distance)).select("decision", "winner_support", "subject_support", "conf", "distance", cells.alias("g"))
+    more = lambda n: F.when(F.col("distance") == 3, n).otherwise(0)
+    ok = (F.col("winner_support") >= F.col("g.min_reports")) & (F.col("winner_support") - F.col("subject_support") >= 1 + more(extra_advantage_d3)) & (F.col("conf") >= F.col("g.min_conf") + more(extra_confidence_d3))
+    saved = ok & (F.col("decision") == "rejected")
+    return x.groupBy("g.min_reports", "g.min_conf").agg(_count(ok).alias("passed"), _count(saved).alias("rescued"), *[_count(saved & (F.col("distance") == k)).alias(f"rescued_d{k}") for k in (1, 2, 3)])
 
 
 #: Scenario, extra reports, extra advantage, extra confidence for decisions of distance 3.
-SCENARIOS = (("none", 0, 0, 0), ("reports", 1, 0, 0), ("advantage", 0, 1, 0), ("confidence", 0, 0, 5), ("mild", 1, 1, 5), ("strict", 2, 2, 10))
+SCENARIOS = (("current", 0, 1, 5), ("relaxed advantage", 0, 0, 5), ("relaxed confidence", 0, 1, 3), ("relaxed both", 0, 0, 3), ("strict", 1, 1, 5), ("very strict", 1, 2, 7))
 
 
-def distance3_scenarios(d: DataFrame, min_reports: int = 6, min_advantage: int = 1, min_conf: int = 60) -> DataFrame:
+def distance3_scenarios(d: DataFrame, min_reports: int = 3, min_advantage: int = 1, min_conf: int = 60) -> DataFrame:
     """scenario, passed, rescued, lost over the decisions of distance 3, and least and mean advantage of what passes."""
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(a).alias("r"), F.lit(b).alias("a"), F.lit(c).alias("c")) for n, a, b, c in SCENARIOS]))
     adv = F.col("winner_support") - F.col("subject_support")
@@ -161,6 +182,19 @@ def distance3_scenarios(d: DataFrame, min_reports: int = 6, min_advantage: int =
     return x.groupBy("g.scenario").agg(_count(ok).alias("passed"), _count(ok & ~now).alias("rescued"), _count(~ok & now).alias("lost"), F.min(F.when(ok, F.col("adv"))).alias("least_adv"), (F.sum(F.when(ok, F.col("adv"))).cast("double") / _count(ok)).alias("mean_adv"))
 
 
+def distance3_list(d: DataFrame) -> DataFrame:
+    """The decisions of distance 3 with winner_share and subject_share (percent of the reporters) and advantage, by decision downwards, then confidence downwards."""
+    x = d.where("distance = 3").withColumns({"winner_share": radio.percent("winner_support", "total"), "subject_share": radio.percent("subject_support", "total"), "advantage": F.col("winner_support") - F.col("subject_support")})
+    return x.orderBy(F.desc("decision"), F.desc("conf"), "event_id")
+
+
+def separation_classes(gaps: DataFrame, khz: float = 0.5) -> DataFrame:
+    """pairs, near (both calls came again within khz of each other, as one signal does), apart, near_percent: one row over both_reappear()."""
+    near = F.col("gap_khz") < khz
+    x = gaps.agg(F.count("*").alias("pairs"), _count(near).alias("near"), _count(~near).alias("apart"))
+    return x.withColumn("near_percent", radio.percent("near", "pairs"))
+
+
 def both_reappear(d: DataFrame, horizon: int, first: int = 100) -> DataFrame:
     """Applied decisions after which, among the first 100 later decisions on either call, both calls came again as subjects: event_id, subject_khz and winner_khz of their first, gap_khz."""
     tick = F.floor(F.col("t") / horizon).cast("long")
@@ -197,6 +231,14 @@ def accuracy(matched: DataFrame) -> DataFrame:
     return matched.groupBy("class").agg(F.count("*").alias("n"))
 
 
+def precision(matched: DataFrame, missed: DataFrame) -> DataFrame:
+    """applied, correct, wrong, possible_false, missed, accuracy (correct of the applied), precision (correct of those with a reference row), recall (correct of those and the missed), in percent: one row."""
+    of = lambda c: _count(F.col("class") == c)
+    x = matched.agg(F.count("*").alias("applied"), of("CORRECT_FIX").alias("correct"), of("WRONG_FIX").alias("wrong"), of("POSSIBLE_FALSE_POSITIVE").alias("possible_false"))
+    x = x.crossJoin(missed.agg(F.count("*").alias("missed")))  # one row by one row
+    return x.withColumns({"accuracy": radio.percent("correct", "applied"), "precision": radio.percent("correct", F.col("correct") + F.col("wrong")), "recall": radio.percent("correct", F.col("correct") + F.col("missed"))})
+
+
 def top_rejections(d: DataFrame, n: int = 10) -> DataFrame:
     return d.where("decision = 'rejected' and winner <> subject").orderBy(F.desc("winner_support"), F.desc("conf"), "event_id").limit(n).select("event_id", "subject", "winner", "winner_support", "conf", "reason")
 

@@ -1,37 +1,71 @@
-"""Duplicate suppression with the stronger-report rule."""
+"""Duplicate suppression with the stronger-report rule: within the window of its key's last forwarded row (the anchor), a row is a duplicate, unless it is the first with a report or reports stronger;
+what is forwarded becomes the anchor. A row without a report counts as 0 in comparisons, and a report after it always passes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
 def primary(df: DataFrame, keys: list[str], prefer_stronger: bool = True, order: tuple[str, str] = ("t", "event_id"), report: str = "report") -> DataFrame:
-    """Rows that open their key or beat every report before them. For keys that hold the minute and windows of a minute or more, where every row has a report: there all rows of a key are
-    within the window. One shuffle by key, no Python."""
-    before = F.max(report).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    held = df.withColumn("_before", before)
-    stronger = F.col(report) > F.col("_before") if prefer_stronger else F.lit(False)
-    return held.where(F.col("_before").isNull() | stronger).drop("_before")
+    """Rows that the rule forwards where all rows of a key lie within the window: keys that hold the minute, and windows of a minute or more. Windows over the key in place of a fold, no Python, one shuffle.
+
+    From the first report of 0 or more on, rows without a report (they count as 0) never pass, and a report passes if it beats all before it. Before that all reports are negative: a row without a report
+    beats and replaces them, so it passes after a report (and as the first row), and a report passes if it beats those since the last row without."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    r, first = F.col(report), F.row_number().over(w) == 1
+    before = F.max(r).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    held = df.withColumns({"_first": first, "_before": before})
+    if not prefer_stronger:
+        return held.where(F.col("_first") | (r.isNotNull() & F.col("_before").isNull())).drop("_first", "_before")
+    held = held.withColumns({"_after_report": F.coalesce(F.lag(r.isNotNull()).over(w), F.lit(False)), "_nulls": F.count_if(r.isNull()).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    since = F.max(r).over(Window.partitionBy(*keys, "_nulls").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    held = held.withColumn("_since", since)
+    late = F.coalesce(F.col("_before") >= 0, F.lit(False))
+    passes = F.when(r.isNull(), F.col("_first") | (F.col("_after_report") & ~late)).when(late, r > F.col("_before")).otherwise(F.col("_since").isNull() | (r > F.col("_since")))
+    return held.where(passes).drop("_first", "_before", "_after_report", "_nulls", "_since")
+
+
+def _forwarded(window: int, prefer_stronger: bool):
+    """Of rows (t, id, r, start) in order, start at each run's first: the ids of what the rule forwards. What is held is one anchor."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = value = None
+        reported = False
+        for b in batches:
+            kept = []
+            for t, i, r, start in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                v, has = r or 0, r is not None
+                if start or at is None or abs(t - at) >= window or (has and not reported) or (prefer_stronger and v > value):
+                    at, value, reported = t, v, has
+                    kept.append(i)
+            yield pa.RecordBatch.from_pydict({"_id": pa.array(kept, pa.int64())})
+
+    return fold
 
 
 def secondary(df: DataFrame, keys: list[str], window: int, prefer_stronger: bool = True, order: tuple[str, str] = ("t", "event_id"), report: str = "report", pass_through: str | None = None) -> DataFrame:
-    """Rows that the anchor rule forwards: a row within window of its key's last forwarded row is a duplicate, unless it is the first with a report or reports stronger; what is forwarded becomes the anchor.
+    """Rows that the anchor rule forwards. pass_through: SQL of rows that are always forwarded.
 
-    The anchor depends on what was forwarded, so each key's rows are folded in order. A gap of window or more before a row forwards it whatever the anchor is (the anchor is an earlier row), so
-    rows are first cut at such gaps and each run is folded on its own: a busy key is many small folds, not one. pass_through: SQL of rows that are always forwarded."""
+    The anchor depends on what was forwarded, so rows are folded in order. Some rows are forwarded whatever the anchor is: those with no row of their key within the window before them, and reports
+    that beat all rows there (the anchor is one of them, or older). Each of these begins a run, and runs are spread over the tasks: a busy key is many runs, sorted and streamed through a task with one anchor held."""
     rows = df.where(f"NOT coalesce({pass_through}, false)") if pass_through else df
     t, row_id = order
-    by_key = Window.partitionBy(*keys).orderBy(*order)
-    gap = F.when(F.col(t) - F.lag(t).over(by_key) >= window, 1).otherwise(0)
-    runs = rows.withColumn("_run", F.sum(gap).over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
-    x = F.array_sort(F.collect_list(F.struct(F.col(t).cast("long").alias("t"), F.col(row_id).alias("id"), F.col(report).cast("long").alias("r"))))
-    start = F.expr("named_struct('t', cast(null as bigint), 'r', cast(null as bigint), 'ids', cast(array() as array<bigint>))")
-    stronger = "(v.r is not null and a.r is null) or coalesce(v.r, 0) > coalesce(a.r, 0)" if prefer_stronger else "v.r is not null and a.r is null"
-    fold = f"aggregate(_x, _start, (a, v) -> CASE WHEN a.t IS NOT NULL AND abs(v.t - a.t) < {int(window)} AND NOT ({stronger}) THEN a ELSE named_struct('t', v.t, 'r', v.r, 'ids', array_append(a.ids, v.id)) END, a -> a.ids)"
-    kept = runs.groupBy(*keys, "_run").agg(x.alias("_x")).withColumn("_start", start).select(F.explode(F.expr(fold)).alias(row_id))
-    out = rows.join(kept, row_id, "left_semi")
+    x = rows.select(*keys, F.col(t).cast("long").alias("_t"), F.col(row_id).cast("long").alias("_id"), F.col(report).cast("long").alias("_r"))
+    value = F.coalesce("_r", F.lit(0))
+    same = Window.partitionBy(*keys, "_t").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    near = Window.partitionBy(*keys).orderBy("_t").rangeBetween(-window + 1, -1)
+    most = F.greatest(F.max(value).over(near), F.max(value).over(same))
+    start = most.isNull() | (F.lit(prefer_stronger) & F.col("_r").isNotNull() & (value > most))
+    by_key = Window.partitionBy(*keys).orderBy("_t", "_id")
+    runs = x.withColumn("_start", start).withColumn("_run", F.sum(F.col("_start").cast("int")).over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = runs.repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", "_t", "_id")
+    kept = dealt.select("_t", "_id", "_r", "_start").mapInArrow(_forwarded(window, prefer_stronger), "_id long")
+    out = rows.join(kept.withColumnRenamed("_id", row_id), row_id, "left_semi")
     return out.unionByName(df.where(f"coalesce({pass_through}, false)")) if pass_through else out
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import radio
@@ -21,7 +22,7 @@ NEW_USER_MODES = frozenset({"CW", "LSB", "USB", "RTTY"})
 
 @dataclass(frozen=True)
 class Rule:
-    """One dimension: with all, everything passes that is not blocked; without, only what is allowed."""
+    """One dimension: nothing that is blocked passes; where something is allowed, only that; with neither, everything if all is set, else nothing."""
 
     allow: frozenset = frozenset()
     block: frozenset = frozenset()
@@ -130,7 +131,7 @@ def _rule_column(dimension: str, r: Rule) -> Column:
         return F.lit(False)
     if dimension in PATTERNED:
         any_of = lambda ps: reduce(lambda a, b: a | b, [_pattern(F.coalesce(x, F.lit("")), p) for p in sorted(ps)], F.lit(False))
-        return ~any_of(r.block) & (any_of(r.allow) if r.allow and not r.all else F.lit(True))
+        return ~any_of(r.block) & (any_of(r.allow) if r.allow else F.lit(r.all))
     if number:
         valid = x.between(1, 40) if dimension.endswith("ZONE") else x > 0
     else:
@@ -142,7 +143,7 @@ def _rule_column(dimension: str, r: Rule) -> Column:
         out = out & ~F.coalesce(inside(r.block), F.lit(False))
     if not r.all and not r.allow:
         return F.lit(False)
-    if r.allow and not r.all:
+    if r.allow:
         out = out & F.coalesce(valid & inside(r.allow), F.lit(False))
     if dimension == "CONFIDENCE":
         return F.col("mode").isin("FT8", "FT4") | out
@@ -163,6 +164,63 @@ def deliver(spots: DataFrame, subscribers: list[tuple[str, Filter]]) -> DataFram
     return spots.withColumn("subscriber", F.explode(hits))
 
 
+#: The columns of a table of filters: the subscriber, their own call, whether beacons pass, and for each dimension what is allowed and blocked (as text), and the flags all and block_all.
+TABLE_SCHEMA = "subscriber string, call string, beacons boolean, " + ", ".join(f"{d.lower()} struct<allow:array<string>,block:array<string>,every:boolean,none:boolean>" for d in DIMENSIONS)
+
+
+def filter_table(spark: SparkSession, subscribers: list[tuple[str, Filter]]) -> DataFrame:
+    """Filters as a table, a row for each subscriber; a service keeps such a table and reads it from its store."""
+    rows = [(name, f.call or name, f.beacons, *(([*map(str, sorted(r.allow))], [*map(str, sorted(r.block))], r.all, r.block_all) for d in DIMENSIONS for r in [f.rule(d)])) for name, f in subscribers]
+    return spark.createDataFrame(rows, TABLE_SCHEMA)
+
+
+def _by_table(dimension: str) -> Column:
+    """The dimension's rule, read from the table's row."""
+    name, number = DIMENSIONS[dimension]
+    rule, x = F.col(f"_filter.{dimension.lower()}"), F.col(name)
+    allow, block = rule["allow"], rule["block"]
+    if dimension in PATTERNED:
+        text = F.coalesce(x, F.lit(""))
+        match = lambda p: F.when(p.endswith("*"), F.startswith(text, F.substring(p, F.lit(1), F.length(p) - 1))).when(p.startswith("*"), F.endswith(text, F.substring(p, F.lit(2), F.length(p)))).otherwise(text == p)
+        allowed, blocked = F.exists(allow, match), F.exists(block, match)
+    else:
+        if number:
+            valid = x.between(1, 40) if dimension.endswith("ZONE") else x > 0
+            text = x.cast("string")
+        else:
+            text = radio.normal_glyph(x) if dimension == "CONFIDENCE" else x
+            valid = F.trim(text) != ""
+        allowed, blocked = F.coalesce(valid & F.array_contains(allow, text), F.lit(False)), F.coalesce(F.array_contains(block, text), F.lit(False))
+    out = ~rule["none"] & ~blocked & F.when(F.size(allow) > 0, allowed).otherwise(rule["every"])
+    return out | (F.col("mode").isin("FT8", "FT4") & ~rule["none"] & (rule["every"] | (F.size(allow) > 0))) if dimension == "CONFIDENCE" else out
+
+
+def deliver_by_table(spots: DataFrame, table: DataFrame) -> DataFrame:
+    """What deliver() gives, for any number of subscribers: spots meet filters by band (a filter stands under each band that it can pass, so a spot meets only those), the other rules are read from the filter's row, and a subscriber's own call is a second
+    join by call. The plan's size doesn't grow with the subscribers."""
+    bands = F.array(*[F.lit(b) for b, _, _ in radio.BANDS], F.lit("???"))
+    wanted = F.array_except(F.when(F.size("band.allow") > 0, F.col("band.allow")).otherwise(F.when(F.col("band.every"), bands).otherwise(F.array().cast("array<string>"))), F.col("band.block"))
+    packed = table.select("subscriber", F.struct(*[c for c in table.columns if c != "subscriber"]).alias("_filter"), F.when(F.col("band.none"), F.array().cast("array<string>")).otherwise(wanted).alias("_bands"))
+    rest = reduce(lambda a, b: a & b, [_by_table(d) for d in DIMENSIONS if d != "BAND"], F.lit(True))
+    passes = rest & (F.coalesce(F.col("_filter.beacons"), F.lit(True)) | ~F.coalesce(F.col("is_beacon"), F.lit(False)))
+    keyed = packed.select("subscriber", "_filter", F.explode("_bands").alias("_band"))
+    by_band = spots.withColumn("_band", F.col("band")).join(keyed, "_band").where(passes)
+    mine = packed.withColumn("_call", F.upper("_filter.call"))
+    in_band = F.array_contains("_bands", F.col("band"))
+    by_call = spots.withColumn("_call", F.upper("dx_call")).join(mine, "_call").where(~F.coalesce(in_band & passes, F.lit(False)))
+    return by_band.select(*spots.columns, "subscriber").unionByName(by_call.select(*spots.columns, "subscriber"))
+
+
+#: Characters that a command line may hold.
+_TYPED = re.compile(r"[A-Za-z0-9/#@*_,.:;?!+ -]*")
+
+
+def typed(line: str) -> str | None:
+    """A command line as it is taken: without its end, None if it holds a character that no command has."""
+    line = line.rstrip("\r\n")
+    return line if _TYPED.fullmatch(line) else None
+
+
 def show_dx(spots: DataFrame, n: int = 10, order: str = "event_id") -> DataFrame:
     """The newest n spots, 1 to 100."""
     return spots.orderBy(F.desc(order)).limit(max(1, min(100, n)))

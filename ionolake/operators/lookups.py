@@ -130,3 +130,27 @@ def grid_changes(df: DataFrame, call: str, grid: str, order: tuple[str, str] = (
 def with_prefix(table: DataFrame, start: str, prefix: str = "prefix") -> DataFrame:
     """Rows of a prefix table whose key begins so."""
     return table.where(F.col(prefix).startswith(start.strip().upper()))
+
+
+METADATA = "struct<continent:string,country:string,cq_zone:int,itu_zone:int,adif:int,grid:string>"
+
+
+def metadata(df: DataFrame, call: str, prefixes: DataFrame, out: str, rows: int | None = None) -> DataFrame:
+    """df with struct out (continent, country, cq_zone, itu_zone, adif, grid) of the call's licence prefix, null fields without one; a grid that out had already stays. Again after a correction: the same refreshes it."""
+    grid = F.col(f"{out}.grid") if out in df.columns else F.lit(None).cast("string")
+    held = df.withColumn("_grid", grid).drop(out)
+    # distinct calls meet the prefixes, and df is joined once
+    calls = held.select(F.col(call).alias("_of")).where("_of is not null").distinct()
+    found = effective_prefix(calls, "_of", prefixes, out="_entity_of", rows=rows)
+    fields = [F.col(f"_entity_of.{c}").cast(t).alias(c) for c, t in (("continent", "string"), ("country", "string"), ("cq_zone", "int"), ("itu_zone", "int"), ("adif", "int"))]
+    done = held.join(found, F.col(call) == F.col("_of"), "left")
+    return done.withColumn(out, F.struct(*fields, F.col("_grid").alias("grid"))).drop("_entity_of", "_grid", "_of")
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n: how many rows each table has."""
+    counts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in sorted(tables.items())]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out

@@ -11,6 +11,7 @@ from .functions import radio
 from .operators import analytics, correction, dedup, filters, lookups, signals
 from .operators.correction import Settings
 from .plans.spots import SPOTS_SQL, spots
+from .plans.store import new_place, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -42,7 +43,7 @@ def _sql(body: str) -> str:
 _BAND_SQL = "CASE " + " ".join(f"WHEN freq_khz BETWEEN {lo} AND {hi} THEN '{b}'" for b, lo, hi in radio.BANDS) + " ELSE '???' END"
 _REPORT_BAND_SQL = "CASE " + " ".join(f"WHEN freq_khz < {hi} THEN '{b}'" for b, hi in radio.REPORT_BANDS) + " ELSE '6m+' END"
 #: Settings and SQL of the consensus that the decision queries run on.
-CONSENSUS = Settings(window=360, min_reports=6, min_advantage=1, min_confidence=60, max_distance=3, tolerance_hz=40.0, bucket_reach=0, same_mode=False)
+CONSENSUS = Settings(window=360, min_reports=6, min_advantage=1, min_confidence=60, max_distance=3, tolerance_hz=40.0, bucket_reach=0, same_mode=False, modes=None)
 _VOTES_SQL = """, v AS (
   SELECT a.event_id, a.t, a.freq_khz, a.dx_call AS subject, b.dx_call AS cand, b.de_call AS rep, b.t AS bt
   FROM spots a JOIN spots b ON a.k % 20 = b.k % 20 AND b.t BETWEEN a.t - 360 AND a.t - 1 AND (b.de_call <> a.de_call OR b.dx_call = a.dx_call)
@@ -68,9 +69,13 @@ def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spots(spark, sf_dir)
-    d = correction.decide(correction.tallies(correction.votes(s, CONSENSUS)), CONSENSUS)
-    return d.join(s.select("event_id", "t"), "event_id").select("event_id", "t", "freq_khz", "subject", "winner", "winner_support", "subject_support", "total", "conf", "distance", "decision", "reason")
+    d = correction.decide(correction.tallies(correction.votes(spots(spark, sf_dir), CONSENSUS)), CONSENSUS)
+    return d.select("event_id", "t", "freq_khz", "subject", "winner", "winner_support", "subject_support", "total", "conf", "distance", "decision", "reason")
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decisions as a stored log, for what reads them more than once."""
+    return stored(_decisions(spark, sf_dir), "decisions")
 
 
 # ---- projections and scalar functions
@@ -137,10 +142,10 @@ _PREFIXES = [("K", "US", 291), ("K1", "US-1", 2911), ("K1AB8", "SPECIAL", 1), ("
 _PREFIX_SQL = ", p(prefix, country, padif) AS (VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in _PREFIXES) + ")"
 
 
-@_query(_sql(_PREFIX_SQL + ", c AS (SELECT DISTINCT dx_call FROM spots WHERE k % 2 = 1 UNION ALL SELECT 'ZZ9ZZA'), m AS (SELECT c.dx_call, arg_max(p.prefix, length(p.prefix)) AS prefix, arg_max(p.country, length(p.prefix)) AS country, arg_max(p.padif, length(p.prefix)) AS padif FROM c JOIN p ON starts_with(c.dx_call, p.prefix) GROUP BY c.dx_call) SELECT s.event_id, s.dx_call, m.prefix, m.country, CAST(m.padif AS BIGINT) AS padif FROM spots s LEFT JOIN m ON s.dx_call = m.dx_call WHERE s.k % 2 = 1"))
+@_query(_sql(_PREFIX_SQL + ", c AS (SELECT DISTINCT dx_call FROM spots UNION ALL SELECT 'ZZ9ZZA'), m AS (SELECT c.dx_call, arg_max(p.prefix, length(p.prefix)) AS prefix, arg_max(p.country, length(p.prefix)) AS country, arg_max(p.padif, length(p.prefix)) AS padif FROM c JOIN p ON starts_with(c.dx_call, p.prefix) GROUP BY c.dx_call) SELECT s.event_id, s.dx_call, m.prefix, m.country, CAST(m.padif AS BIGINT) AS padif FROM spots s LEFT JOIN m ON s.dx_call = m.dx_call"))
 def prefix_join(spark, sf_dir):
     table = spark.createDataFrame(_PREFIXES, "prefix string, country string, padif long")
-    x = lookups.longest_prefix(spots(spark, sf_dir).where("k % 2 = 1"), "dx_call", table, rows=len(_PREFIXES))
+    x = lookups.longest_prefix(spots(spark, sf_dir), "dx_call", table, rows=len(_PREFIXES))
     return x.select("event_id", "dx_call", F.col("entity.prefix").alias("prefix"), F.col("entity.country").alias("country"), F.col("entity.padif").alias("padif"))
 
 
@@ -287,51 +292,84 @@ def corrected_spots(spark, sf_dir):
 # ---- signals
 
 
-_HARMONIC_SQL = """, h AS (SELECT event_id, t, dx_call, de_call, report, CASE WHEN k % 3 = 0 THEN freq_khz * 2 WHEN k % 7 = 0 THEN freq_khz * 3 ELSE freq_khz END AS freq_khz FROM spots),
-m AS (SELECT h.event_id, b.report - h.report AS delta, b.freq_khz AS fundamental, b.de_call, mu.multiple FROM h JOIN h b ON h.dx_call = b.dx_call AND b.t < h.t AND h.t - b.t <= 120 AND b.freq_khz < h.freq_khz
-  JOIN (SELECT unnest([2, 3, 4]) AS multiple) mu ON abs(b.freq_khz * mu.multiple - h.freq_khz) <= 0.025 + 1e-9 WHERE b.report - h.report >= 6)
-SELECT event_id, COUNT(DISTINCT de_call) AS corroborators, MAX(delta) AS delta FROM m GROUP BY event_id"""
+_HARMONIC_SQL = """, h AS (SELECT event_id, t, dx_call, report, CASE WHEN k % 3 = 0 THEN freq_khz * 2 WHEN k % 7 = 0 THEN freq_khz * 3 ELSE freq_khz END AS freq_khz FROM spots),
+m AS (SELECT h.event_id, b.event_id AS bid, b.report - h.report AS delta, b.freq_khz AS fundamental, mu.multiple FROM h JOIN h b ON h.dx_call = b.dx_call AND b.t // 4 <= h.t // 4 AND b.event_id < h.event_id AND h.t // 4 - b.t // 4 <= 120 AND b.freq_khz < h.freq_khz
+  JOIN (SELECT unnest([2, 3, 4]) AS multiple) mu ON abs(b.freq_khz * mu.multiple - h.freq_khz) <= 0.025 + 1e-9 WHERE b.report - h.report >= 6),
+x AS (SELECT event_id, MIN(bid) AS bid FROM m GROUP BY event_id)
+SELECT x.event_id, f.fundamental, f.multiple, f.delta, (SELECT COUNT(*) FROM m WHERE m.event_id = x.event_id AND abs(m.fundamental - f.fundamental) <= 0.025 + 1e-9) AS corroborators FROM x JOIN m f ON f.event_id = x.event_id AND f.bid = x.bid"""
 
 
 @_query(_sql(_HARMONIC_SQL))
 def harmonics(spark, sf_dir):
+    """Four spots a second, as a feed of one-second times has them."""
     k, f = F.col("k"), F.col("freq_khz")
-    s = spots(spark, sf_dir).withColumn("freq_khz", F.when(k % 3 == 0, f * 2).when(k % 7 == 0, f * 3).otherwise(f))
-    return signals.harmonics(s).select("event_id", "corroborators", F.col("delta").cast("long").alias("delta"))
+    s = spots(spark, sf_dir).withColumns({"freq_khz": F.when(k % 3 == 0, f * 2).when(k % 7 == 0, f * 3).otherwise(f), "t": F.floor(F.col("t") / 4)})
+    return signals.harmonics(s).select("event_id", "fundamental", "multiple", F.col("delta").cast("long").alias("delta"), "corroborators")
 
 
-@_query(_sql(""", x AS (SELECT a.event_id, a.freq_khz, COUNT(*) AS n, SUM(CAST(FLOOR(b.freq_khz * 10 + 0.5) AS BIGINT)) AS s FROM spots a JOIN spots b ON a.dx_call = b.dx_call AND b.t >= a.t - 600 AND (b.t < a.t OR b.event_id = a.event_id) AND abs(CAST(FLOOR(b.freq_khz * 10 + 0.5) AS BIGINT) - CAST(FLOOR(a.freq_khz * 10 + 0.5) AS BIGINT)) <= 3 GROUP BY ALL),
+@_query(_sql(""", x AS (SELECT a.event_id, a.freq_khz, COUNT(*) AS n, SUM(CAST(FLOOR(b.freq_khz * 10 + 0.5) AS BIGINT)) AS s FROM spots a JOIN spots b ON a.dx_call = b.dx_call AND b.t // 4 >= a.t // 4 - 150 AND b.event_id <= a.event_id AND abs(CAST(FLOOR(b.freq_khz * 10 + 0.5) AS BIGINT) - CAST(FLOOR(a.freq_khz * 10 + 0.5) AS BIGINT)) <= 3 GROUP BY ALL),
 y AS (SELECT *, CAST(s AS DOUBLE) / n / 10 AS mean_khz FROM x) SELECT event_id, n, mean_khz, floor(mean_khz * 10 + 0.5) / 10 AS new_khz, n >= 2 AND abs(floor(mean_khz * 10 + 0.5) / 10 - freq_khz) >= 0.05 AS applied FROM y"""))
 def freq_average(spark, sf_dir):
-    return signals.average_frequency(spots(spark, sf_dir))
+    return signals.average_frequency(spots(spark, sf_dir).withColumn("t", F.floor(F.col("t") / 4)), window=150)
 
 
-_GROUPS = [("hf", "20m"), ("hf", "10m"), ("vhf", "6m")]
-_GROUP_SQL = f""", b AS (SELECT t // 600 AS slot, de_call, CASE WHEN k % 2 = 0 THEN '20m' WHEN k % 4 = 1 THEN '10m' ELSE '6m' END AS band FROM spots),
-c AS (SELECT slot, band, COUNT(DISTINCT de_call) AS n FROM b GROUP BY ALL), gr(grp, band) AS (VALUES {", ".join(f"('{g}', '{b}')" for g, b in _GROUPS)}),
-a AS (SELECT slot, grp, CAST(SUM(n) AS DOUBLE) / MAX(CASE grp WHEN 'hf' THEN 2 ELSE 1 END) AS mean_reporters FROM c JOIN gr ON c.band = gr.band GROUP BY slot, grp)"""
+_GROUPS = [("hf", "20m"), ("hf", "10m"), ("vhf", "6m"), ("night", "160m")]
+_GROUP_SQL = f""", b AS (SELECT t, de_call, CASE WHEN k % 2 = 0 THEN '20m' WHEN k % 4 = 1 THEN '10m' ELSE '6m' END AS band FROM spots), slots AS (SELECT unnest(range((SELECT MIN(t) // 600 FROM b), (SELECT MAX(t) // 600 FROM b) + 1)) AS slot),
+gr(grp, band) AS (VALUES {", ".join(f"('{g}', '{b}')" for g, b in _GROUPS)}),
+c AS (SELECT s.slot, gr.grp, gr.band, COUNT(DISTINCT b.de_call) AS n FROM slots s CROSS JOIN gr LEFT JOIN b ON b.band = gr.band AND b.t < (s.slot + 1) * 600 AND b.t >= (s.slot + 1) * 600 - 900 GROUP BY ALL),
+a AS (SELECT slot, grp, CAST(SUM(n) AS DOUBLE) / COUNT(*) AS mean_reporters FROM c GROUP BY slot, grp)"""
 
 
 def _grouped(spark, sf_dir):
     k = F.col("k")
     s = spots(spark, sf_dir).withColumn("freq_khz", F.when(k % 2 == 0, 14010.0).when(k % 4 == 1, 28010.0).otherwise(50010.0))
-    return signals.active_reporters(s, spark.createDataFrame(_GROUPS, "grp string, band string"))
+    return signals.active_reporters(s, spark.createDataFrame(_GROUPS, "grp string, band string"), 600, 900)
 
 
 @_query(_sql(_GROUP_SQL + " SELECT * FROM a"))
 def adaptive_reporters(spark, sf_dir):
+    """Windows of 15 minutes that slide by ten; one group has no reporters at all."""
     return _grouped(spark, sf_dir)
 
 
-_STATE_SQL = _GROUP_SQL + """, r AS (SELECT *, CASE WHEN mean_reporters < 70 THEN 'quiet' WHEN mean_reporters > 88 THEN 'busy' ELSE 'normal' END AS raw_state FROM a),
-f AS (SELECT *, CASE WHEN LAG(raw_state) OVER (PARTITION BY grp ORDER BY slot) = raw_state THEN raw_state END AS st FROM r)
-SELECT slot, grp, raw_state, COALESCE(LAST_VALUE(st IGNORE NULLS) OVER (PARTITION BY grp ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'normal') AS state FROM f"""
+_STATE_SQL = _GROUP_SQL + """, r AS (SELECT *, CASE WHEN mean_reporters < 70 THEN 'quiet' WHEN mean_reporters > 93 THEN 'busy' ELSE 'normal' END AS raw_state FROM a),
+f AS (SELECT *, CASE WHEN LAG(raw_state) OVER (PARTITION BY grp ORDER BY slot) = raw_state THEN raw_state END AS st FROM r),
+st AS (SELECT slot, grp, raw_state, COALESCE(LAST_VALUE(st IGNORE NULLS) OVER (PARTITION BY grp ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'normal') AS state FROM f)"""
+
 
+def _states(spark, sf_dir):
+    return signals.hysteresis(_grouped(spark, sf_dir).select("slot", "grp", signals.state_of("mean_reporters", 70, 93).alias("raw_state")))
 
-@_query(_sql(_STATE_SQL))
+
+@_query(_sql(_STATE_SQL + " SELECT * FROM st"))
 def adaptive_state(spark, sf_dir):
-    raw = _grouped(spark, sf_dir).select("slot", "grp", signals.state_of("mean_reporters", 70, 88).alias("raw_state"))
-    return signals.hysteresis(raw)
+    return _states(spark, sf_dir)
+
+
+@_query(_sql(_STATE_SQL + " SELECT slot, CASE MAX(CASE state WHEN 'busy' THEN 2 WHEN 'normal' THEN 1 ELSE 0 END) WHEN 2 THEN 'busy' WHEN 1 THEN 'normal' ELSE 'quiet' END AS state FROM st GROUP BY slot"))
+def highest_state(spark, sf_dir):
+    return signals.highest_state(_states(spark, sf_dir))
+
+
+_LEVELS = {"hf": {"quiet": 2, "normal": 4, "busy": 6}, "vhf": {"quiet": 1, "normal": 3, "busy": 5}, "night": {"quiet": 2, "normal": 2, "busy": 2}}
+
+
+@_query(_sql(_STATE_SQL + ", lv(grp, state, n) AS (VALUES " + ", ".join(f"('{g}', '{state}', {n})" for g, of in _LEVELS.items() for state, n in of.items()) + """),
+s AS (SELECT event_id, t, CASE WHEN k % 2 = 0 THEN 'hf' WHEN k % 4 = 1 THEN 'hf' ELSE 'vhf' END AS grp FROM spots WHERE mode IN ('CW', 'RTTY')), n AS (SELECT s.event_id, s.grp, COALESCE(st.state, 'normal') AS state FROM s LEFT JOIN st ON st.grp = s.grp AND st.slot = s.t // 600 - 1)
+SELECT n.event_id, CAST(lv.n AS INTEGER) AS min_reports FROM n JOIN lv ON lv.grp = n.grp AND lv.state = n.state"""))
+def adaptive_thresholds(spark, sf_dir):
+    k = F.col("k")
+    s = spots(spark, sf_dir).withColumn("freq_khz", F.when(k % 2 == 0, 14010.0).when(k % 4 == 1, 28010.0).otherwise(50010.0))
+    return correction.adaptive_min_reports(s, _states(spark, sf_dir), spark.createDataFrame(_GROUPS, "grp string, band string"), _LEVELS)
+
+
+@_query(_sql(_STATE_SQL + """, s AS (SELECT event_id, CASE WHEN k % 2 = 0 THEN '20m' WHEN k % 4 = 1 THEN '10m' ELSE '6m' END AS band, t // 600 - 1 AS slot FROM spots), n AS (SELECT s.event_id, s.band, COALESCE(st.state, 'normal') AS state FROM s LEFT JOIN gr ON gr.band = s.band LEFT JOIN st ON st.grp = gr.grp AND st.slot = s.slot)
+SELECT event_id, CASE WHEN band = '20m' AND state = 'quiet' THEN 900.0::DOUBLE WHEN band = '6m' AND state = 'busy' THEN 200.0 ELSE 500.0 END AS tolerance_hz, CASE WHEN band = '20m' AND state = 'quiet' THEN 2000 WHEN band = '20m' AND state = 'normal' THEN 500 ELSE 1000 END AS quality_bin_hz FROM n"""))
+def band_state_overrides(spark, sf_dir):
+    k = F.col("k")
+    s = spots(spark, sf_dir).withColumn("freq_khz", F.when(k % 2 == 0, 14010.0).when(k % 4 == 1, 28010.0).otherwise(50010.0))
+    over = [("20m", "quiet", 900.0, 2000), ("20m", "normal", 0.0, 500), ("6m", "busy", 200.0, 0)]
+    return correction.band_state_params(s, _states(spark, sf_dir), spark.createDataFrame(_GROUPS, "grp string, band string"), over, Settings()).select("event_id", "tolerance_hz", "quality_bin_hz")
 
 
 @_query("WITH c AS (SELECT CAST(FLOOR(epoch(ts) / 60) AS BIGINT) AS minute, COUNT(*) AS n FROM events GROUP BY 1) SELECT a.minute, a.n, CAST(SUM(b.n) AS DOUBLE) / 15 AS rate, CAST(SUM(b.n) AS DOUBLE) / 15 > 0.4 AS busy FROM c a JOIN c b ON b.minute BETWEEN a.minute - 14 AND a.minute GROUP BY a.minute, a.n")
@@ -339,6 +377,11 @@ def rate_busy_quiet(spark, sf_dir):
     return signals.rates(spark.read.parquet(f"{sf_dir}/events.parquet"), busy_above=0.4)
 
 
+@_query("WITH c AS (SELECT CAST(FLOOR(epoch(ts) / 60) AS BIGINT) AS minute, COUNT(*) AS n FROM events GROUP BY 1), r AS (SELECT a.minute, CAST(SUM(b.n) AS DOUBLE) / 15 > 0.45 AS busy FROM c a JOIN c b ON b.minute BETWEEN a.minute - 14 AND a.minute GROUP BY a.minute) SELECT minute, CASE WHEN BOOL_OR(busy) OVER (ORDER BY minute ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) THEN 'busy' ELSE 'quiet' END AS state FROM r")
+def activity_states(spark, sf_dir):
+    return signals.activity(signals.rates(spark.read.parquet(f"{sf_dir}/events.parquet"), busy_above=0.45), 3).select("minute", "state")
+
+
 @_query("WITH h AS (SELECT event_type, CAST(FLOOR(epoch(ts) / 3600) AS BIGINT) AS hour, COUNT(*) * (1 + user_id * 0)::BIGINT AS c FROM events GROUP BY event_type, 2, user_id * 0) SELECT event_type, hour, c, CASE WHEN LAG(c) OVER w IS NOT NULL AND c >= LAG(c) OVER w THEN c - LAG(c) OVER w ELSE c END AS delta FROM h WINDOW w AS (PARTITION BY event_type ORDER BY hour)")
 def counter_delta(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -440,17 +483,17 @@ def headroom(spark, sf_dir):
 
 @_query(_decided(_REF_SQL + f", x AS (SELECT r.*, EXISTS (SELECT 1 FROM decisions d WHERE d.decision = 'applied' AND d.subject = r.subject AND d.winner = r.correct) AS hit, EXISTS (SELECT 1 FROM decisions d WHERE d.subject = r.subject) AS seen FROM ref r) SELECT {_REPORT_BAND_SQL} AS band, COUNT(*) AS total, COUNT(*) FILTER (WHERE hit) AS matched, COUNT(*) FILTER (WHERE NOT hit AND seen) AS present_miss, COUNT(*) FILTER (WHERE NOT hit AND NOT seen) AS absent FROM x GROUP BY 1"))
 def recall_by_band(spark, sf_dir):
-    return analytics.recall_by_band(_reference(spark, sf_dir), _decisions(spark, sf_dir))
+    return analytics.recall_by_band(_reference(spark, sf_dir), _log(spark, sf_dir))
 
 
 @_query(_decided(_REF_SQL + ", p AS (SELECT DISTINCT subject, correct FROM ref), x AS (SELECT COUNT(*) AS pairs, COUNT(*) FILTER (WHERE EXISTS (SELECT 1 FROM decisions d WHERE d.decision = 'applied' AND d.subject = p.subject AND d.winner = p.correct)) AS matched FROM p) SELECT pairs, matched, CAST(matched AS DOUBLE) * 100 / pairs AS recall FROM x"))
 def pair_recall(spark, sf_dir):
-    return analytics.pair_recall(_reference(spark, sf_dir), _decisions(spark, sf_dir))
+    return analytics.pair_recall(_reference(spark, sf_dir), _log(spark, sf_dir))
 
 
 @_query(_decided(_STABLE_SQL + " SELECT (SELECT MIN(t) FROM fl) + ((t - (SELECT MIN(t) FROM fl)) // 900) * 900 AS bucket_start, COUNT(*) AS total, COUNT(*) FILTER (WHERE stable) AS stable, CAST(COUNT(*) FILTER (WHERE stable) AS DOUBLE) * 100 / COUNT(*) AS percent FROM fl GROUP BY 1"))
 def stability_bucket(spark, sf_dir):
-    return analytics.stability_by_bucket(analytics.follow_on(_decisions(spark, sf_dir), spots(spark, sf_dir), 300, least=3), 900)
+    return analytics.stability_by_bucket(analytics.follow_on(_log(spark, sf_dir), spots(spark, sf_dir), 300, least=3), 900)
 
 
 _HORIZONS = (60, 300, 900)
@@ -458,12 +501,12 @@ _HORIZONS = (60, 300, 900)
 
 @_query(_decided(", h(horizon) AS (VALUES " + ", ".join(f"({h})" for h in _HORIZONS) + "), fh AS (SELECT h.horizon, d.event_id, COUNT(s.event_id) AS n FROM decisions d CROSS JOIN h LEFT JOIN spots s ON s.dx_call = d.winner AND s.t BETWEEN d.t AND d.t + h.horizon AND abs(s.freq_khz - d.freq_khz) <= 0.5 + 1e-9 WHERE d.decision = 'applied' GROUP BY h.horizon, d.event_id) SELECT horizon, COUNT(*) AS total, COUNT(*) FILTER (WHERE n >= 3) AS stable, CAST(COUNT(*) FILTER (WHERE n >= 3) AS DOUBLE) * 100 / COUNT(*) AS percent FROM fh GROUP BY horizon"))
 def stability_horizons(spark, sf_dir):
-    return analytics.stability_by_horizon(_decisions(spark, sf_dir), spots(spark, sf_dir), list(_HORIZONS), least=3)
+    return analytics.stability_by_horizon(_log(spark, sf_dir), spots(spark, sf_dir), list(_HORIZONS), least=3)
 
 
 @_query(_decided(_STABLE_SQL + f" SELECT {_REPORT_BAND_SQL} AS band, COUNT(*) AS total, COUNT(*) FILTER (WHERE stable) AS stable, CAST(COUNT(*) FILTER (WHERE stable) AS DOUBLE) * 100 / COUNT(*) AS percent FROM fl GROUP BY 1"))
 def stability_band(spark, sf_dir):
-    return analytics.stability_by_band(analytics.follow_on(_decisions(spark, sf_dir), spots(spark, sf_dir), 300, least=3))
+    return analytics.stability_by_band(analytics.follow_on(_log(spark, sf_dir), spots(spark, sf_dir), 300, least=3))
 
 
 _AGAIN_SQL = """, ag AS (SELECT a.event_id, a.distance, COUNT(b.event_id) > 0 AS winner_again, COALESCE(BOOL_OR(b.subject = a.subject OR b.winner = a.subject), FALSE) AS subject_again
@@ -472,7 +515,7 @@ _AGAIN_SQL = """, ag AS (SELECT a.event_id, a.distance, COUNT(b.event_id) > 0 AS
 
 @_query(_decided(_AGAIN_SQL + " SELECT distance, COUNT(*) AS total, COUNT(*) FILTER (WHERE winner_again AND NOT subject_again) AS stable, CAST(COUNT(*) FILTER (WHERE winner_again AND NOT subject_again) AS DOUBLE) * 100 / COUNT(*) AS percent FROM ag GROUP BY distance"))
 def m1a_stability(spark, sf_dir):
-    return analytics.stability_by_distance(analytics.reappearance(_decisions(spark, sf_dir), 600))
+    return analytics.stability_by_distance(analytics.reappearance(_log(spark, sf_dir), 600))
 
 
 @_query(_decided(" SELECT distance, COUNT(*) AS total, COUNT(*) FILTER (WHERE decision = 'applied') AS applied, COUNT(*) FILTER (WHERE decision <> 'applied') AS rejected, CAST(SUM(conf) FILTER (WHERE decision = 'applied') AS DOUBLE) / COUNT(*) FILTER (WHERE decision = 'applied') AS mean_conf, median(conf) FILTER (WHERE decision = 'applied') AS median_conf, CAST(COUNT(*) FILTER (WHERE decision = 'applied') AS DOUBLE) * 100 / COUNT(*) AS apply_rate FROM decisions WHERE distance BETWEEN 1 AND 3 GROUP BY distance"))
@@ -488,16 +531,34 @@ def m1c_reason_share(spark, sf_dir):
 _GRID = [(5, 55), (6, 55), (6, 60), (4, 50), (8, 70)]
 
 
-@_query(_decided(", cells(min_reports, min_conf) AS (VALUES " + ", ".join(map(str, _GRID)) + ") SELECT min_reports, min_conf, COUNT(*) FILTER (WHERE winner_support >= min_reports AND winner_support >= subject_support + 1 AND conf >= min_conf) AS passed, COUNT(*) FILTER (WHERE winner_support >= min_reports AND winner_support >= subject_support + 1 AND conf >= min_conf AND decision = 'rejected') AS rescued FROM decisions CROSS JOIN cells WHERE winner <> subject AND distance <= 3 GROUP BY ALL"))
+@_query(_decided(", cells(min_reports, min_conf) AS (VALUES " + ", ".join(map(str, _GRID)) + """), y AS (SELECT *, winner_support >= min_reports AND winner_support - subject_support >= CASE WHEN distance = 3 THEN 2 ELSE 1 END AND conf >= min_conf + CASE WHEN distance = 3 THEN 5 ELSE 0 END AS ok
+  FROM decisions CROSS JOIN cells WHERE winner <> subject AND distance <= 3)
+SELECT min_reports, min_conf, COUNT(*) FILTER (WHERE ok) AS passed, COUNT(*) FILTER (WHERE ok AND decision = 'rejected') AS rescued, COUNT(*) FILTER (WHERE ok AND decision = 'rejected' AND distance = 1) AS rescued_d1, COUNT(*) FILTER (WHERE ok AND decision = 'rejected' AND distance = 2) AS rescued_d2,
+  COUNT(*) FILTER (WHERE ok AND decision = 'rejected' AND distance = 3) AS rescued_d3 FROM y GROUP BY ALL"""))
 def simulate_threshold(spark, sf_dir):
     return analytics.simulate(_decisions(spark, sf_dir), _GRID)
 
 
-@_query(_decided(", cells(scenario, er, ea, ec) AS (VALUES " + ", ".join(map(str, analytics.SCENARIOS)) + "), xx AS (SELECT *, winner_support - subject_support AS adv FROM decisions CROSS JOIN cells WHERE distance = 3), y AS (SELECT *, winner_support >= er + 6 AND adv >= ea + 1 AND conf >= ec + 60 AS ok FROM xx) SELECT scenario, COUNT(*) FILTER (WHERE ok) AS passed, COUNT(*) FILTER (WHERE ok AND decision <> 'applied') AS rescued, COUNT(*) FILTER (WHERE NOT ok AND decision = 'applied') AS lost, MIN(adv) FILTER (WHERE ok) AS least_adv, CAST(SUM(adv) FILTER (WHERE ok) AS DOUBLE) / COUNT(*) FILTER (WHERE ok) AS mean_adv FROM y GROUP BY scenario"))
+@_query(_decided(""", cells(scenario, reports, advantage, confidence) AS (VALUES ('current', 3, 2, 65), ('relaxed advantage', 3, 1, 65), ('relaxed confidence', 3, 2, 63), ('relaxed both', 3, 1, 63), ('strict', 4, 2, 65), ('very strict', 4, 3, 67)),
+xx AS (SELECT *, winner_support - subject_support AS adv FROM decisions CROSS JOIN cells WHERE distance = 3), y AS (SELECT *, winner_support >= reports AND adv >= advantage AND conf >= confidence AS ok FROM xx)
+SELECT scenario, COUNT(*) FILTER (WHERE ok) AS passed, COUNT(*) FILTER (WHERE ok AND decision <> 'applied') AS rescued, COUNT(*) FILTER (WHERE NOT ok AND decision = 'applied') AS lost, MIN(adv) FILTER (WHERE ok) AS least_adv, CAST(SUM(adv) FILTER (WHERE ok) AS DOUBLE) / COUNT(*) FILTER (WHERE ok) AS mean_adv FROM y GROUP BY scenario"""))
 def d3_scenarios(spark, sf_dir):
     return analytics.distance3_scenarios(_decisions(spark, sf_dir))
 
 
+@_query(_decided(" SELECT event_id, decision, conf, winner_support - subject_support AS advantage, CAST(winner_support AS DOUBLE) * 100 / total AS winner_share, CAST(subject_support AS DOUBLE) * 100 / total AS subject_share FROM decisions WHERE distance = 3"))
+def d3_list(spark, sf_dir):
+    return analytics.distance3_list(_decisions(spark, sf_dir)).select("event_id", "decision", "conf", "advantage", "winner_share", "subject_share")
+
+
+@_query(_decided(""", x AS (SELECT COUNT(*) FILTER (WHERE decision = 'applied' AND distance = 1) AS a1, COUNT(*) FILTER (WHERE distance = 1) AS n1, COUNT(*) FILTER (WHERE decision = 'applied' AND distance = 3) AS a3, COUNT(*) FILTER (WHERE distance = 3) AS n3,
+  CAST(SUM(conf) FILTER (WHERE decision = 'applied' AND distance = 1) AS DOUBLE) AS c1, CAST(SUM(conf) FILTER (WHERE decision = 'applied' AND distance = 3) AS DOUBLE) AS c3, COUNT(*) FILTER (WHERE decision = 'applied') AS a, COUNT(*) AS n FROM decisions WHERE distance BETWEEN 1 AND 3),
+y AS (SELECT CAST(a1 AS DOUBLE) * 100 / n1 AS rate_d1, CAST(a3 AS DOUBLE) * 100 / n3 AS rate_d3, c1 / a1 AS conf_d1, c3 / a3 AS conf_d3 FROM x)
+SELECT *, rate_d1 - rate_d3 AS rate_gap, conf_d1 - conf_d3 AS conf_gap, CASE WHEN rate_d1 - rate_d3 > 30 THEN 'conservative' ELSE 'balanced' END AS gap_class FROM y"""))
+def d1_against_d3(spark, sf_dir):
+    return analytics.distance_gap(_decisions(spark, sf_dir).where("distance between 1 and 3")).withColumn("gap_class", analytics.gap_class("rate_gap"))
+
+
 _BOTH_SQL = """, m AS (SELECT a.event_id, b.subject AS call, b.freq_khz AS f, a.subject AS s, a.winner AS w, ROW_NUMBER() OVER (PARTITION BY a.event_id ORDER BY b.t, b.event_id) AS rn
   FROM decisions a JOIN decisions b ON b.t > a.t AND b.t <= a.t + 300 AND b.subject IN (a.subject, a.winner) WHERE a.decision = 'applied'),
 x AS (SELECT event_id, arg_min(f, rn) FILTER (WHERE call = s) AS subject_khz, arg_min(f, rn) FILTER (WHERE call = w) AS winner_khz FROM m WHERE rn <= 100 GROUP BY event_id)
@@ -506,7 +567,12 @@ SELECT event_id, subject_khz, winner_khz, abs(subject_khz - winner_khz) AS gap_k
 
 @_query(_decided(_BOTH_SQL))
 def reappearances(spark, sf_dir):
-    return analytics.both_reappear(_decisions(spark, sf_dir), 300)
+    return analytics.both_reappear(_log(spark, sf_dir), 300)
+
+
+@_query(_decided(_BOTH_SQL.replace("\nSELECT event_id, subject_khz", ", gp AS (SELECT event_id, subject_khz").replace("winner_khz IS NOT NULL", "winner_khz IS NOT NULL)", 1) + " SELECT COUNT(*) AS pairs, COUNT(*) FILTER (WHERE gap_khz < 0.5) AS near, COUNT(*) FILTER (WHERE gap_khz >= 0.5) AS apart, CAST(COUNT(*) FILTER (WHERE gap_khz < 0.5) AS DOUBLE) * 100 / COUNT(*) AS near_percent FROM gp"))
+def separation_classes(spark, sf_dir):
+    return analytics.separation_classes(analytics.both_reappear(_log(spark, sf_dir), 300))
 
 
 _MATCH_SQL = _REF_SQL + """, j AS (SELECT d.event_id, d.winner, r.row, r.correct FROM decisions d JOIN ref r ON r.subject = d.subject AND abs((r.t % 86400) // 60 - (d.t % 86400) // 60) <= 5 AND abs(r.freq_khz - d.freq_khz) <= 1.0 + 1e-9 WHERE d.decision = 'applied'),
@@ -516,14 +582,23 @@ mt AS (SELECT d.event_id, b.ref_row, CASE WHEN b.ref_row IS NULL THEN 'POSSIBLE_
 
 @_query(_decided(_MATCH_SQL + " SELECT event_id, COALESCE(ref_row, -1) AS ref_row, class FROM mt"))
 def reference_match(spark, sf_dir):
-    m = analytics.match_reference(_decisions(spark, sf_dir), _reference(spark, sf_dir).withColumnRenamed("subject", "bad"))
+    m = analytics.match_reference(_log(spark, sf_dir), _reference(spark, sf_dir).withColumnRenamed("subject", "bad"))
     return m.withColumn("ref_row", F.coalesce("ref_row", F.lit(-1).cast("long")))
 
 
 @_query(_decided(_MATCH_SQL + " SELECT row, subject AS bad, correct FROM ref WHERE row NOT IN (SELECT ref_row FROM mt WHERE ref_row IS NOT NULL)"))
 def missed_reference(spark, sf_dir):
     r = _reference(spark, sf_dir).withColumnRenamed("subject", "bad")
-    return analytics.missed_reference(r, analytics.match_reference(_decisions(spark, sf_dir), r)).select("row", "bad", "correct")
+    return analytics.missed_reference(r, analytics.match_reference(_log(spark, sf_dir), r)).select("row", "bad", "correct")
+
+
+@_query(_decided(_MATCH_SQL + """, ms AS (SELECT COUNT(*) AS missed FROM ref WHERE row NOT IN (SELECT ref_row FROM mt WHERE ref_row IS NOT NULL)), c AS (SELECT COUNT(*) AS applied, COUNT(*) FILTER (WHERE class = 'CORRECT_FIX') AS correct, COUNT(*) FILTER (WHERE class = 'WRONG_FIX') AS wrong,
+  COUNT(*) FILTER (WHERE class = 'POSSIBLE_FALSE_POSITIVE') AS possible_false FROM mt)
+SELECT *, CASE WHEN applied > 0 THEN CAST(correct AS DOUBLE) * 100 / applied ELSE 0 END AS accuracy, CASE WHEN correct + wrong > 0 THEN CAST(correct AS DOUBLE) * 100 / (correct + wrong) ELSE 0 END AS precision, CASE WHEN correct + missed > 0 THEN CAST(correct AS DOUBLE) * 100 / (correct + missed) ELSE 0 END AS recall FROM c CROSS JOIN ms"""))
+def precision(spark, sf_dir):
+    r = _reference(spark, sf_dir).withColumnRenamed("subject", "bad")
+    m = stored(analytics.match_reference(_log(spark, sf_dir), r), "matched")
+    return analytics.precision(m, analytics.missed_reference(r, m))
 
 
 @_query(_decided(" SELECT event_id, subject, winner, winner_support, conf, reason FROM decisions WHERE decision = 'rejected' AND winner <> subject ORDER BY winner_support DESC, conf DESC, event_id LIMIT 10"))
@@ -570,12 +645,8 @@ def psk_messages(spark, sf_dir):
 
 
 def _stream_dirs(spark: SparkSession, name: str) -> tuple[str, str]:
-    """Folders for a stream's output and progress, in the shared folder where one is set."""
-    import tempfile
-    import uuid
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ionolake-')}"
-    base = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Folders for a stream's output and progress, in the shared folder."""
+    base = new_place(spark, name)
     return f"{base}/out", f"{base}/progress"
 
 

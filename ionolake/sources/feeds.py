@@ -87,9 +87,9 @@ def parse_line(line: str) -> dict | None:
     return got
 
 
-def parse_lines(lines: DataFrame, now: Column | None = None, minimal: bool = False, allotments: DataFrame | None = None) -> DataFrame:
+def parse_lines(lines: DataFrame, now: Column | None = None, minimal: bool = False, allotments: DataFrame | None = None, node: str = "") -> DataFrame:
     """Spots of a feed's lines (column value): de_call, dx_call, freq_khz, mode, report, ts, comment, is_human, source_type. The walk over words runs in Arrow batches; the rest is native.
-    A line's time of day becomes the moment within 12 hours of now. minimal: lines of people, which pass as they are."""
+    A line's time of day becomes the moment within 12 hours of now. minimal: lines of people, which pass as they are; their source_node is node, or the source's type where that is blank."""
 
     @F.pandas_udf("de_call string, khz double, dx_call string, mode string, hhmm string, report int, comment string")
     def parse(values):
@@ -114,18 +114,29 @@ def parse_lines(lines: DataFrame, now: Column | None = None, minimal: bool = Fal
     ts = F.coalesce(F.timestamp_seconds(day - F.when(gap > 43200, 86400).when(gap < -43200, -86400).otherwise(0)), at)
     out = x.withColumns({"mode": mode, "ts": ts})
     kind = F.lit("UPSTREAM") if minimal else radio.source_type("mode")
-    return out.select("de_call", "dx_call", "freq_khz", "mode", "report", "ts", "comment", F.lit(minimal).alias("is_human"), kind.alias("source_type"))
+    return out.select("de_call", "dx_call", "freq_khz", "mode", "report", "ts", "comment", F.lit(minimal).alias("is_human"), kind.alias("source_type"), F.when(F.trim(F.lit(node)) != "", F.lit(node)).otherwise(kind).alias("source_node"))
 
 
-def parse_psk(messages: DataFrame, now: Column | None = None) -> DataFrame:
-    """Spots of reception-report JSON (column value); malformed, incomplete and badly dated messages drop."""
+def topics(modes: list[str], root: str = "pskr/filter/v2") -> list[str]:
+    """The topics of a message feed that hold these modes' reports; all of them without modes."""
+    return [f"{root}/+/{m.strip().upper()}/#" for m in modes if m.strip()] or [f"{root}/+/+/#"]
+
+
+def parse_psk(messages: DataFrame, now: Column | None = None, skew: DataFrame | None = None) -> DataFrame:
+    """Spots of reception-report JSON (column value); malformed, incomplete and badly dated messages drop. skew (call, factor) corrects the frequencies of CW and RTTY."""
     at = F.unix_timestamp(now if now is not None else F.current_timestamp())
     m = messages.select(F.from_json("value", PSK_SCHEMA).alias("m")).where("m is not null").select("m.*")
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     ok = ~blank("sc") & ~blank("rc") & ~blank("md") & (F.col("f") != 0) & (F.col("t") != 0) & (at - F.col("t")).between(-3600, 86400)
     dx, de = radio.normal_call("sc"), radio.skimmer_call(radio.normal_call("rc"))
     x = m.where(ok).select(dx.alias("dx_call"), de.alias("de_call"), radio.half_up_tenth(F.col("f") / 1000).alias("freq_khz"), F.upper(F.trim("md")).alias("mode"), F.col("rp").alias("report"), F.timestamp_seconds("t").alias("ts"), F.concat(F.coalesce("sl", F.lit("")), F.lit(">"), F.coalesce("rl", F.lit(""))).alias("comment"), F.lit(False).alias("is_human"), F.lit("PSKREPORTER").alias("source_type"))
-    return x.where(radio.valid_call("dx_call") & radio.valid_call("de_call"))
+    x = x.where(radio.valid_call("dx_call") & radio.valid_call("de_call"))
+    if skew is None:
+        return x
+    from ..operators.lookups import apply_skew
+
+    keyed = F.col("mode").isin("CW", "RTTY")
+    return apply_skew(x.where(keyed), skew).unionByName(x.where(~keyed))
 
 
 def read_prefixes(spark: SparkSession, path: str) -> DataFrame:
@@ -146,6 +157,34 @@ def read_skew(spark: SparkSession, path: str, min_spots: int = 0) -> DataFrame:
     return x.where((F.col("factor") != 1) & (F.col("spots") >= min_spots))
 
 
+def read_skew_json(spark: SparkSession, path: str) -> DataFrame:
+    """call, skew_hz, spots, factor of a skew file written as a JSON array; factors of 1 drop."""
+    schema = "callsign string, skew_hz double, spots long, correction_factor double"
+    x = spark.read.schema(schema).json(path, multiLine=True)
+    return x.select(F.upper(F.trim("callsign")).alias("call"), "skew_hz", "spots", F.col("correction_factor").alias("factor")).where("call is not null and factor <> 1")
+
+
+def read_contest_dates(spark: SparkSession, path: str) -> DataFrame:
+    """date: the distinct dates of a list, one a line; comments and what is no date drop."""
+    day = F.try_to_date(F.trim("value"), "yyyy-MM-dd")
+    return spark.read.text(path).select(day.alias("date")).where("date is not null").distinct()
+
+
+def read_lines(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """A stream of a feed's text lines (column value), for parse_lines(). Spark runs the connection and its restarts."""
+    x = spark.readStream.format("socket").option("host", host).option("port", port).load()
+    return x.where(F.col("value").startswith("DX de"))
+
+
+def aggregate_feed(lines: DataFrame, reporter: str, now: Column | None = None) -> DataFrame:
+    """freq_khz, dx_call, report, ts of one reporter's FT4 and FT8 lines (columns value and ts, now if absent)."""
+    at = F.col("ts") if "ts" in lines.columns else (now if now is not None else F.current_timestamp())
+    line = r"^DX de ([^\s:]+):\s*([0-9]+(?:\.[0-9]+)?)\s+(\S+)\s+(FT[48])\s+([-+]?[0-9]+)"
+    part = lambda k: F.regexp_extract("value", line, k)
+    x = lines.select(part(1).alias("de_call"), part(2).try_cast("double").alias("freq_khz"), F.upper(part(3)).alias("dx_call"), part(5).try_cast("int").alias("report"), at.alias("ts"))
+    return x.where((radio.collapse_ssid("de_call") == reporter) | (F.regexp_replace("de_call", "-#$", "") == reporter)).select("freq_khz", "dx_call", "report", "ts")
+
+
 def read_known(spark: SparkSession, path: str) -> DataFrame:
     x = spark.read.text(path).select(F.upper(F.trim("value")).alias("call"))
     return x.where("call <> '' and not startswith(call, '#')").distinct()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import lookups
 
@@ -35,3 +37,65 @@ def report_lines(summary: dict, reasons: list[tuple[str, int]], bands: list[tupl
     out = [f"Decisions: {summary['decisions']}  applied: {summary['applied']}  pairs: {summary['applied_pairs']}"]
     out += [f"  {reason or '(none)':<20}{n:>8}" for reason, n in sorted(reasons, key=lambda x: (-x[1], x[0]))]
     return out + [f"  {b[0]:<6} total {b[1]} matched {b[2]}" for b in sorted(bands)]
+
+
+def append_history(spots: DataFrame, path: str, order: tuple[str, str] = ("t", "event_id")) -> None:
+    """Appends spots with spot_id, which goes on from the largest one stored, in order of time, and by hour, so that readers prune. Ids come from counts of each hour: no window over all rows."""
+    spark = spots.sparkSession
+    hour = F.floor(F.col(order[0]) / 3600).cast("long")
+    try:
+        last = spark.read.parquet(path).agg(F.max("spot_id")).first()[0]
+    except AnalysisException:
+        last = None
+    held = spots.drop("spot_id").withColumn("hour", hour)
+    counts = held.groupBy("hour").agg(F.count("*").alias("n"))
+    # a row an hour
+    starts = counts.select("hour", (F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("hour")) - F.col("n") + F.lit((last or 0) + 1)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("hour").orderBy(*order)) - 1
+    held.withColumn("_rank", rank).join(starts, "hour").withColumn("spot_id", (F.col("_start") + F.col("_rank")).cast("long")).drop("_start", "_rank").write.mode("append").partitionBy("hour").parquet(path)
+
+
+def write_skew_json(skew: DataFrame, path: str) -> None:
+    """The skew table (call, skew_hz, spots, factor) as JSON lines in one file: a row for each reporter."""
+    rows = skew.select(F.col("call").alias("callsign"), "skew_hz", "spots", F.col("factor").alias("correction_factor"))
+    rows.coalesce(1).sortWithinPartitions("callsign").write.mode("overwrite").json(path)
+
+
+def refresh_skew(spark: SparkSession, source: str, target: str, min_spots: int = 0) -> None:
+    """A skew CSV as the JSON that a service reads."""
+    from .feeds import read_skew
+
+    write_skew_json(read_skew(spark, source, min_spots), target)
+
+
+def append_aggregate(rows: DataFrame, path: str) -> None:
+    """Appends an aggregated feed by minute; recent_aggregate() reads what retention keeps."""
+    rows.withColumn("minute", F.date_trunc("minute", "ts")).write.mode("append").partitionBy("minute").parquet(path)
+
+
+def recent_aggregate(spark: SparkSession, path: str, now: str, seconds: int = 900) -> DataFrame:
+    return spark.read.parquet(path).where(F.col("ts") > F.timestamp_seconds(F.unix_timestamp(F.lit(now).cast("timestamp")) - seconds)).drop("minute")
+
+
+def upsert_calls(stream: DataFrame, path: str, checkpoint: str, trigger: str = "60 seconds", once: bool = False):
+    """A writer that merges each micro-batch into the call store: path/v=<batch> is written whole, and readers take the newest version (newest_calls()). A repeated batch writes the same version again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = newest_calls(spark, path, number)
+        merged = lookups.merge_calls(old, batch) if old is not None else lookups.merge_calls(batch.limit(0), batch)
+        merged.write.mode("overwrite").parquet(f"{path}/v={number}")
+
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=trigger)).start()
+
+
+def newest_calls(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest version of the call store, or the newest before one; None if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return None
+    whole = [s.getPath().getName() for s in fs.listStatus(place) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    versions = [int(n[2:]) for n in whole if n.startswith("v=") and (before is None or int(n[2:]) < before)]
+    return spark.read.parquet(f"{path}/v={max(versions)}") if versions else None

@@ -50,6 +50,28 @@ def test_consensus_cases(spark):
     assert decide(spark, split, **{**base, "min_confidence": 40})["reason"] == "freq_guard"
 
 
+def test_reports_of_one_minute_correct_a_call(spark):
+    """Lines of a feed carry minutes only: the spots of one moment vote for those after them."""
+    from ionolake.sources import feeds
+
+    lines = [f"DX de W{i}AA-#:  14025.0  K1ABC  CW  {20 + i} dB  25 WPM  CQ  1200Z" for i in range(1, 7)] + ["DX de W8ZZ-#:  14025.0  K1A8C  CW  9 dB  25 WPM  CQ  1200Z"]
+    p = feeds.parse_lines(spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "value string, n long").coalesce(1), F.lit("2025-12-04 12:00:30").cast("timestamp"))
+    s = p.withColumns({"event_id": F.monotonically_increasing_id(), "t": F.unix_timestamp("ts")})
+    d = correction.decide(correction.tallies(correction.votes(s, Settings())), Settings()).collect()
+    assert len(d) == 7 and {(r["subject"], r["winner"], r["winner_support"], r["total"]) for r in d if r["decision"] == "applied"} == {("K1A8C", "K1ABC", 6, 7)}
+    assert correction.votes(s.withColumn("mode", F.lit("FT8")), Settings()).count() == 0
+
+
+def test_weak_and_adaptive_spots(spark):
+    schema = "event_id long, t long, freq_khz double, de_call string, dx_call string, report int, mode string"
+    t = spark.createDataFrame([(0, 1000, 14010.0, "W1", "K1ABC", 1, "CW")] + [(i, 1000, 14010.0, f"W{i + 2}", "K1ABD", 20, "CW") for i in range(1, 4)] + [(9, 1001, 14010.0, "W1", "K1ABC", 1, "CW")], schema)
+    s = Settings(min_snr=(("CW", 5),), min_reports=4)
+    d = {r["event_id"]: r for r in correction.decide(correction.tallies(correction.votes(t, s)), s).collect()}
+    assert len(d) == 5 and d[0]["reason"] == "no_reporters" and d[0]["total"] == 0 and d[9]["reason"] == "min_reports" and d[9]["total"] == 3
+    least = spark.createDataFrame([(9, 3)], "event_id long, min_reports int")
+    assert {r["event_id"]: r["decision"] for r in correction.decide(correction.tallies(correction.votes(t, s)), s, min_reports=least).collect()}[9] == "applied"
+
+
 def test_applying_corrections(spark):
     s = spark.createDataFrame([(1, "A", "CW"), (2, "B", "CW"), (3, "C", "FT8")], "event_id long, dx_call string, mode string")
     d = spark.createDataFrame([(1, "applied", "A1"), (2, "applied", "B1")], "event_id long, decision string, winner string")
@@ -87,6 +109,10 @@ def test_licences_and_store(spark):
 
 def test_harmonics(spark):
     schema = "event_id long, t long, freq_khz double, de_call string, dx_call string, report int"
+    near = spark.createDataFrame([(1, 0, 7011.0, "W1", "K1ABC", 20), (2, 0, 7011.0, "W2", "K1ABC", 30), (3, 0, 14022.0, "W1", "K1ABC", 10), (4, 1, 4674.0, "W1", "K1ABC", 30), (5, 1, 14022.0, "W4", "K1ABC", 5), (6, 1, 28044.0, "W4", "K1ABC", -9)], schema)
+    got = {r["event_id"]: (r["fundamental"], r["delta"], r["corroborators"]) for r in signals.harmonics(near).collect()}
+    assert got == {3: (7011.0, 10, 2), 5: (7011.0, 15, 2), 6: (7011.0, 29, 2)}
+    assert {r["event_id"]: r["corroborators"] for r in signals.harmonics(near.where("event_id > 2"), levels=2).collect()} == {5: 1, 6: 1}
     t = spark.createDataFrame([(1, 0, 7011.0, "W1", "K1ABC", 20), (2, 5, 14022.0, "W1", "K1ABC", 10), (3, 5, 15000.0, "W1", "K1ABC", 1), (4, 500, 14022.0, "W1", "K1ABC", 1)], schema)
     got = signals.harmonics(t).collect()
     assert [(r["event_id"], r["fundamental"], r["multiple"], r["delta"], r["corroborators"]) for r in got] == [(2, 7011.0, 2, 10, 1)]
@@ -102,6 +128,53 @@ def test_hysteresis(spark):
     assert signals.highest_state(signals.hysteresis(t, 2)).where("slot = 3").first()["state"] == "busy"
 
 
+def test_silent_groups_and_sliding_windows(spark):
+    s = spark.createDataFrame([(0, "A", 14010.0), (650, "B", 14010.0), (1900, "C", 14010.0)], "t long, de_call string, freq_khz double")
+    g = spark.createDataFrame([("hf", "20m"), ("hf", "10m"), ("night", "160m")], "grp string, band string")
+    got = {(r["slot"], r["grp"]): r["mean_reporters"] for r in signals.active_reporters(s, g, 600, 1200).collect()}
+    assert got == {(k, "hf"): n / 2 for k, n in enumerate((1, 2, 1, 1))} | {(k, "night"): 0.0 for k in range(4)}
+
+
+def test_busy_until_three_quiet_minutes(spark):
+    t = spark.createDataFrame([(i, b) for i, b in enumerate([False, True, False, False, True, False, False, False, False])], "minute long, busy boolean")
+    assert [r["state"][0] for r in signals.activity(t, 3).orderBy("minute").collect()] == list("qbbbbbbqq")
+
+
+@pytest.mark.parametrize("prefer", [True, False])
+def test_first_dedup_against_a_loop(spark, prefer):
+    rng = random.Random(5)
+    rows = [(i, i // 3, rng.randrange(60), rng.choice([None, -9, -5, -1, 0, 3, 8])) for i in range(1500)]
+    want, state = set(), {}
+    for i, t, k, r in rows:
+        a = state.get(k)
+        if a is None or (r is not None and not a[1]) or (prefer and (r or 0) > a[0]):
+            state[k] = (r or 0, r is not None)
+            want.add(i)
+    got = dedup.primary(spark.createDataFrame(rows, "event_id long, t long, k long, report long"), ["k"], prefer)
+    assert {r["event_id"] for r in got.collect()} == want and got.columns == ["event_id", "t", "k", "report"]
+
+
+def test_deliveries_by_table_equal_compiled_filters(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["20m", "40m", "160m", "???"]), rng.choice(["CW", "FT8", "USB", ""]), rng.choice(["HUMAN", "SKIMMER"]), rng.choice(["EU", "NA", None]), "NA", rng.choice([0, 3, 14, None]), 5, rng.choice([0, 291, 1]), 291, rng.choice(["FN", "", None]), "JO", rng.choice(["V", "", "30", "?"]), rng.choice(["K1ABC", "K1XY", "G4AB", None]), "W2X", rng.random() < 0.3) for i in range(500)]
+    schema = "event_id long, band string, mode string, source string, dx_continent string, de_continent string, dx_zone int, de_zone int, dx_adif int, de_adif int, dx_grid2 string, de_grid2 string, confidence string, dx_call string, de_call string, is_beacon boolean"
+    t = spark.createDataFrame(rows, schema)
+    lines = ["PASS BAND 20M,40M", "REJECT BAND 40M", "PASS MODE CW,FT8", "REJECT MODE FT8", "PASS DXCONT EU", "REJECT DXCONT EU", "PASS DXZONE 3,14", "REJECT DXZONE 14", "PASS DXDXCC 291", "PASS DXGRID2 FN", "REJECT DXGRID2 FN", "PASS CONFIDENCE V", "REJECT CONFIDENCE ?", "PASS CONFIDENCE ALL", "PASS DXCALL K1*", "REJECT DXCALL *AB", "REJECT BEACON", "REJECT BAND ALL", "REJECT MODE ALL", "PASS SOURCE HUMAN"]
+    subs = []
+    for k in range(25):
+        f = filters.OPEN if k % 2 else filters.Filter()
+        for line in rng.sample(lines, rng.randrange(1, 5)):
+            f, _ = filters.command(f, line)
+        subs.append(("K1ABC" if k == 3 else f"S{k}", f))
+    want = sorted((r["subscriber"], r["event_id"]) for r in filters.deliver(t, subs).collect())
+    got = sorted((r["subscriber"], r["event_id"]) for r in filters.deliver_by_table(t, filters.filter_table(spark, subs)).collect())
+    assert got == want and len(want) > 500
+
+
+def test_typed_lines():
+    assert filters.typed("PASS DXCALL K1*,*AB\r\n") == "PASS DXCALL K1*,*AB" and filters.typed("PASS \x00") is None
+
+
 def test_rule_truth_table(spark):
     """Every set of flags against the rule written out."""
     t = spark.createDataFrame([("CW",), ("FT4",), ("",), (None,)], "mode string")
@@ -115,9 +188,9 @@ def test_rule_truth_table(spark):
                     def passes(m):
                         if none or (m in block):
                             return False
-                        if every:
-                            return True
-                        return bool(m) and m in allow
+                        if allow:
+                            return bool(m) and m in allow
+                        return every
 
                     assert got == [m for m in ("CW", "FT4", "", None) if passes(m)], r
 
