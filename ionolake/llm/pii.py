@@ -41,11 +41,16 @@ _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
 #: What keys of well-known services begin with, and words that a secret is assigned to.
 _PREFIX = r"sk-(?:proj-|live-|test-)?|AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|AIza|eyJ"
 _NAMED = r"(?:api[_-]?key|access[_-]?key|private[_-]?key|token|secret|passw(?:or)?d)"
-_CANDIDATE = re.compile(
-    rf"""(?P<secret>(?<=["'])[0-9A-Fa-f]{{32,}}(?=["'])|(?<![A-Za-z0-9_])(?:{_PREFIX})(?=[A-Za-z0-9_.-]{{0,40}}[0-9])[A-Za-z0-9_-]{{16,}}(?:\.[A-Za-z0-9_-]+)*)
-    |(?P<named>(?i:{_NAMED})["']?[ ]?[=:][ ]?["']?(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{{16,}}={{0,2}})
+#: Texts, one of which is in every text that matches _PREFIX, or, lower-cased, _NAMED.
+_PREFIX_MARKS = ("sk-", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "AIza", "eyJ")
+_NAMED_MARKS = ("apikey", "accesskey", "privatekey", "_key", "-key", "token", "secret", "passw")
+_KEYS = rf"""|(?<![A-Za-z0-9_])(?:{_PREFIX})(?=[A-Za-z0-9_.-]{{0,40}}[0-9])[A-Za-z0-9_-]{{16,}}(?:\.[A-Za-z0-9_-]+)*)
+    |(?P<named>(?i:{_NAMED})["']?[ ]?[=:][ ]?["']?(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{{16,}}={{0,2}}"""
+_CANDIDATE, _WITH_KEYS = (
+    re.compile(
+        rf"""(?P<secret>(?<=["'])[0-9A-Fa-f]{{32,}}(?=["']){keys})
     """
-    r"""
+        r"""
     |(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9_%+-]*(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
     |(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?\b)
     |(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9]|\.[0-9])|(?<![\w])\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![\w.+-])[2-9][0-9]{2}-[0-9]{3}-[0-9]{4}(?![\w-]))
@@ -53,10 +58,12 @@ _CANDIDATE = re.compile(
     |(?P<ssn>(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d-]))
     |(?P<ip>(?<![\d.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\d]|\.\d))
     |(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))""",
-    re.VERBOSE | re.ASCII,
+        re.VERBOSE | re.ASCII,
+    )
+    for keys in ("", _KEYS)
 )
 #: Every candidate has one of these; a text without needs no further look.
-_HINT = re.compile(rf"@|[0-9][^\n]{{0,3}}[0-9]|[\"'][0-9A-Fa-f]{{32}}|{_PREFIX}|(?i:{_NAMED})[\"']?[ ]?[=:]", re.ASCII)
+_HINT = re.compile(r"@|[0-9][^\n]{0,3}[0-9]|[\"'][0-9A-Fa-f]{32}", re.ASCII)
 
 
 #: Lengths of IBANs by country.
@@ -233,11 +240,14 @@ def pseudonym(kind: str, value: str, key: bytes = DEFAULT_KEY, inverse: bool = F
 
 def scrub(text: str, key: bytes = DEFAULT_KEY, inverse: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with pseudonyms, and the spans (start, end, kind) of the values in the text given."""
-    if not _HINT.search(text):
+    low = text.lower()
+    keys = any(x in text for x in _PREFIX_MARKS) or any(x in low for x in _NAMED_MARKS)
+    if not keys and not _HINT.search(text):
         return text, []
+    candidate = _WITH_KEYS if keys else _CANDIDATE
     out, at, found = [], 0, []
     look = 0
-    while m := _CANDIDATE.search(text, look):
+    while m := candidate.search(text, look):
         kind, value, look = m.lastgroup, m.group(), m.start() + 1
         parts = _parts(kind, value)
         kind = "secret" if kind == "named" else kind
