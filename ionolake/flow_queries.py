@@ -42,7 +42,7 @@ _FEED_VOTES = """, f AS (SELECT event_id, t // 4 AS t, freq_khz, CAST(FLOOR(freq
 fv AS (SELECT a.event_id, a.t, a.freq_khz, a.mode, a.dx_call AS subject, b.dx_call AS cand, b.de_call AS rep, b.t AS seen, b.freq_khz AS khz, b.heard FROM f a JOIN f b
     ON b.t BETWEEN a.t - 90 AND a.t AND (b.t < a.t OR b.event_id < a.event_id) AND abs(a.b - b.b) <= 5 AND abs(a.freq_khz - b.freq_khz) * 1000 <= 300 + 1e-6 AND b.heard AND CASE WHEN a.de_call = b.de_call THEN a.dx_call = b.dx_call ELSE a.mode = b.mode END
   UNION ALL SELECT event_id, t, freq_khz, mode, dx_call, dx_call, de_call, t, freq_khz, heard FROM f),
-fg AS (SELECT event_id, t, freq_khz, mode, subject, cand, COUNT(DISTINCT CASE WHEN heard THEN rep END) AS n, MAX(seen) AS last_seen, MAX({'a': seen, 'b': rep, 'c': khz}).c AS last_khz FROM fv GROUP BY ALL),
+fg AS (SELECT event_id, t, freq_khz, mode, subject, cand, COUNT(DISTINCT CASE WHEN heard THEN rep END) AS n, MAX(seen) AS last_seen, MAX({'a': seen, 'c': khz}).c AS last_khz FROM fv GROUP BY ALL),
 ft AS (SELECT event_id, COUNT(DISTINCT CASE WHEN heard THEN rep END) AS total FROM fv GROUP BY event_id),
 fr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY n DESC, last_seen DESC, cand) AS rn FROM fg),
 fw AS (SELECT x.event_id, x.t, x.mode, x.subject, x.cand AS winner, x.n AS winner_support, COALESCE(y.n, 0) AS runner_up_support, (SELECT n FROM fg WHERE fg.event_id = x.event_id AND fg.cand = x.subject) AS subject_support, ft.total, x.last_khz, y.last_khz AS runner_khz,
@@ -120,6 +120,20 @@ def keyed_distances(spark, sf_dir):
     return d.where("subject <> winner").select("event_id", "mode", "distance")
 
 
+_SQL["consensus_keyed_distance"] = (
+    "WITH RECURSIVE e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events), "
+    + SPOTS_SQL.split("),\n", 1)[1]
+    + base._DECISIONS_SQL
+    + f""", dm AS (SELECT d.subject, d.winner, s.mode, CASE s.mode WHEN 'CW' THEN 'morse' WHEN 'RTTY' THEN 'baudot' ELSE 'plain' END AS m FROM decisions d JOIN spots s ON s.event_id = d.event_id WHERE d.winner <> d.subject),
+code(m, c, s) AS (VALUES {_CODES}), cp AS (SELECT x.m || x.c || y.c AS id, x.m, x.s AS a, y.s AS b FROM code x JOIN code y ON x.m = y.m AND x.c <> y.c)"""
+    + _cells("sign", "cp", "CASE WHEN a[i] = b[j] THEN 0 ELSE 2 END")
+    + """, costs AS (SELECT map_from_entries(list((cp.id, greatest(1, CAST(ceil(d * 2.0 / (greatest(length(a), length(b)) + 1)) AS BIGINT))))) AS c FROM cp JOIN sign ON sign.id = cp.id),
+pr AS (SELECT DISTINCT subject || '>' || winner || m AS id, m, subject AS a, winner AS b FROM dm)"""
+    + _cells("keyed", "pr", "CASE WHEN a[i] = b[j] THEN 0 WHEN m = 'plain' THEN 1 ELSE (SELECT c FROM costs)[m || a[i] || b[j]] END")
+    + " SELECT dm.mode, keyed.d AS distance, COUNT(*) AS n FROM dm JOIN keyed ON keyed.id = dm.subject || '>' || dm.winner || dm.m GROUP BY ALL"
+)
+
+
 # ---- duplicates whose rows may lack a report
 
 _LOOSE = """, l AS (SELECT event_id, event_id // 4 AS t, dx_call, CAST(FLOOR(freq_khz) AS BIGINT) AS khz, CASE WHEN k % 3 = 0 THEN NULL ELSE report - 2 END AS report FROM spots)"""

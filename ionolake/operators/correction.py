@@ -79,18 +79,26 @@ def votes(spots: DataFrame, s: Settings) -> DataFrame:
     mode_ok = (F.upper("mode") == F.upper("_mode")) if s.same_mode else F.lit(True)
     others = F.col("heard") & earlier & near & F.when(F.col("rep") == F.col("_de"), F.col("cand") == F.col("subject")).otherwise(mode_ok)
     # a spot's own row meets it in its own bucket and tick, once
-    return subject.join(voter, ["bucket", "tick"]).where(mine | others).select(*SPOT, "cand", "rep", "seen", "vote_khz", "reliable", "heard")
+    # merged, not broadcast, whatever the sizes look like: the copies of voters are not in Spark's estimate, and what follows relies on the partitioning
+    return subject.join(voter.hint("merge"), ["bucket", "tick"]).where(mine | others).select(*SPOT, "cand", "rep", "seen", "vote_khz", "reliable", "heard")
 
 
 def tallies(vote_rows: DataFrame) -> DataFrame:
-    """SPOT columns, cand, n (reliable reporters), last_seen, last_khz, rn (1: most reporters, then latest, then call), total (reporters of the spot), subject_support."""
-    once = vote_rows.groupBy(*SPOT, "cand", "rep").agg(F.max(F.struct("seen", "rep", "vote_khz")).alias("x"), F.max(F.col("reliable") & F.col("heard")).alias("ok"), F.max("heard").alias("heard"))
+    """SPOT columns, cand, n (reliable reporters), last_seen, last_khz (of the latest vote, of those the highest frequency, to the Hz), rn (1: most reporters, then latest, then call), total (reporters of the spot), subject_support,
+    next_n and next_khz (of the call next in rank).
+
+    A vote's time and frequency are one number, so that the aggregates stay in hash tables: its age before the spot, which the window bounds, and the frequency in Hz."""
+    hz = 1 << 32  # above any frequency in Hz
+    place = (F.col("seen") - F.col("t")) * F.lit(hz) + radio.to_hz("vote_khz")
+    once = vote_rows.groupBy(*SPOT, "cand", "rep").agg(F.max(place).alias("x"), F.max(F.col("reliable") & F.col("heard")).alias("ok"), F.max("heard").alias("heard"))
     # a reporter may have named several calls and counts once in the total: with the first of them
     first = F.row_number().over(Window.partitionBy("bucket", "tick", "event_id", "rep").orderBy(F.desc("heard"), "cand")) == 1
     by_call = once.withColumn("first", first & F.col("heard")).groupBy(*SPOT, "cand").agg(F.count_if("ok").alias("n"), F.max("x").alias("x"), F.count_if("first").alias("first"))
     w = Window.partitionBy("bucket", "tick", "event_id")
-    x = by_call.select(*SPOT, "cand", "n", F.col("x.seen").alias("last_seen"), F.col("x.vote_khz").alias("last_khz"), "first")
-    return x.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("n"), F.desc("last_seen"), "cand")), "total": F.sum("first").over(w), "subject_support": F.max(F.when(F.col("cand") == F.col("subject"), F.col("n")).otherwise(0)).over(w)}).drop("first")
+    x = by_call.select(*SPOT, "cand", "n", (F.col("t") + F.floor(F.col("x") / F.lit(hz))).alias("last_seen"), (F.pmod("x", F.lit(hz)) / 1000).alias("last_khz"), "first")
+    order = w.orderBy(F.desc("n"), F.desc("last_seen"), "cand")
+    x = x.withColumns({"rn": F.row_number().over(order), "next_n": F.lead("n").over(order), "next_khz": F.lead("last_khz").over(order)})
+    return x.withColumns({"total": F.sum("first").over(w), "subject_support": F.max(F.when(F.col("cand") == F.col("subject"), F.col("n")).otherwise(0)).over(w)}).drop("first")
 
 
 def decide(tally: DataFrame, s: Settings, distance: Column | None = None, by_mode: bool = False, min_reports: DataFrame | None = None, anchored: DataFrame | None = None) -> DataFrame:
@@ -98,15 +106,13 @@ def decide(tally: DataFrame, s: Settings, distance: Column | None = None, by_mod
 
     distance: over subject and winner; Levenshtein without, and by_mode: as the mode confuses characters (radio's keyed distances). min_reports: event_id, min_reports where they differ from the settings'.
     anchored: event_id, anchor of anchors(): such a spot is corrected to its anchor without thresholds (path `anchor`, else `consensus`)."""
-    runner = F.col("runner")
-    keys = [*SPOT, "subject_support", "total"]
-    w = tally.groupBy(*keys).agg(F.min(F.when(F.col("rn") == 1, F.struct("cand", "n", "last_khz"))).alias("first"), F.min(F.when(F.col("rn") == 2, F.struct("n", "last_khz"))).alias("runner"))
-    w = w.select("event_id", "t", "mode", "subject", "freq_khz", "subject_support", "total", F.col("first.cand").alias("winner"), F.col("first.n").alias("winner_support"), F.coalesce(runner["n"], F.lit(0).cast("long")).alias("runner_up_support"), runner["last_khz"].alias("_runner_khz"), F.col("first.last_khz").alias("_winner_khz"))
+    w = tally.where("rn = 1").select("event_id", "t", "mode", "subject", "freq_khz", "subject_support", "total", F.col("cand").alias("winner"), F.col("n").alias("winner_support"), F.coalesce("next_n", F.lit(0).cast("long")).alias("runner_up_support"), F.col("next_khz").alias("_runner_khz"), F.col("last_khz").alias("_winner_khz"))
     w = w.withColumn("path", F.lit("consensus"))
     if anchored is not None:
-        support = tally.select("event_id", F.col("cand").alias("anchor"), F.col("n").alias("_n"), "rn").join(anchored, ["event_id", "anchor"])
-        best_other = tally.where("rn <= 2").groupBy("event_id").agg(F.max_by("n", F.when(F.col("rn") == 1, 1)).alias("_best"), F.max_by("n", F.when(F.col("rn") == 2, 1)).alias("_second"))
-        held = support.join(best_other, "event_id").select("event_id", "anchor", "_n", F.coalesce(F.when(F.col("rn") == 1, F.col("_second")).otherwise(F.col("_best")), F.lit(0)).alias("_other"))
+        # the most reporters among the other calls: the next in rank if the anchor leads, else the leader's
+        support = tally.select("event_id", F.col("cand").alias("anchor"), F.col("n").alias("_n"), F.when(F.col("rn") == 1, F.coalesce("next_n", F.lit(0))).alias("_other")).join(anchored, ["event_id", "anchor"])
+        leader = tally.where("rn = 1").select("event_id", F.col("n").alias("_most"))
+        held = support.join(leader, "event_id").select("event_id", "anchor", "_n", F.coalesce("_other", "_most").alias("_other"))
         w = w.join(held, "event_id", "left").withColumn("_set", F.col("anchor").isNotNull())
         take = lambda new, old: F.when(F.col("_set"), F.col(new)).otherwise(F.col(old))
         w = w.withColumns({"winner": take("anchor", "winner"), "winner_support": take("_n", "winner_support"), "runner_up_support": take("_other", "runner_up_support"), "path": F.when(F.col("_set"), "anchor").otherwise("consensus")}).drop("anchor", "_n", "_other", "_set")

@@ -13,7 +13,10 @@ BROADCAST_ROWS = 200_000
 
 
 def _small(table: DataFrame, rows: int | None) -> DataFrame:
-    return F.broadcast(table) if rows is not None and rows <= BROADCAST_ROWS else table
+    """table with a broadcast hint, where the caller says that it is small and it is: a larger one isn't read past the bound."""
+    if rows is None or rows > BROADCAST_ROWS or table.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return table
+    return F.broadcast(table)
 
 
 def longest_prefix(df: DataFrame, call: Column | str, prefixes: DataFrame, prefix: str = "prefix", out: str = "entity", rows: int | None = None) -> DataFrame:
