@@ -52,7 +52,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Texts are long: fewer rows and bytes in each Arrow batch keep the Python workers small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def fold_of(doc_id: Column | str) -> Column:

@@ -58,6 +58,10 @@ def fine_share(threshold: float) -> float:
 IDF_SHARE = 0.25
 DF_BITS = 22
 ID_BITS = 22
+#: Ids up to which the texts wanted are picked by a broadcast join.
+BROADCAST_IDS = 200_000
+#: Bytes of text of one numpy pass: a pass takes some 40 times as much memory.
+_CHUNK = 1 << 19
 STEP = 1 / 32
 _POOL = 4096
 _LEVELS = 160
@@ -134,7 +138,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
         df, n = np.zeros(1 << DF_BITS, np.int32), 0
         for b in batches:
-            for _, _, data, offs in chunks(*string_buffer(b.column(0))):
+            for _, _, data, offs in chunks(*string_buffer(b.column(0)), _CHUNK):
                 n += len(offs) - 1
                 h = np.sort(_bucket(_shingles(data, offs)[1]))
                 at = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
@@ -203,7 +207,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _icws_tables()[3]
         for b in batches:
-            for lo, hi, data, offs in chunks(*string_buffer(b.column(2))):
+            for lo, hi, data, offs in chunks(*string_buffer(b.column(2)), _CHUNK):
                 sig, n, h1, h2 = _signed(data, offs, idf.value, seeds, np.uint32)
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(lo, hi - lo), "text_key": b.column(1).slice(lo, hi - lo), "h1": pa.array(h1), "h2": pa.array(h2), "n": pa.array(n), "sig": pa.array([x.tobytes() for x in sig], pa.binary())})
 
@@ -370,7 +374,11 @@ def _id_bits(ids: DataFrame) -> np.ndarray:
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (id, doc and more) with text: all texts of each doc; those of another word sequence than id's are for the caller to leave out."""
-    bits = docs.sparkSession.sparkContext.broadcast(_id_bits(wanted.select("doc")))
+    ids = wanted.select("doc").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # no Python beside the join and what follows it
+        return wanted.join(texts.join(F.broadcast(ids), "doc", "left_semi"), "doc").drop("doc")
+    bits = docs.sparkSession.sparkContext.broadcast(_id_bits(ids))
 
     @F.pandas_udf("boolean")
     def hit(ids):
@@ -378,8 +386,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         return pd.Series(bits.value[_id_place(ids.to_numpy())])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null").where(hit("doc"))
-    return wanted.join(texts, "doc").drop("doc")
+    return wanted.join(texts.where(hit("doc")), "doc").drop("doc")
 
 
 def _fine(docs: DataFrame, wanted: DataFrame, idf) -> DataFrame:
@@ -388,7 +395,7 @@ def _fine(docs: DataFrame, wanted: DataFrame, idf) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _icws_tables()[5]
         for b in batches:
-            for lo, hi, data, offs in chunks(*string_buffer(b.column(1))):
+            for lo, hi, data, offs in chunks(*string_buffer(b.column(1)), _CHUNK):
                 sig, _, h1, _ = _signed(data, offs, idf.value, seeds, np.uint8)
                 ids = b.column(0).slice(lo, hi - lo)
                 own = np.flatnonzero(ids.to_numpy() == h1)
@@ -402,7 +409,7 @@ def _vectors(docs: DataFrame, leads: DataFrame, idf) -> DataFrame:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, offs in chunks(*string_buffer(b.column(3))):
+            for lo, hi, data, offs in chunks(*string_buffer(b.column(3)), _CHUNK):
                 rows, h, tf, h1, _ = _shingles(data, offs)
                 level = _levels(idf.value, h, tf).astype(np.uint8)
                 first = np.searchsorted(rows, np.arange(hi - lo + 1))
