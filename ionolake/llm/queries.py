@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, lm_score, near_dedup, pii, quality, sentencepiece_viterbi, token_counts, topk
+from . import collocations, decontaminate, language_id, license_scan, lm_score, near_dedup, pii, quality, sentencepiece_viterbi, token_counts, topk
 from .common import small_batches
 
 
@@ -56,9 +56,13 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_topk": op2_topk, "op3_sentencepiece": op3_sentencepiece, "op4_quality": op4_quality, "op5_license_scan": op5_license_scan, "op6_decontaminate": op6_decontaminate, "op7_lm_score": op7_lm_score, "op8_token_counts": op8_token_counts, "op9_pii": op9_pii, "op10_near_dedup": op10_near_dedup}
+    return {"op1_language_id": op1_language_id, "op2_topk": op2_topk, "op3_sentencepiece": op3_sentencepiece, "op4_quality": op4_quality, "op5_license_scan": op5_license_scan, "op6_decontaminate": op6_decontaminate, "op7_lm_score": op7_lm_score, "op8_token_counts": op8_token_counts, "op9_pii": op9_pii, "op10_near_dedup": op10_near_dedup, "op11_collocations": op11_collocations}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.ORACLE_SQL, "op5_license_scan": license_scan.oracle_sql()}
+    return {"op2_topk": topk.ORACLE_SQL, "op5_license_scan": license_scan.oracle_sql(), "op11_collocations": collocations.ORACLE_SQL}
