@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, language_id, license_scan, lm_score, near_dedup, pii, quality, sentencepiece_viterbi, token_counts, topk
+from . import collocations, decontaminate, language_id, license_scan, lm_score, near_dedup, packing, pii, prefix_trie, quality, sentencepiece_viterbi, token_counts, topk
 from .common import small_batches
 
 
@@ -60,9 +60,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_documents(spark, sf_dir))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op2_topk": op2_topk, "op3_sentencepiece": op3_sentencepiece, "op4_quality": op4_quality, "op5_license_scan": op5_license_scan, "op6_decontaminate": op6_decontaminate, "op7_lm_score": op7_lm_score, "op8_token_counts": op8_token_counts, "op9_pii": op9_pii, "op10_near_dedup": op10_near_dedup, "op11_collocations": op11_collocations}
+    return {"op1_language_id": op1_language_id, "op2_topk": op2_topk, "op3_sentencepiece": op3_sentencepiece, "op4_quality": op4_quality, "op5_license_scan": op5_license_scan, "op6_decontaminate": op6_decontaminate, "op7_lm_score": op7_lm_score, "op8_token_counts": op8_token_counts, "op9_pii": op9_pii, "op10_near_dedup": op10_near_dedup, "op11_collocations": op11_collocations, "op12_packing": op12_packing, "op13_prefix_trie": op13_prefix_trie}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": topk.ORACLE_SQL, "op5_license_scan": license_scan.oracle_sql(), "op11_collocations": collocations.ORACLE_SQL}
+    return {"op2_topk": topk.ORACLE_SQL, "op5_license_scan": license_scan.oracle_sql(), "op11_collocations": collocations.ORACLE_SQL, "op13_prefix_trie": prefix_trie.ORACLE_SQL}
