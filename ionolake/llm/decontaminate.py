@@ -10,9 +10,10 @@ document: shares of the question's and of the answer's word trigrams that it hol
 it has one only, its last third of words; the question is what stands before.
 
 The test items are indexed in blocks of at most INDEX_ITEMS items and INDEX_WORDS words. With more than one block, each block's result is written before its index is given up and the next one built, so driver and executors hold
-one index at a time, however large the benchmark is. Documents are read once for each block and nothing is shuffled.
+one index at a time, however large the benchmark is. Documents are read once for each block and nothing is shuffled. Document frequencies, mean length and window are those of the whole benchmark (statistics()), so scores and
+what is found don't depend on where blocks end.
 
-Cases: null or word-less items and texts match nothing; an item of fewer than LEAST_WORDS words can't be told from chance inside a text and is found in texts only that have no other words; repeated items are found each under its own
+Cases: null or word-less items and texts match nothing; an item of fewer than LEAST_WORDS words is found where all its words stand in a row (short="sequence"), or only in texts that have no other words (short="whole"); repeated items are found each under its own
 item_id; rows that repeat a doc_id give rows each; a null doc_id is returned as null; a text is searched whole, however long (a pass over one takes some 40 bytes of memory a byte of it); an empty table gives no
 rows; extra columns are ignored.
 """
@@ -20,7 +21,8 @@ rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -70,10 +72,34 @@ def _parts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return words[:cut], words[cut:]
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of the whole benchmark, in pieces: how many, their mean length, the longest, and document frequencies by term (terms ascending): those that an index asks for."""
+
+    pieces: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        return self.df[np.searchsorted(self.terms, terms)]
+
+
+def _pieces(words: np.ndarray) -> list[np.ndarray]:
+    return np.array_split(words, -(-len(words) // PIECE))
+
+
+def _own_statistics(pieces: list[np.ndarray]) -> Statistics:
+    """Those of pieces that are the whole benchmark."""
+    terms, df = np.unique(np.concatenate([np.unique(p) for p in pieces]) if pieces else np.zeros(0, np.uint64), return_counts=True)
+    return Statistics(len(pieces), float(np.mean([len(p) for p in pieces])) if pieces else 1.0, max([0, *(len(p) for p in pieces)]), terms, df)
+
+
 class Index:
-    """Inverted index of some items, as arrays."""
+    """Inverted index of some items, as arrays; statistics: the whole benchmark's, from its terms (without: these items are all)."""
 
-    def __init__(self, item_ids: list, texts: list[str]) -> None:
+    def __init__(self, item_ids: list, texts: list[str], statistics: Callable[[np.ndarray], Statistics] | None = None) -> None:
         words = [_words(t or "") for t in texts]
         keep = [i for i, w in enumerate(words) if len(w)]
         self.item_ids = [item_ids[i] for i in keep]
@@ -81,12 +107,12 @@ class Index:
         self.parts = [tuple(np.unique(_grams(p)) for p in _parts(texts[i])) for i in keep]
         self.short = [tuple(min(3, len(p)) for p in _parts(texts[i])) for i in keep]
         self.n_words = [len(w) for w in words]
-        pieces = [np.array_split(w, -(-len(w) // PIECE)) for w in words]
+        self.in_a_row = [_grams(w, len(w)) if len(w) < LEAST_WORDS else None for w in words]
+        pieces = [_pieces(w) for w in words]
         self.owner = [i for i, ps in enumerate(pieces) for _ in ps]  # the item of each piece; below, an item is a piece
         words = [p for ps in pieces for p in ps]
         n = len(words)
         length = np.array([len(w) for w in words], np.float64)
-        self.window = max([WINDOW, *(2 * len(w) for w in words)])
         pairs = [np.unique(w, return_counts=True) for w in words]
         term = np.concatenate([t for t, _ in pairs]) if n else np.zeros(0, np.uint64)
         tf = np.concatenate([c for _, c in pairs]).astype(np.float64) if n else np.zeros(0)
@@ -95,9 +121,11 @@ class Index:
         term, tf, item = term[order], tf[order], item[order]
         self.terms, first = np.unique(term, return_index=True)
         self.first = np.append(first, len(term))
-        df = np.diff(self.first)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length[item] / max(1.0, length.mean() if n else 1.0))
+        whole = statistics(self.terms) if statistics else _own_statistics(words)
+        self.window = max(WINDOW, 2 * whole.longest)
+        df, df_all = np.diff(self.first), whole.of(self.terms)
+        idf = np.log1p((whole.pieces - df_all + 0.5) / (df_all + 0.5))
+        norm = K1 * (1 - B + B * length[item] / max(1.0, whole.mean))
         impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm)
         own = np.bincount(item, weights=impact, minlength=n)
         self.impact, self.item = impact / own[item], item
@@ -187,7 +215,7 @@ class Index:
             live = [i for i in live if at[i] < ends[i]]
         return found
 
-    def search(self, data: np.ndarray, offs: np.ndarray, threshold: float, question: float, answer: float) -> Iterator[tuple[int, int, float, float, float]]:
+    def search(self, data: np.ndarray, offs: np.ndarray, threshold: float, question: float, answer: float, short: str = "sequence") -> Iterator[tuple[int, int, float, float, float]]:
         """(row, item, score, question overlap, answer overlap) of the verified leaks in a chunk of texts."""
         starts, ends = spans(data, offs, WORD_BYTES)
         words = span_hashes(data, starts, ends)
@@ -221,26 +249,55 @@ class Index:
                 hits[r, item] = max(score, hits.get((r, item), 0.0))
         for (r, item), score in sorted(hits.items()):
             own_words = words[first[r] : first[r + 1]]
-            if self.n_words[item] < LEAST_WORDS and len(own_words) != self.n_words[item]:
+            n, row_of_words = self.n_words[item], self.in_a_row[item]
+            if row_of_words is not None and not (np.isin(row_of_words, _grams(own_words, n)).all() if short == "sequence" else len(own_words) == n):
                 continue
             share = [float(np.isin(p, _grams(own_words, n)).mean()) if len(p) else 1.0 for p, n in zip(self.parts[item], self.short[item], strict=True)]
             if share[0] >= question and share[1] >= answer:
                 yield r, item, score, *share
 
 
+def statistics(benchmark: DataFrame) -> Callable[[np.ndarray], Statistics]:
+    """The whole benchmark's Statistics by the terms that are asked for (one index's). Frequencies are a table, added up by term; the driver gets those of an index and three numbers."""
+    spark = benchmark.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pieces = [p for t in b.column(0).to_pylist() for w in [_words(t or "")] if len(w) for p in _pieces(w)]
+            own = _own_statistics(pieces)
+            nothing = pa.nulls(len(own.terms), pa.int64())
+            yield pa.RecordBatch.from_pydict({"term": pa.array(own.terms.view(np.int64)), "df": pa.array(own.df, pa.int64()), "pieces": nothing, "words": nothing, "longest": nothing})
+            yield pa.RecordBatch.from_pydict({"term": pa.nulls(1, pa.int64()), "df": pa.nulls(1, pa.int64()), "pieces": pa.array([own.pieces], pa.int64()), "words": pa.array([sum(map(len, pieces))], pa.int64()), "longest": pa.array([own.longest], pa.int64())})
+
+    rows = benchmark.select("text").mapInArrow(count, "term long, df long, pieces long, words long, longest long")
+    table = materialise(rows.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("df", "pieces", "words")], F.max("longest").alias("longest")), "benchmark")
+    total = table.where("term is null").first()
+    pieces = total["pieces"] if total else 0
+
+    def of(terms: np.ndarray) -> Statistics:
+        asked = spark.createDataFrame(pa.table({"term": terms.view(np.int64)})) if len(terms) else table.select("term").limit(0)
+        found = asked.join(table.where("term is not null"), "term").select("term", "df").toArrow()
+        term, df = found.column("term").to_numpy().view(np.uint64), found.column("df").to_numpy()
+        order = np.argsort(term)
+        return Statistics(pieces, total["words"] / pieces if pieces else 1.0, total["longest"] if pieces else 0, term[order], df[order])
+
+    return of
+
+
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
     """An index for each block of items; the items stream through the driver in order of id, a block at a time."""
-    ids, texts, words = [], [], 0
+    ids, texts, words, whole = [], [], 0, None
     for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         n = len((r["text"] or "").split())
         if ids and (len(ids) >= INDEX_ITEMS or words + n > INDEX_WORDS):
-            yield Index(ids, texts)
+            whole = whole or statistics(benchmark)
+            yield Index(ids, texts, whole)
             ids, texts, words = [], [], 0
         ids.append(r["item_id"])
         texts.append(r["text"])
         words += n
     if ids:
-        yield Index(ids, texts)
+        yield Index(ids, texts, whole)
 
 
 def _passes(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
@@ -255,7 +312,7 @@ def _passes(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
         yield held, not more
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP, short: str = "sequence") -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: a row for each test item that a document holds."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -267,7 +324,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, q
             ix = shared.value
             for b in batches:
                 for lo, hi, data, offs in chunks(*string_buffer(b.column(1))):
-                    if rows := list(ix.search(data, offs, threshold, question, answer)):
+                    if rows := list(ix.search(data, offs, threshold, question, answer, short)):
                         r, item, *rest = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(r)), pa.array([ix.item_ids[i] for i in item], pa.int64()), *(pa.array(x, pa.float64()) for x in rest)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
@@ -279,7 +336,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, q
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP, short: str = "sequence") -> DataFrame:
     """The documents that hold no test item; the filter runs in the scan."""
     spark = docs.sparkSession
     for index, alone in _passes(benchmark):
@@ -291,7 +348,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
             out = np.zeros(len(texts), bool)
             for lo, _, data, offs in chunks(*string_buffer(pa.array(texts, pa.string()))):
-                for r, *_ in shared.value.search(data, offs, threshold, question, answer):
+                for r, *_ in shared.value.search(data, offs, threshold, question, answer, short):
                     out[lo + r] = True
             return pd.Series(out)
 
