@@ -15,7 +15,7 @@ of the format, so equal values get equal pseudonyms in every document and differ
 
 Everything happens within a row: no shuffle, no state between tasks. Values that differ in layout only (4111-1111... and 4111 1111...) are numbered by their digits, so they stay linked too.
 
-Cases: null text stays null with 0 found, empty text stays empty; repeated rows get equal pseudonyms; a text is scrubbed whole, however long; an empty table gives no rows; other columns are untouched, whatever their names.
+Cases: null text stays null with 0 found, empty text stays empty; repeated rows get equal pseudonyms; a text is scrubbed whole, however long; an empty table gives no rows; a null doc_id is returned as null; other columns are untouched, whatever their names. A text takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key for tests and examples; production passes its own, or sets it as SECRET in the session.
-DEFAULT_KEY = b"ionolake-example-key"
+#: A key for tests and examples, which anyone can read here: whoever wants it passes it by name. Production passes its own, or sets it as SECRET in the session.
+EXAMPLE_KEY = b"ionolake-example-key"
 SECRET = "spark.ionolake.pii.secret"
 ROUNDS = 8
 KINDS = ("secret", "email", "iban", "card", "ssn", "ip", "phone", "date")
@@ -46,12 +46,19 @@ _PREFIX_MARKS = ("sk-", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_",
 _NAMED_MARKS = ("apikey", "accesskey", "privatekey", "_key", "-key", "token", "secret", "passw")
 _KEYS = rf"""|(?<![A-Za-z0-9_])(?:{_PREFIX})(?=[A-Za-z0-9_.-]{{0,40}}[0-9])[A-Za-z0-9_-]{{16,}}(?:\.[A-Za-z0-9_-]+)*)
     |(?P<named>(?i:{_NAMED})["']?[ ]?[=:][ ]?["']?(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{{16,}}={{0,2}}"""
-_CANDIDATE, _WITH_KEYS = (
-    re.compile(
+#: The part before an address's @ has 64 characters at most, its domain eleven labels of 63. It begins where its characters do, or, in a longer run of them (percent-encoded text), 64 before the @: each place is looked at for
+#: at most 64 characters, so any text takes time in proportion to its length.
+_DOMAIN = r"@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,9}\.[A-Za-z]{2,63}"
+_LOCAL = r"[\w.+%-]"
+_EMAILS = ("", rf"|(?P<email>(?<!{_LOCAL}){_LOCAL}{{1,64}}{_DOMAIN})", rf"|(?P<email>(?:(?<!{_LOCAL})|(?={_LOCAL}{{64}}@)){_LOCAL}{{1,64}}{_DOMAIN})")
+_NEXT_EMAIL = re.compile(rf"(?P<email>{_LOCAL}{{1,64}}{_DOMAIN})", re.ASCII)
+_LONG_LOCAL = re.compile(rf"{_LOCAL}{{65}}", re.ASCII)
+_CANDIDATES = {
+    (bool(keys), n): re.compile(
         rf"""(?P<secret>(?<=["'])[0-9A-Fa-f]{{32,}}(?=["']){keys})
+    {email}
     """
         r"""
-    |(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9_%+-]*(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
     |(?P<iban>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?\b)
     |(?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9]|\.[0-9])|(?<![\w])\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![\w.+-])[2-9][0-9]{2}-[0-9]{3}-[0-9]{4}(?![\w-]))
     |(?P<date>(?<![\d./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\d/-]))
@@ -61,7 +68,8 @@ _CANDIDATE, _WITH_KEYS = (
         re.VERBOSE | re.ASCII,
     )
     for keys in ("", _KEYS)
-)
+    for n, email in enumerate(_EMAILS)
+}
 #: Every candidate has one of these; a text without needs no further look.
 _HINT = re.compile(r"@|[0-9][^\n]{0,3}[0-9]|[\"'][0-9A-Fa-f]{32}", re.ASCII)
 
@@ -175,7 +183,7 @@ def _ssn_number(d: str) -> int | None:
 
 
 @lru_cache(maxsize=100_000)
-def pseudonym(kind: str, value: str, key: bytes = DEFAULT_KEY, inverse: bool = False) -> str | None:
+def pseudonym(kind: str, value: str, key: bytes, inverse: bool = False) -> str | None:
     """The value's pseudonym (inverse: the value of a pseudonym); None if it isn't valid as that kind."""
     tweak = kind.encode()
     if kind == "secret":
@@ -238,16 +246,29 @@ def pseudonym(kind: str, value: str, key: bytes = DEFAULT_KEY, inverse: bool = F
     return None
 
 
-def scrub(text: str, key: bytes = DEFAULT_KEY, inverse: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
+def _emails_in(text: str) -> int:
+    """0: the text has no @; 1: it has; 2: one follows on a run of more characters than an address has before it."""
+    at = text.find("@")
+    if at < 0:
+        return 0
+    while at >= 0:
+        if at > 64 and _LONG_LOCAL.match(text, at - 65, at):
+            return 2
+        at = text.find("@", at + 1)
+    return 1
+
+
+def scrub(text: str, key: bytes, inverse: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with pseudonyms, and the spans (start, end, kind) of the values in the text given."""
     low = text.lower()
     keys = any(x in text for x in _PREFIX_MARKS) or any(x in low for x in _NAMED_MARKS)
     if not keys and not _HINT.search(text):
         return text, []
-    candidate = _WITH_KEYS if keys else _CANDIDATE
+    candidate = _CANDIDATES[keys, _emails_in(text)]
     out, at, found = [], 0, []
     look = 0
-    while m := candidate.search(text, look):
+    # an address may follow on another value at once
+    while m := (found and look == at and "@" in text[at : at + 65] and _NEXT_EMAIL.match(text, at)) or candidate.search(text, look):
         kind, value, look = m.lastgroup, m.group(), m.start() + 1
         parts = _parts(kind, value)
         kind = "secret" if kind == "named" else kind
@@ -262,17 +283,22 @@ def scrub(text: str, key: bytes = DEFAULT_KEY, inverse: bool = False) -> tuple[s
     return "".join([*out, text[at:]]) if found else text, found
 
 
-def reveal(text: str, key: bytes = DEFAULT_KEY) -> str:
+def reveal(text: str, key: bytes) -> str:
     """The text that scrub() made this of."""
     return scrub(text, key, inverse=True)[0]
 
 
-def key_of(spark: SparkSession) -> bytes:
-    """The session's key (SECRET, which Spark masks in its logs), or the example key."""
-    return spark.conf.get(SECRET, DEFAULT_KEY.decode()).encode()
+def key_of(spark: SparkSession, without: bytes | None = None) -> bytes:
+    """The session's key (SECRET, which Spark masks in its logs). Where it is unset: the key given as without, or an error, since a key that is known protects nobody."""
+    key = spark.conf.get(SECRET, None)
+    if key:
+        return key.encode()
+    if without is None:
+        raise RuntimeError(f"{SECRET} is not set: pseudonyms need a secret key")
+    return without
 
 
-def scrub_documents(docs: DataFrame, key: bytes = DEFAULT_KEY, spans: str | None = "pii") -> DataFrame:
+def scrub_documents(docs: DataFrame, key: bytes, spans: str | None = "pii") -> DataFrame:
     """docs with text pseudonymised, and a column of that name (with _ after it if docs has one; None: without): an array of (start, end, kind) in the original text (null where text is)."""
 
     @F.pandas_udf("text string, pii array<struct<start:int,end:int,kind:string>>")
@@ -291,7 +317,7 @@ def scrub_documents(docs: DataFrame, key: bytes = DEFAULT_KEY, spans: str | None
     return done.select(*columns, *([F.col(f"`{held}`.pii").alias(free(spans))] if spans else []))
 
 
-def scrub_report(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def scrub_report(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text (pseudonymised), n_found, and a count for each kind: a row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
