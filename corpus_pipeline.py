@@ -40,9 +40,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with PII as format-preserving pseudonyms by the session's key (spark.ionolake.pii.secret; the example key without); n_chars follows the text. A null text stays null."""
+    """All documents, with PII as format-preserving pseudonyms by the session's key (spark.ionolake.pii.secret; the example key, named here, without: the tables are invented); n_chars follows the text. A null text stays null."""
     small_batches(spark)
-    done = pii.scrub_documents(docs, pii.key_of(spark), spans=None)
+    done = pii.scrub_documents(docs, pii.key_of(spark, without=pii.EXAMPLE_KEY), spans=None)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
