@@ -8,15 +8,16 @@ Document frequencies cover all documents, hashed into 2^22 counters, so the tabl
 a collision raises a df and lowers a weight, alike in every document.
 
 Plan: one pass counts df, one pass makes a K-sample ICWS signature of each document (192 bytes).
-Documents of equal word sequence are one text from then on, named by a 64-bit hash of that sequence. Texts meet in BANDS keys of
+Documents of equal word sequence are one text from then on, told apart by 128 bits of hash of that sequence and named by 64 of them (or by others, where two sequences share those). Texts meet in BANDS keys of
 ROWS samples each. First each bucket links its members to its least id, and those whose signature denies that link go on
 to the least id left, for ROUNDS rounds. Pairs whose signatures agree enough are verified by their exact weighted Jaccard similarity,
 from the whole texts, and the verified links are closed to components by alternating large-star and small-star steps.
-That joins large groups of copies by few links. Each bucket that still holds more than one component is then compared whole, in blocks of
-at most BLOCK by BLOCK members, within tasks: only members that come near one of another component get a longer signature of FINE samples (a byte each), and
+That joins large groups of copies by few links. Each bucket that still holds more than one component is then compared across components, in blocks of
+about BLOCK by BLOCK members, within tasks: the members of its largest component with all others, and those others with each other: only members that come near one of another component get a longer signature of FINE samples (a byte each), and
 only pairs whose long signatures agree as those of the threshold do are verified: first each text's best partner of another component, then all others whose components still differ, each pair from
-the first band that its texts share. So two texts that share a bucket are in one class by verified links or have been compared. What a bucket's comparison costs grows with the square of the texts that no link
-joins, but in arithmetic on signatures, not in rows: a text stands in a bucket once for each of its blocks.
+the first band that its texts share. So two texts that share a bucket are in one class by verified links or have been compared. With m members in
+a bucket's largest component and k outside it, that is k (m + k) comparisons of signatures, and 2 k m / BLOCK + k k / BLOCK rows: a large group of copies with a few strays costs little; k texts that no link joins, in
+one bucket, cost their square.
 
 Cases: null or word-less texts are in a class of their own; rows that repeat a doc_id are one document, all of whose texts count (near_duplicates() gives the id its texts' least class, one_of_each()
 treats each text by itself); rows of null doc_id are not compared and have no class; a text is never cut, however long (a pass over one takes some 30 bytes of memory a byte of it); an empty table gives an
@@ -33,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WORD_BYTES, chunks, materialise, mix, row_of, span_hashes, spans, string_buffer
 
@@ -263,9 +265,12 @@ def _candidates(keys: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _blocks(held: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """x, y, band, members: each block of a bucket with itself and with each other one; held: key, band, id, root, block, blocks, sig (and extra)."""
-    dealt = held.withColumn("twin", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "band", F.least("block", "twin").alias("x"), F.greatest("block", "twin").alias("y"), F.struct("id", "root", "block", "sig", *extra).alias("member"))
-    return dealt.groupBy("key", "band", "x", "y").agg(F.collect_list("member").alias("members")).select("x", "y", "band", "members")
+    """x, y, band, members: blocks of a bucket that are to be compared; held: key, band, id, root, block, large, rest, sig (and extra). Blocks of the largest component have numbers below 0, and meet each of the other blocks;
+    those meet each other and themselves."""
+    large = F.transform(F.sequence(-F.col("large"), F.lit(-1)), lambda i: F.struct(i.alias("x"), F.col("block").alias("y")))
+    rest = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda i: F.struct(F.least(F.col("block"), i).alias("x"), F.greatest(F.col("block"), i).alias("y")))
+    dealt = held.withColumn("at", F.explode(F.when(F.col("block") < 0, rest).otherwise(F.concat(large, rest))))
+    return dealt.select("key", "band", "at.x", "at.y", F.struct("id", "root", "block", "sig", *extra).alias("member")).groupBy("key", "band", "x", "y").agg(F.collect_list("member").alias("members")).select("x", "y", "band", "members")
 
 
 def _agreeing(members: pa.StructArray, x: int, y: int, least: float, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -331,10 +336,14 @@ def _all_pairs(held: DataFrame, least: float) -> DataFrame:
 
 
 def _mixed(keys: DataFrame, root: DataFrame) -> DataFrame:
-    """key, band, id, root, block, blocks of the members of buckets that hold more than one component."""
+    """key, band, id, root, block, large, rest of the members of buckets that hold more than one component: how many blocks its largest component and the other members make, and each one's block."""
     held = keys.join(root, "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("root"))
-    mixed = held.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    return held.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    parts = held.groupBy("key", "root").agg(F.count("*").alias("m"))
+    blocks = lambda m: F.ceil(m / BLOCK).cast("int")
+    mixed = parts.groupBy("key").agg(F.sum("m").alias("all"), F.max(F.struct("m", "root")).alias("most")).where(F.col("all") > F.col("most.m"))
+    mixed = mixed.select("key", F.col("most.root").alias("largest"), blocks(F.col("most.m")).alias("large"), blocks(F.col("all") - F.col("most.m")).alias("rest"))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    return held.join(mixed, "key").withColumn("block", F.when(F.col("root") == F.col("largest"), -1 - place("large")).otherwise(place("rest"))).drop("largest")
 
 
 def _remaining(keys: DataFrame, reps: DataFrame, docs: DataFrame, idf, links: DataFrame, root: DataFrame, threshold: float, checked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -342,7 +351,7 @@ def _remaining(keys: DataFrame, reps: DataFrame, docs: DataFrame, idf, links: Da
     held = materialise(_mixed(keys, root), "mixed")
     near = materialise(_near(held.join(reps.select("id", "sig"), "id"), ESTIMATE), "near")
     near = reps.join(near, "id")
-    fine = materialise(_fine(docs, near.select("id", "doc"), idf).join(near.select("id", F.col("sig").alias("short")), "id"), "fine")
+    fine = materialise(_fine(docs, near.select("id", "doc", "h1", "h2"), idf).join(near.select("id", F.col("sig").alias("short")), "id"), "fine")
     held = materialise(held.drop("root").join(fine.select("id"), "id"), "mixed")
     for find in (_best, _all_pairs):
         now = held.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -373,7 +382,7 @@ def _id_bits(ids: DataFrame) -> np.ndarray:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (id, doc and more) with text: all texts of each doc; those of another word sequence than id's are for the caller to leave out."""
+    """wanted (id, doc and more) with text: all texts of each doc; those of other hashes than id's are for the caller to leave out."""
     ids = wanted.select("doc").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null")
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # no Python beside the join and what follows it
@@ -389,42 +398,46 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(texts.where(hit("doc")), "doc").drop("doc")
 
 
+def _is(b: pa.RecordBatch, lo: int, hi: int, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Which of the texts from lo to hi are those that columns 1 and 2 name."""
+    return (b.column(1).slice(lo, hi - lo).to_numpy() == h1) & (b.column(2).slice(lo, hi - lo).to_numpy() == h2)
+
+
 def _fine(docs: DataFrame, wanted: DataFrame, idf) -> DataFrame:
-    """id, sig (FINE bytes) of the texts in wanted (id, doc)."""
+    """id, sig (FINE bytes) of the texts in wanted (id, doc, h1, h2)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = _icws_tables()[5]
         for b in batches:
-            for lo, hi, data, offs in chunks(*string_buffer(b.column(1)), _CHUNK):
-                sig, _, h1, _ = _signed(data, offs, idf.value, seeds, np.uint8)
+            for lo, hi, data, offs in chunks(*string_buffer(b.column(3)), _CHUNK):
+                sig, _, h1, h2 = _signed(data, offs, idf.value, seeds, np.uint8)
                 ids = b.column(0).slice(lo, hi - lo)
-                own = np.flatnonzero(ids.to_numpy() == h1)
+                own = np.flatnonzero(_is(b, lo, hi, h1, h2))
                 yield pa.RecordBatch.from_pydict({"id": ids.take(pa.array(own)), "sig": pa.array([sig[i].tobytes() for i in own], pa.binary())})
 
-    return _texts_of(docs, wanted).select("id", "text").mapInArrow(sign, "id long, sig binary").dropDuplicates(["id"])
+    return _texts_of(docs, wanted).select("id", "h1", "h2", "text").mapInArrow(sign, "id long, sig binary").dropDuplicates(["id"])
 
 
-def _vectors(docs: DataFrame, leads: DataFrame, idf) -> DataFrame:
-    """id, leads, is_lead, h (sorted uint32 hashes), w (levels) of the texts in leads (id, doc, leads, is_lead)."""
+def _vectors(docs: DataFrame, wanted: DataFrame, idf) -> DataFrame:
+    """id, h (sorted uint32 hashes), w (levels) of the texts in wanted (id, doc, h1, h2)."""
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offs in chunks(*string_buffer(b.column(3)), _CHUNK):
-                rows, h, tf, h1, _ = _shingles(data, offs)
+                rows, h, tf, h1, h2 = _shingles(data, offs)
                 level = _levels(idf.value, h, tf).astype(np.uint8)
                 first = np.searchsorted(rows, np.arange(hi - lo + 1))
                 short = h.astype(np.uint32)
-                own = np.flatnonzero(b.column(0).slice(lo, hi - lo).to_numpy() == h1)
+                own = np.flatnonzero(_is(b, lo, hi, h1, h2))
                 hs, ws = [], []
                 for i in own:
                     x = short[first[i] : first[i + 1]]
                     o = np.argsort(x, kind="stable")
                     hs.append(x[o].tobytes())
                     ws.append(level[first[i] : first[i + 1]][o].tobytes())
-                take = pa.array(own + lo)
-                yield pa.RecordBatch.from_pydict({"id": b.column(0).take(take), "leads": b.column(1).take(take), "is_lead": b.column(2).take(take), "h": pa.array(hs, pa.binary()), "w": pa.array(ws, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": b.column(0).take(pa.array(own + lo)), "h": pa.array(hs, pa.binary()), "w": pa.array(ws, pa.binary())})
 
-    return _texts_of(docs, leads).select("id", "leads", "is_lead", "text").mapInArrow(vectors, "id long, leads array<long>, is_lead boolean, h binary, w binary")
+    return _texts_of(docs, wanted).select("id", "h1", "h2", "text").mapInArrow(vectors, "id long, h binary, w binary")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
@@ -447,12 +460,11 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, idf, threshold
             out = pa.RecordBatch.from_pydict({"id": b.column(0), "lead": b.column(1), "similarity": pa.array(sims)})
             yield out.filter(keep)
 
-    rows = pairs.select("id", "lead").unionByName(pairs.select(F.col("lead").alias("id"), F.lit(None).cast("long").alias("lead")))
-    leads = rows.groupBy("id").agg(F.collect_set("lead").alias("leads"), F.max(F.col("lead").isNull()).alias("is_lead"))
-    leads = materialise(leads.join(reps.select("id", "doc"), "id"), "leads")
-    vectors = materialise(_vectors(docs, leads, idf).dropDuplicates(["id"]), "vectors")
-    own = vectors.where(F.size("leads") > 0).select("id", F.explode("leads").alias("lead"), "h", "w")
-    lead = vectors.where("is_lead").select(F.col("id").alias("lead"), F.col("h").alias("lead_h"), F.col("w").alias("lead_w"))
+    ids = pairs.select("id").unionByName(pairs.select(F.col("lead").alias("id"))).distinct()
+    wanted = materialise(ids.join(reps.select("id", "doc", "h1", "h2"), "id"), "wanted")
+    vectors = materialise(_vectors(docs, wanted, idf).dropDuplicates(["id"]), "vectors")
+    own = pairs.select("id", "lead").join(vectors, "id")
+    lead = vectors.select(F.col("id").alias("lead"), F.col("h").alias("lead_h"), F.col("w").alias("lead_w"))
     return own.join(lead, "lead").select("id", "lead", "h", "w", "lead_h", "lead_w").mapInArrow(compare, "id long, lead long, similarity double")
 
 
@@ -475,6 +487,13 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _named(signed: DataFrame) -> DataFrame:
+    """id, doc (the least doc_id), sig, h1, h2 of each text. Its id is h1, or, where an earlier h2 shares that, a hash of both."""
+    texts = signed.repartition("h1").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sig")).alias("x"))
+    first = F.row_number().over(Window.partitionBy("h1").orderBy("h2")) == 1
+    return texts.select(F.when(first, F.col("h1")).otherwise(F.xxhash64("h1", "h2")).alias("id"), F.col("x.doc_id").alias("doc"), "x.sig", "h1", "h2")
+
+
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     """doc_id, text_key, root and alone (which name the class), class_id, n_links, copies: a row for each text of each doc_id."""
     spark = docs.sparkSession
@@ -484,17 +503,17 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     # a text without words is a class of its own
     signed = signed.withColumn("alone", F.when(F.col("n") == 0, F.col("doc_id")))
     texts = signed.groupBy("h1", "h2", "alone").agg(F.min("doc_id").alias("doc"), F.countDistinct("doc_id").alias("copies"))
-    reps = materialise(signed.where("n > 0").groupBy("h1").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select(F.col("h1").alias("id"), F.col("x.doc_id").alias("doc"), "x.sig"), "reps")
+    reps = materialise(_named(signed.where("n > 0")), "reps")
     keys = materialise(_band_keys(reps), "keys")
     pairs = materialise(_candidates(keys, reps), "pairs")
     links = materialise(_verified(pairs, reps, docs, idf, threshold), "links")
     root = components(links.select(F.col("id").alias("u"), F.col("lead").alias("v")))
     links, root = _remaining(keys, reps, docs, idf, links, root, threshold, pairs)
     ends = links.select("id").unionByName(links.select(F.col("lead").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    of_text = reps.select("id", "doc").join(root, "id", "left").join(ends, "id", "left").select("id", "doc", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_text = reps.select("id", "doc", "h1", "h2").join(root, "id", "left").join(ends, "id", "left").select("h1", "h2", "doc", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = of_text.groupBy("root").agg(F.min("doc").alias("class_id"))
-    of_text = of_text.join(least, "root").select(F.col("id").alias("h1"), "root", "class_id", "n_links")
-    wordy = texts.where("alone is null").join(of_text, "h1").select("h1", "h2", "alone", "root", "class_id", "n_links", "copies")
+    of_text = of_text.join(least, "root").select("h1", "h2", "root", "class_id", "n_links")
+    wordy = texts.where("alone is null").join(of_text, ["h1", "h2"]).select("h1", "h2", "alone", "root", "class_id", "n_links", "copies")
     wordless = texts.where("alone is not null").select("h1", "h2", "alone", F.col("h1").alias("root"), F.col("alone").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "copies")
     known = wordy.unionByName(wordless)
     known = known.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("alone").alias("k3"), "root", "class_id", "n_links", "copies")
