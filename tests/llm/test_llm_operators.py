@@ -782,6 +782,28 @@ def test_texts_of_one_id_are_told_apart(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(t).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
+def test_hot_buckets_are_compared_across_components_only(spark):
+    """5,000 linked members and 3 strays in one bucket: each stray's block meets the large component's blocks, and nothing else is dealt out."""
+    keys = spark.createDataFrame([(i, 7, 0) for i in range(5003)] + [(i, 8, 1) for i in range(100)], "id long, key long, band int")
+    root = spark.createDataFrame([(i, 0) for i in range(1, 5000)], "id long, root long")
+    held = near_dedup._mixed(keys, root)
+    got = held.groupBy("key", "large", "rest").count().collect()
+    assert [tuple(r) for r in got] == [(7, -(-5000 // near_dedup.BLOCK), 1, 5003)]
+    blocks = near_dedup._blocks(held.withColumn("sig", F.lit(b"\0" * 4 * near_dedup.K))).select("x", "y", F.size("members").alias("m")).collect()
+    assert sum(r["m"] for r in blocks) <= 5000 + 3 * (-(-5000 // near_dedup.BLOCK) + 1)
+    # every pair across components meets, once
+    met = near_dedup._blocks(held.where("id % 50 = 0 or id >= 5000").withColumn("sig", F.lit(b"")))
+    pairs = collections.Counter((min(a["id"], b["id"]), max(a["id"], b["id"])) for r in met.collect() for a in r["members"] for b in r["members"] if a["block"] == r["x"] and b["block"] == r["y"] and a["root"] != b["root"] and (r["x"] != r["y"] or a["id"] < b["id"]))
+    want = {(i, s) for i in range(0, 5000, 50) for s in (5000, 5001, 5002)} | {(5000, 5001), (5000, 5002), (5001, 5002)}
+    assert set(pairs) == want and set(pairs.values()) == {1}
+
+
+def test_texts_that_share_a_hash_keep_their_own_names(spark):
+    signed = spark.createDataFrame([(1, 5, 1, b"a"), (2, 5, 1, b"a"), (3, 5, 2, b"b"), (4, 6, 1, b"c")], "doc_id long, h1 long, h2 long, sig binary")
+    got = {r["doc"]: r["id"] for r in near_dedup._named(signed).collect()}
+    assert set(got) == {1, 3, 4} and got[1] == 5 and got[4] == 6 and len(set(got.values())) == 3
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (5, 5)], "u long, v long")
     root = {r["id"]: r["root"] for r in near_dedup.components(links).collect()}
