@@ -9,7 +9,7 @@ and what these leave again, until one group is left. Its last tokens make sequen
 a lost executor repeats a task's own share. Which documents share a sequence depends on how Spark deals out the rows.
 
 Encoding: ids are those of the tokenizer for the whole text. Its pattern never matches blanks and always parts ASCII letters or digits from `.,;:!?`, so a text is cut there into units, and each different unit is encoded
-once while a task keeps it in its table (of at most CACHE units, then begun anew); units are compared by their bytes. The strings of special tokens in a text become those tokens, as the tokenizer does by itself.
+once while a worker keeps it in its table (begun anew when it holds CACHE units); units are compared by their bytes. The strings of special tokens in a text become those tokens, as the tokenizer does by itself.
 
 Cases: a null or empty text is its end id alone; rows that repeat a doc_id are documents of their own, each with its own pieces; a null doc_id is kept; a text of any length is encoded whole (more than SEGMENT bytes in
 segments, cut at blanks, so memory grows by its ids only); equal lengths are taken in order of arrival, equal costs go to the earlier sequence; without documents there are no rows; extra columns are ignored.
@@ -21,6 +21,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ QUADRATIC = 1 / 6144
 END = 2
 GROUP = 1 << 21
 FAN = 256
-CACHE = 400_000
-SEGMENT = 1 << 19
+CACHE = 700_000
+SEGMENT = 1 << 21
 #: Bytes of a unit that are compared as numbers; longer units one by one.
 _SHORT = 24
 
@@ -87,8 +88,9 @@ class Encoder:
         known, merges, spelling, rest = self.known, self.tokenizer.model.tokenize, self.spelling, []
         for u in units:
             if u not in known:
-                text = u.decode()
-                if _LETTERS(text):
+                if u.isalpha():  # ASCII letters, which spell themselves
+                    known[u] = [t.id for t in merges(u.lower().decode())]
+                elif _LETTERS(text := u.decode()):
                     known[u] = [t.id for t in merges(text.lower().translate(spelling))]
                 else:
                     rest.append((u, text))
@@ -120,8 +122,8 @@ class Encoder:
         first = np.flatnonzero(~same)
         raw = data.tobytes()
         found = self._learn([raw[i:j] for i, j in zip(starts[order[first]].tolist(), ends[order[first]].tolist(), strict=True)])
-        flat = np.array([x for ids in found for x in ids], np.uint32)
-        length = np.array([len(ids) for ids in found], np.int64)
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))
         which = np.empty(n, np.int64)
         which[order] = np.cumsum(~same) - 1
         count, begin = length[which], (np.cumsum(length) - length)[which]
@@ -162,6 +164,16 @@ class Encoder:
                 yield np.concatenate([ids[bounds[i] : bounds[i + 1]], end])
 
 
+_encoders: list[tuple[bytes, Encoder]] = []
+
+
+def _encoder(file: bytes) -> Encoder:
+    """A Python worker keeps the last one, and its table, for the tasks to come."""
+    if not _encoders or _encoders[0][0] != file:
+        _encoders[:] = [(file, Encoder(file))]
+    return _encoders[0][1]
+
+
 def _blank_from(data: np.ndarray, at: int) -> int:
     step = 256
     while at < len(data):
@@ -268,7 +280,7 @@ def pack_documents(docs: DataFrame, tokenizer=None) -> DataFrame:
         from pyspark import TaskContext
 
         slot = TaskContext.get().partitionId()
-        encoder, packer = Encoder(tokenizer.value), Packer(_sequences_of(0, slot))
+        encoder, packer = _encoder(tokenizer.value), Packer(_sequences_of(0, slot))
         held, tokens = [], 0
         for b in batches:
             for doc, ids in zip(b.column(0).to_pylist(), encoder.documents(b.column(1)), strict=True):
