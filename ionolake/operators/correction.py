@@ -1,6 +1,6 @@
 """Consensus correction of calls: what independent reporters of one frequency say decides.
 
-Batch form, one pass on the reported calls: each spot's votes come from one join. Both sides are bucketed by frequency and by time, so the join is an equi-join whatever its window,
+Batch form, one pass on the reported calls (operators.feedback settles corrections that vote in their turn): each spot's votes come from one join. Both sides are bucketed by frequency and by time, so the join is an equi-join whatever its window,
 and a busy frequency is spread over its time buckets. A spot stands in one bucket pair only, so all its votes meet in one partition of the join: tallies and decisions keep the
 bucket columns in their keys and need no further shuffle. Only modes that are corrected take part. Nothing is gathered by key."""
 
@@ -50,37 +50,63 @@ def eligible(spots: DataFrame, s: Settings) -> DataFrame:
     return spots if s.modes is None else spots.where(F.upper(F.trim("mode")).isin(*s.modes))
 
 
-def votes(spots: DataFrame, s: Settings) -> DataFrame:
-    """SPOT columns, cand, rep, seen, vote_khz, reliable, heard: the votes on each spot, its own among them (heard is false where it is too weak to count; a spot has this row in any case).
-
-    spots: event_id, t, freq_khz, de_call, dx_call, report, mode (and reliability, 1 if absent, and tolerance_hz, the settings' if absent). A spot's voters are the spots within the window before it; those of
-    the same second count if their event_id is smaller, as they came first."""
+def _sides(spots: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """The spots as subjects and as voters, with the buckets in which they meet. A spot without a frequency or a time has a bucket of its own: it meets itself alone, and counts for nothing."""
     rows = eligible(spots, s)
-    rows = rows if "reliability" in rows.columns else rows.withColumn("reliability", F.lit(1.0))
-    rows = rows if "tolerance_hz" in rows.columns else rows.withColumn("tolerance_hz", F.lit(s.tolerance_hz))
+    for name, value in (("reliability", F.lit(1.0)), ("tolerance_hz", F.lit(s.tolerance_hz)), ("voted", F.col("dx_call"))):
+        rows = rows if name in rows.columns else rows.withColumn(name, value)
     floor = F.lit(None).cast("long")
     for mode, least in s.min_snr:
         floor = F.when(F.col("mode") == mode, F.lit(least).cast("long")).otherwise(floor)
-    heard = F.coalesce(F.col("report") >= floor, F.lit(True)) & (F.trim("de_call") != "") & (F.trim("dx_call") != "")
+    placed = F.col("freq_khz").isNotNull() & F.col("t").isNotNull()
+    loud = F.coalesce(F.col("report") >= floor, F.lit(True)) & (F.trim("de_call") != "") & placed
     b = radio.bucket("freq_khz")
-    tick = F.floor(F.col("t") / s.window).cast("long")
+    alone = -1 - F.pmod(F.xxhash64("event_id"), F.lit(1 << 40))
+    tick = F.coalesce(F.floor(F.col("t") / s.window).cast("long"), F.lit(0).cast("long"))
     # buckets of reach steps: a voter meets subjects of two or three of them
     step = max(1, s.bucket_reach)
     wide = lambda x: F.floor(x / step).cast("long")
-    reach = F.sequence(wide(b - s.bucket_reach), wide(b + s.bucket_reach))
-    subject = rows.select(wide(b).alias("bucket"), b.alias("_b"), tick.alias("tick"), "event_id", F.col("dx_call").alias("subject"), "freq_khz", "t", "mode", F.col("de_call").alias("_de"), F.col("tolerance_hz").alias("_tolerance"))
+    reach = F.when(placed, F.sequence(wide(b - s.bucket_reach), wide(b + s.bucket_reach))).otherwise(F.array(alone))
+    ticks = F.when(placed, F.array(tick, tick + 1)).otherwise(F.array(tick))
+    subject = rows.select(F.when(placed, wide(b)).otherwise(alone).alias("bucket"), b.alias("_b"), tick.alias("tick"), "event_id", F.col("dx_call").alias("subject"), "freq_khz", "t", "mode", F.col("de_call").alias("_de"), F.col("tolerance_hz").alias("_tolerance"))
     voter = rows.select(
-        F.col("event_id").alias("_id"), F.col("t").alias("seen"), F.col("freq_khz").alias("vote_khz"), F.col("mode").alias("_mode"), F.col("de_call").alias("rep"), F.col("dx_call").alias("cand"), b.alias("_vote_b"),
-        (F.col("reliability") >= s.min_reliability).alias("reliable"), heard.alias("heard"), F.explode(reach).alias("bucket"), F.array(tick, tick + 1).alias("_ticks"),
+        F.col("event_id").alias("_id"), F.col("t").alias("seen"), F.col("freq_khz").alias("vote_khz"), F.col("mode").alias("_mode"), F.col("de_call").alias("rep"), F.col("dx_call").alias("_own"), F.col("voted").alias("_voted"), b.alias("_vote_b"),
+        (F.col("reliability") >= s.min_reliability).alias("reliable"), loud.alias("_loud"), F.explode(reach).alias("bucket"), ticks.alias("_ticks"),
     ).withColumn("tick", F.explode("_ticks")).drop("_ticks")
-    mine = F.col("_id") == F.col("event_id")
+    return subject, voter
+
+
+def _near(s: Settings) -> Column:
+    """The voter is an earlier spot near the subject, of its mode or its reporter."""
     earlier = F.col("seen").between(F.col("t") - s.window, F.col("t")) & ((F.col("seen") < F.col("t")) | (F.col("_id") < F.col("event_id")))
     near = (F.abs(F.col("_b") - F.col("_vote_b")) <= s.bucket_reach) & (F.abs(F.col("freq_khz") - F.col("vote_khz")) * 1000 <= F.col("_tolerance") + 1e-6)
     mode_ok = (F.upper("mode") == F.upper("_mode")) if s.same_mode else F.lit(True)
-    others = F.col("heard") & earlier & near & F.when(F.col("rep") == F.col("_de"), F.col("cand") == F.col("subject")).otherwise(mode_ok)
+    return earlier & near & ((F.col("rep") == F.col("_de")) | mode_ok)
+
+
+def votes(spots: DataFrame, s: Settings, of: DataFrame | None = None) -> DataFrame:
+    """SPOT columns, cand, rep, seen, vote_khz, reliable, heard: the votes on each spot, its own among them (heard is false where it is too weak to count, or has no reporter, frequency or time; a spot has this row in any case).
+
+    spots: event_id, t, freq_khz, de_call, dx_call, report, mode (and reliability, 1 if absent, tolerance_hz, the settings' if absent, and voted, the call that a spot votes for when it isn't judged itself: its dx_call if absent). of: event_id of the
+    spots wanted (None: all). A spot's voters are the spots within the window before it; those of the same second count if their event_id is smaller, as they came first."""
+    subject, voter = _sides(spots, s)
+    if of is not None:
+        subject = subject.join(of.select("event_id"), "event_id", "left_semi")
+        voter = voter.join(subject.select("bucket", "tick").distinct(), ["bucket", "tick"], "left_semi")
+    mine = F.col("_id") == F.col("event_id")
+    cand = F.when(mine, F.col("_own")).otherwise(F.col("_voted"))
+    heard = F.col("_loud") & (F.trim(cand) != "")
+    others = heard & _near(s) & F.when(F.col("rep") == F.col("_de"), cand == F.col("subject")).otherwise(F.lit(True))
     # a spot's own row meets it in its own bucket and tick, once
     # merged, not broadcast, whatever the sizes look like: the copies of voters are not in Spark's estimate, and what follows relies on the partitioning
-    return subject.join(voter.hint("merge"), ["bucket", "tick"]).where(mine | others).select(*SPOT, "cand", "rep", "seen", "vote_khz", "reliable", "heard")
+    return subject.join(voter.hint("merge"), ["bucket", "tick"]).where(mine | others).select(*SPOT, cand.alias("cand"), "rep", "seen", "vote_khz", "reliable", heard.alias("heard"))
+
+
+def reached(spots: DataFrame, voters: DataFrame, s: Settings) -> DataFrame:
+    """event_id of the spots that these voters (event_id) can reach, whatever they vote for."""
+    subject, voter = _sides(spots, s)
+    voter = voter.join(voters.select(F.col("event_id").alias("_id")), "_id", "left_semi")
+    return subject.join(voter, ["bucket", "tick"]).where(_near(s)).select("event_id").distinct()
 
 
 def tallies(vote_rows: DataFrame) -> DataFrame:
@@ -144,11 +170,13 @@ def decide(tally: DataFrame, s: Settings, distance: Column | None = None, by_mod
     return w.withColumn("reason", reason).withColumn("decision", F.when(F.col("reason") == "", "applied").otherwise("rejected")).drop("_runner_khz", "_winner_khz", "_least")
 
 
-def anchors(tally: DataFrame, scores: DataFrame, s: Settings, good: int | None = None, bin_hz: int | None = None, by_mode: bool = False) -> DataFrame:
-    """event_id, anchor: the nearest call of the votes (by the mode's distance if by_mode), other than the subject and within the largest distance, whose quality (scores: call, bin, score) is good; ties to the smaller call."""
+def anchors(tally: DataFrame, scores: DataFrame | None, s: Settings, good: int | None = None, bin_hz: int | None = None, by_mode: bool = False) -> DataFrame:
+    """event_id, anchor: the nearest call of the votes (by the mode's distance if by_mode), other than the subject and within the largest distance, whose quality (scores: call, bin, score; None: tally has a column quality) is good; ties to the
+    smaller call."""
     from .lookups import quality_of
 
-    scored = quality_of(tally, scores, "cand", "freq_khz", bin_hz or s.quality_bin_hz).where((F.col("quality") >= (s.good_quality if good is None else good)) & (F.col("cand") != F.col("subject")))
+    known = tally if scores is None else quality_of(tally, scores, "cand", "freq_khz", bin_hz or s.quality_bin_hz)
+    scored = known.where((F.col("quality") >= (s.good_quality if good is None else good)) & (F.col("cand") != F.col("subject")))
     if by_mode:
         from ..functions.distance import with_distance
 
