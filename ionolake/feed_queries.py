@@ -83,14 +83,13 @@ def skew_csv(spark, sf_dir):
     return feeds.read_skew(spark, path, 20)
 
 
-@_query(SPOTS_SQL + " SELECT 'S' || CAST(event_id AS VARCHAR) AS call, 1 + CAST(k AS DOUBLE) / 1000000 AS factor FROM spots WHERE k % 3 <> 0 AND k <> 0")
+@_query(SPOTS_SQL + " SELECT 'S' || CAST(event_id AS VARCHAR) AS call, 1 + CAST(k AS DOUBLE) / 1000000 AS factor FROM spots WHERE k <> 0")
 def skew_json(spark, sf_dir):
-    """Written by the skew writer and read back."""
-    t = spots(spark, sf_dir).where("k % 3 <> 0 and k <> 0").select(_s("s", F.col("event_id")).alias("call"), F.lit(0.5).alias("skew_hz"), _k().alias("spots"), (1 + _k().cast("double") / 1000000).alias("factor"))
+    """Written by the skew writer and read back; factors of 1 go."""
+    t = spots(spark, sf_dir).select(_s("s", F.col("event_id")).alias("call"), F.lit(0.5).alias("skew_hz"), _k().alias("spots"), (1 + _k().cast("double") / 1000000).alias("factor"))
     path = new_place(spark, "skew")
     sinks.write_skew_json(t, path)
-    x = spark.read.schema("callsign string, correction_factor double").json(path)
-    return x.select(F.upper("callsign").alias("call"), F.col("correction_factor").alias("factor"))
+    return feeds.read_skew_json(spark, path).select("call", "factor")
 
 
 @_query(SPOTS_SQL + " SELECT DISTINCT CAST(date '2025-01-01' + CAST(k % 20 AS INTEGER) AS VARCHAR) AS date FROM spots WHERE k % 2 = 0")
@@ -229,11 +228,10 @@ def apply_rate_class(spark, sf_dir):
     return share.select("decision", "n", analytics.rate_class("p").alias("rate"))
 
 
-@_query(SPOTS_SQL + " SELECT event_id FROM spots WHERE k % 41 IN (14, 15) AND NOT (k % 7 IN (0, 1)) AND dx_call <> 'K1ABC' AND k % 5 <> 0 AND k % 6 > 0 AND user_id % 25 NOT IN (0, 11)")
+@_query(SPOTS_SQL + " SELECT event_id FROM spots WHERE k % 41 IN (14, 15) AND NOT (k % 7 IN (0, 1)) AND dx_call <> 'K1ABC' AND (k % 5 <> 0 OR mode IN ('FT8', 'FT4')) AND k % 6 > 0 AND user_id % 25 NOT IN (0, 11)")
 def filter_more_dimensions(spark, sf_dir):
     """Zones, continents, call, confidence, grid and country, on the DX and the reporter's side."""
     from .queries import _filter, _wide
 
     f = _filter("PASS DXZONE 14 15", "REJECT DXCONT " + ",".join(radio.CONTINENTS[:2]), "PASS DECONT NA", "PASS DEZONE 5", "PASS DEDXCC 291", "REJECT DXDXCC 11", "REJECT DXCALL K1ABC", "PASS CONFIDENCE V", "PASS DXGRID2 FN", "PASS DEGRID2 JO", "PASS SOURCE HUMAN,SKIMMER", "PASS BAND 20M")
-    s = _wide(spots(spark, sf_dir)).where("adif > 0")
-    return s.where(~F.col("mode").isin("FT8", "FT4") | (_k() % 5 != 0)).where(filters.compile_filter(f)).select("event_id")
+    return _wide(spots(spark, sf_dir)).where(filters.compile_filter(f)).select("event_id")

@@ -40,8 +40,8 @@ def effective_prefix(df: DataFrame, call: str, prefixes: DataFrame, prefix: str
 
 
 def apply_skew(df: DataFrame, skew: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with freq_khz times the reporter's factor (skew: call, factor; factors of 1 or below 0 do nothing), rounded to 0.1 where one applies."""
-    table = skew.where("factor > 0 and factor <> 1").select(F.upper("call").alias("_skimmer"), "factor")
+    """df with freq_khz times the reporter's factor (skew: call, factor; factors of 1 or below 0 do nothing; of several rows of a call the largest factor), rounded to 0.1 where one applies."""
+    table = skew.where("factor > 0 and factor <> 1").groupBy(F.upper("call").alias("_skimmer")).agg(F.max("factor").alias("factor"))
     joined = df.withColumn("_skimmer", F.upper("de_call")).join(_small(table, rows), "_skimmer", "left")
     return joined.withColumn("freq_khz", F.when(F.col("factor").isNotNull(), radio.half_up_tenth(F.col("freq_khz") * F.col("factor"))).otherwise(F.col("freq_khz"))).drop("_skimmer", "factor")
 
@@ -61,16 +61,22 @@ def drop_unlicensed(df: DataFrame, licensed: DataFrame | None, adif: str, call:
     """Rows whose side is not of the US, or whose base call is licensed (column call); without a table all pass."""
     if licensed is None:
         return df
-    base = df.withColumn("_base", radio.base_call(call))
-    table = licensed.select(F.upper("call").alias("_base")).distinct()
+    return flag_unlicensed(df, licensed, adif, call, us_adif, "_unlicensed").where("not _unlicensed").drop("_unlicensed")
+
+
+def flag_unlicensed(df: DataFrame, licensed: DataFrame, adif: str, call: str, us_adif: int = 291, out: str = "unlicensed") -> DataFrame:
+    """df with a flag: the side is of the US and its base call isn't licensed. One join; sides of elsewhere keep a key each, which meets nothing."""
     us = F.coalesce(F.col(adif) == us_adif, F.lit(False))
-    gated = base.where(us).join(table, "_base", "left_semi")
-    return base.where(~us).unionByName(gated).drop("_base")
+    base = F.coalesce(radio.base_call(call), F.lit(""))
+    table = licensed.select(F.upper("call").alias("_base")).distinct().withColumn("_licensed", F.lit(True))
+    joined = df.withColumns({"_us": us, "_base": F.when(us, base).otherwise(F.concat(F.lit("-"), base))}).join(table, "_base", "left")
+    return joined.withColumn(out, F.col("_us") & F.col("_licensed").isNull()).drop("_us", "_base", "_licensed")
 
 
 def backfill_grid(df: DataFrame, store: DataFrame, call: str, grid: str) -> DataFrame:
-    """df with missing grids taken from store (call, grid)."""
-    table = store.select(F.col("call").alias("_call"), F.col("grid").alias("_grid")).where("_grid is not null")
+    """df with missing grids taken from store (call, grid); of several rows of a call the one updated last, where store says when (updated_at), else the largest grid."""
+    grids = store.where("grid is not null").groupBy(F.col("call").alias("_call"))
+    table = grids.agg(F.max(F.struct("updated_at", "grid"))["grid"].alias("_grid") if "updated_at" in store.columns else F.max("grid").alias("_grid"))
     filled = F.coalesce(F.when(F.trim(F.col(grid)) != "", F.col(grid)), F.col("_grid"))
     return df.join(table, df[call] == F.col("_call"), "left").withColumn(grid, filled).drop("_call", "_grid")
 
@@ -95,16 +101,16 @@ def quality_of(df: DataFrame, scores: DataFrame, call: str, khz: str, bin_hz: in
 
 
 def reliability_of(df: DataFrame, weights: DataFrame, call: str = "de_call", out: str = "reliability") -> DataFrame:
-    """df with the reporter's weight (call, weight), 1 for the unknown."""
-    table = weights.select(F.upper("call").alias("_call"), "weight")
+    """df with the reporter's weight (call, weight; of several rows of a call the largest weight), 1 for the unknown."""
+    table = weights.groupBy(F.upper("call").alias("_call")).agg(F.max("weight").alias("weight"))
     return df.withColumn("_call", F.upper(call)).join(table, "_call", "left").withColumn(out, F.coalesce("weight", F.lit(1.0))).drop("_call", "weight")
 
 
 def merge_calls(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Both (call, is_known, grid, observations, first_seen, updated_at, expires_at) as one row a call: known if either is, the newest grid and expiry that is not null, observations added, first and last times.
-    New rows of the same time count by their order of observations and grid."""
-    rows = stored.unionByName(new)
-    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("updated_at", "observations", c)))
+    """Both (call, is_known, grid, observations, first_seen, updated_at, expires_at) as one row a call: known if either is, grid and expiry of the new rows where they have one (the newest that is not null), whatever the stored row's time,
+    observations added, first and last times. New rows of the same time count by their order of observations and grid."""
+    rows = stored.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_new", "updated_at", "observations", c)))
     return rows.groupBy("call").agg(F.max("is_known").alias("is_known"), newest("grid").alias("grid"), F.sum("observations").alias("observations"), F.min("first_seen").alias("first_seen"), F.max("updated_at").alias("updated_at"), newest("expires_at").alias("expires_at"))
 
 

@@ -120,11 +120,21 @@ def counter_deltas(counters: DataFrame, key: str, at: str, value: str) -> DataFr
     return counters.withColumn("delta", F.when(last.isNotNull() & (F.col(value) >= last), F.col(value) - last).otherwise(F.col(value)))
 
 
-def activity(series: DataFrame, quiet_after: int = 3, at: str = "minute", busy: str = "busy") -> DataFrame:
-    """series (at, busy) with state: busy from a busy evaluation on, until quiet_after evaluations in a row were not busy; quiet before the first. The last evaluation that was busy is near enough or it isn't: one window."""
-    w = Window.orderBy(at)  # a series of evaluations, one a minute, in order
-    n = F.row_number().over(w)
-    held = series.withColumn("_n", n).withColumn("_last", F.max(F.when(F.col(busy), F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def activity(series: DataFrame, quiet_after: int = 3, at: str = "minute", busy: str = "busy", slice_: int = 1440) -> DataFrame:
+    """series (at, busy) with state: busy from a busy evaluation on, until quiet_after evaluations in a row were not busy; quiet before the first. The last evaluation that was busy is near enough or it isn't.
+
+    A prefix scan in two passes: each slice of a day's worth of at is numbered by itself, a row for each slice says how many evaluations and which last busy one lie before it, and a slice needs no more than that."""
+    held = series.withColumn("_slice", F.floor(F.col(at) / slice_).cast("long"))
+    w = Window.partitionBy("_slice").orderBy(at)
+    held = held.withColumn("_n", F.row_number().over(w))
+    summary = held.groupBy("_slice").agg(F.count("*").alias("_count"), F.max(F.when(F.col(busy), F.col("_n"))).alias("_busy"))
+    # a row for each slice that has evaluations
+    before = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.withColumn("_before", F.coalesce(F.sum("_count").over(before), F.lit(0)))
+    summary = summary.select("_slice", "_before", F.max(F.col("_before") + F.col("_busy")).over(before).alias("_busy_before"))
+    held = held.join(summary, "_slice").withColumn("_n", F.col("_n") + F.col("_before"))
+    last = F.max(F.when(F.col(busy), F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    held = held.withColumn("_last", F.coalesce(last, "_busy_before")).drop("_slice", "_before", "_busy_before")
     return held.withColumn("state", F.when(F.coalesce(F.col("_n") - F.col("_last") < quiet_after, F.lit(False)), "busy").otherwise("quiet")).drop("_n", "_last")
 
 

@@ -1,4 +1,4 @@
-"""The spot pipeline as one plan: stale drop, first dedup, metadata, correction, harmonics, averages, licences, second dedup and the output line."""
+"""The spot pipeline as one plan: stale drop, skew, first dedup, reporters' weights, correction with feedback, harmonics, averages, metadata, grids, licences, second dedup and the output line."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import radio
-from ..operators import correction, dedup, lookups, signals
+from ..operators import correction, dedup, feedback, lookups, signals
 from .store import stored
 
 #: Modes whose frequencies are averaged.
@@ -18,7 +18,8 @@ AVERAGED = ("CW", "RTTY")
 @dataclass(frozen=True)
 class Plan:
     """What a run does; tables that are None leave their step out. prefixes: prefix, country, continent, cq_zone, itu_zone, adif. known, licensed: call. skew: call, factor. scores: call, bin, score. states, groups and levels: as
-    correction.adaptive_min_reports() takes them."""
+    correction.adaptive_min_reports() takes them; overrides: as band_state_params() does. weights: call, weight of reporters. grids: call, grid of the call store. votes_back, quality_back: as feedback.settle() takes them; with
+    neither, correction is one pass on the calls as reported."""
 
     settings: correction.Settings = field(default_factory=correction.Settings)
     prefixes: DataFrame | None = None
@@ -29,6 +30,11 @@ class Plan:
     states: DataFrame | None = None
     groups: DataFrame | None = None
     levels: dict | None = None
+    overrides: list | None = None
+    weights: DataFrame | None = None
+    grids: DataFrame | None = None
+    votes_back: bool = True
+    quality_back: bool = False
     max_age: int | None = None
     first_window: int = 120
     second_window: int = 60
@@ -62,20 +68,22 @@ def judged(spots: DataFrame, p: Plan, now: int | None = None) -> DataFrame:
     plain = rows.where(~F.coalesce("is_beacon", F.lit(False)))
 
     s = p.settings
-    vote_rows = correction.votes(plain, s)
-    tally = stored(correction.tallies(vote_rows), "tallies")
-    anchored = correction.anchors(tally, p.scores, s, by_mode=p.keyed_distance) if p.scores is not None else None
+    if p.weights is not None:
+        plain = lookups.reliability_of(plain, p.weights)
+    if p.overrides and p.states is not None:
+        plain = correction.band_state_params(plain, p.states, p.groups, p.overrides, s)
     least = correction.adaptive_min_reports(plain, p.states, p.groups, p.levels) if p.states is not None and p.levels else None
-    decisions = stored(correction.decide(tally, s, by_mode=p.keyed_distance, min_reports=least, anchored=anchored), "decisions")
+    valid = None
+    if p.prefixes is not None:  # a winner is a call that someone reported
+        calls = plain.select(F.col("dx_call").alias("call")).distinct()
+        valid = stored(lookups.longest_prefix(calls, "call", p.prefixes).where("entity is not null").select("call"), "valid")
+    settled = feedback.settle(plain, s, p.votes_back, p.quality_back, p.scores, valid, least, p.keyed_distance)
+    tally, decisions = stored(settled.tallies, "tallies"), stored(settled.decisions, "decisions")
     glyphs = correction.glyphs(tally, F.lit(p.known is not None))
     if p.known is not None:  # a single report counts by whether its call is known
         flagged = lookups.flag_known(glyphs, p.known, "subject", "is_known")
         glyphs = flagged.withColumn("glyph", F.when((F.col("glyph") == "S") & ~F.col("is_known"), "?").otherwise(F.col("glyph")))
     before = rows.withColumn("_was", F.col("dx_call"))
-    valid = None
-    if p.prefixes is not None:
-        winners = decisions.where("decision = 'applied'").select(F.col("winner").alias("call")).distinct()
-        valid = lookups.longest_prefix(winners, "call", p.prefixes).where("entity is not null").select("call")
     done = correction.apply_to(before, decisions, glyphs, valid, p.suppress)
     done = done.withColumns({"confidence": F.when(F.col("is_beacon"), "V").otherwise(F.col("confidence")), "corrected": F.col("dx_call") != F.col("_was")}).drop("_was")
     done = stored(done, "corrected")
@@ -88,13 +96,28 @@ def judged(spots: DataFrame, p: Plan, now: int | None = None) -> DataFrame:
     mean = signals.average_frequency(heard, p.average_window, modes=AVERAGED).where("applied").select("event_id", "new_khz")
     done = done.join(mean, "event_id", "left").withColumns({"freq_khz": F.coalesce("new_khz", "freq_khz"), "freq_corrected": F.col("new_khz").isNotNull()}).drop("new_khz")
     if p.prefixes is not None:
-        done = stored(done, "averaged")
         done = lookups.metadata(lookups.metadata(done, "dx_call", p.prefixes, "dx"), "de_call", p.prefixes, "de")
-    done = done.withColumn("unlicensed", F.lit(False))
+        if p.grids is not None:
+            for side, call in (("dx", "dx_call"), ("de", "de_call")):
+                filled = lookups.backfill_grid(done.withColumn("_own_grid", F.col(f"{side}.grid")), p.grids, call, "_own_grid")
+                done = filled.withColumn(side, F.col(side).withField("grid", F.col("_own_grid"))).drop("_own_grid")
     if p.licensed is not None and p.prefixes is not None:
-        us = lookups.drop_unlicensed(done.select("event_id", "de_call", F.col("de.adif").alias("_adif")), p.licensed, "_adif", "de_call", p.us_adif).select("event_id").withColumn("_ok", F.lit(True))
-        done = done.drop("unlicensed").join(us, "event_id", "left").withColumn("unlicensed", F.col("_ok").isNull() & ~F.coalesce("is_beacon", F.lit(False))).drop("_ok")
-    return done
+        done = lookups.flag_unlicensed(done.withColumn("_adif", F.col("de.adif")), p.licensed, "_adif", "de_call", p.us_adif)
+        done = done.withColumn("unlicensed", F.col("unlicensed") & ~F.coalesce("is_beacon", F.lit(False))).drop("_adif")
+    else:
+        done = done.withColumn("unlicensed", F.lit(False))
+    return stored(done, "judged")
+
+
+def call_updates(judged_spots: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """What a run tells the call store (sinks.upsert_calls(), lookups.merge_calls()): a row for each DX call, with the last grid of four characters or more that its spots carry."""
+    rows = judged_spots.where(F.trim("dx_call") != "")
+    grid = F.when(F.length(F.trim("dx.grid")) >= 4, F.col("dx.grid")) if "dx" in rows.columns else F.lit(None).cast("string")
+    rows = rows.select("dx_call", "t", "event_id", grid.alias("_grid"))
+    last = F.max_by("_grid", F.when(F.col("_grid").isNotNull(), F.struct("t", "event_id")))
+    out = rows.groupBy(F.col("dx_call").alias("call")).agg(last.alias("grid"), F.count("*").alias("observations"), F.min("t").alias("first_seen"), F.max("t").alias("updated_at"))
+    out = lookups.flag_known(out, known, "call", "_flag").withColumn("is_known", F.col("_flag").cast("int")) if known is not None else out.withColumn("is_known", F.lit(0))
+    return out.select("call", "is_known", "grid", "observations", "first_seen", "updated_at", F.lit(None).cast("long").alias("expires_at"))
 
 
 def delivered(judged_spots: DataFrame, p: Plan) -> DataFrame:

@@ -188,13 +188,15 @@ def mode_range_join(spark, sf_dir):
     return x.select("event_id", radio.final_mode(F.lit(""), "freq_khz", "allotted").alias("mode"))
 
 
-@_query(_sql(", x AS (SELECT dx_call AS call, CASE WHEN k % 5 = 0 THEN NULL ELSE 'FN' || CAST(k % 90 + 10 AS VARCHAR) END AS grid, t FROM spots) SELECT call, 0 AS is_known, arg_max(grid, t) FILTER (WHERE grid IS NOT NULL) AS grid, CAST(COUNT(*) AS BIGINT) AS observations, MIN(t) AS first_seen, MAX(t) AS updated_at FROM x GROUP BY call"))
+@_query(_sql(", x AS (SELECT dx_call AS call, CASE WHEN k % 5 = 0 THEN NULL ELSE 'FN' || CAST(k % 90 + 10 AS VARCHAR) END AS grid, t, CASE WHEN t >= (SELECT AVG(t) FROM spots) AND k % 7 = 0 THEN t - 100000 ELSE t END AS u FROM spots), m AS (SELECT AVG(t) AS a FROM spots) SELECT call, 0 AS is_known, COALESCE(arg_max(grid, u) FILTER (WHERE grid IS NOT NULL AND t >= a), arg_max(grid, u) FILTER (WHERE grid IS NOT NULL AND t < a)) AS grid, CAST(COUNT(*) AS BIGINT) AS observations, MIN(t) AS first_seen, MAX(u) AS updated_at FROM x, m GROUP BY call"))
 def grid_merge(spark, sf_dir):
     k = F.col("k")
     grid = F.when(k % 5 != 0, F.concat(F.lit("FN"), (k % 90 + 10).cast("string")))
     s = spots(spark, sf_dir)
-    new = s.select(F.col("dx_call").alias("call"), F.lit(0).alias("is_known"), grid.alias("grid"), F.lit(1).cast("long").alias("observations"), F.col("t").alias("first_seen"), F.col("t").alias("updated_at"), F.lit(None).cast("long").alias("expires_at"))
-    early = F.col("updated_at") < F.lit(s.agg(F.avg("t")).first()[0])  # the store holds the calls of the first half
+    new = s.select(F.col("dx_call").alias("call"), F.lit(0).alias("is_known"), grid.alias("grid"), F.lit(1).cast("long").alias("observations"), F.col("t").alias("first_seen"), F.col("t").alias("updated_at"), F.lit(None).cast("long").alias("expires_at"), k.alias("_k"))
+    early = F.col("first_seen") < F.lit(s.agg(F.avg("t")).first()[0])  # the store holds the calls of the first half
+    # some rows of the second half come late: their time lies before what is stored
+    new = new.withColumn("updated_at", F.when(~early & (F.col("_k") % 7 == 0), F.col("updated_at") - 100000).otherwise(F.col("updated_at"))).drop("_k")
     return lookups.merge_calls(lookups.merge_calls(new.limit(0), new.where(early)), new.where(~early)).drop("expires_at")
 
 
@@ -656,12 +658,13 @@ def stream_tumbling(spark, sf_dir):
 
     path = f"{sf_dir}/events.parquet"
     out, progress = _stream_dirs(spark, "tumbling")
-    # complete mode: a finite input ends before its last windows' watermark
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(_glob(path))
-    name = "tumbling_" + out.split("-")[-1].split("/")[0]
-    q = streams.tumbling_counts(events).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", progress).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    # append mode: a window is written once, when the watermark has passed it; a last event, a day later, closes those of the table
+    table, end = spark.read.parquet(path), new_place(spark, "end")
+    table.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).select(*[F.col(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in table.dtypes]).write.parquet(end)
+    stream = lambda place: spark.readStream.schema(table.schema).parquet(place)
+    counts = streams.tumbling_counts(stream(_glob(path)).unionByName(stream(end)))
+    streams.run_once(counts, out, progress)
+    return spark.read.schema(counts.schema).parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @_query(_ANCHOR_SQL)

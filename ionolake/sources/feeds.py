@@ -158,9 +158,12 @@ def read_skew(spark: SparkSession, path: str, min_spots: int = 0) -> DataFrame:
 
 
 def read_skew_json(spark: SparkSession, path: str) -> DataFrame:
-    """call, skew_hz, spots, factor of a skew file written as a JSON array; factors of 1 drop."""
-    schema = "callsign string, skew_hz double, spots long, correction_factor double"
-    x = spark.read.schema(schema).json(path, multiLine=True)
+    """call, skew_hz, spots, factor of a skew file, a JSON array or JSON lines (a row for each reporter, so a file is read whole); factors of 1 drop."""
+    one = "struct<callsign:string,skew_hz:double,spots:bigint,correction_factor:double>"
+    text = F.trim("value")
+    lines = F.transform(F.filter(F.split(text, "\\R"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, one))
+    rows = F.when(text.startswith("["), F.from_json(text, f"array<{one}>")).otherwise(lines)
+    x = spark.read.text(path, wholetext=True).select(F.explode(rows).alias("x")).select("x.*")
     return x.select(F.upper(F.trim("callsign")).alias("call"), "skew_hz", "spots", F.col("correction_factor").alias("factor")).where("call is not null and factor <> 1")
 
 

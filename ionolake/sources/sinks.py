@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import lookups
+from ..plans.store import stored
 
 
 def write_decisions(decisions: DataFrame, path: str, ts: str = "ts") -> None:
@@ -56,9 +60,21 @@ def append_history(spots: DataFrame, path: str, order: tuple[str, str] = ("t", "
 
 
 def write_skew_json(skew: DataFrame, path: str) -> None:
-    """The skew table (call, skew_hz, spots, factor) as JSON lines in one file: a row for each reporter."""
+    """The skew table (call, skew_hz, spots, factor) as one JSON array in one file, by call: a row for each reporter. Without rows: an error, as such a file can't be used."""
     rows = skew.select(F.col("call").alias("callsign"), "skew_hz", "spots", F.col("factor").alias("correction_factor"))
-    rows.coalesce(1).sortWithinPartitions("callsign").write.mode("overwrite").json(path)
+    if rows.isEmpty():
+        raise ValueError("no skew entries to write")
+
+    def array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = "["
+        for b in batches:
+            for line in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"value": pa.array([held])})
+                held = f"  {line},"
+        yield pa.RecordBatch.from_pydict({"value": pa.array([held[:-1], "]"])})
+
+    lines = rows.coalesce(1).sortWithinPartitions("callsign").select(F.to_json(F.struct("*")).alias("value"))
+    lines.mapInArrow(array, "value string").write.mode("overwrite").text(path)
 
 
 def refresh_skew(spark: SparkSession, source: str, target: str, min_spots: int = 0) -> None:
@@ -77,25 +93,39 @@ def recent_aggregate(spark: SparkSession, path: str, now: str, seconds: int = 90
     return spark.read.parquet(path).where(F.col("ts") > F.timestamp_seconds(F.unix_timestamp(F.lit(now).cast("timestamp")) - seconds)).drop("minute")
 
 
-def upsert_calls(stream: DataFrame, path: str, checkpoint: str, trigger: str = "60 seconds", once: bool = False):
-    """A writer that merges each micro-batch into the call store: path/v=<batch> is written whole, and readers take the newest version (newest_calls()). A repeated batch writes the same version again."""
+def upsert_calls(stream: DataFrame, path: str, checkpoint: str, trigger: str = "60 seconds", once: bool = False, buckets: int = 64):
+    """A writer that merges each micro-batch into the call store at path, which lies in buckets of calls: only those that the micro-batch touches are written anew (Spark's dynamic partition overwrite). Rows carry the number of the
+    micro-batch that wrote them, so one that is repeated leaves the buckets alone that it has written already."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = newest_calls(spark, path, number)
-        merged = lookups.merge_calls(old, batch) if old is not None else lookups.merge_calls(batch.limit(0), batch)
-        merged.write.mode("overwrite").parquet(f"{path}/v={number}")
+        new = stored(batch.withColumn("bucket", F.pmod(F.xxhash64("call"), F.lit(buckets)).cast("int")), "calls")
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most as many as there are buckets
+        old = _call_store(spark, path)
+        if old is not None:
+            held = old.where(F.col("bucket").isin(touched))
+            done = [r["bucket"] for r in held.groupBy("bucket").agg(F.max("batch").alias("n")).where(F.col("n") >= number).collect()]
+            touched = [b for b in touched if b not in done]
+            new, old = new.where(F.col("bucket").isin(touched)), held.where(F.col("bucket").isin(touched)).drop("batch", "bucket")
+        if not touched:
+            return
+        rows = new.drop("bucket")
+        merged = lookups.merge_calls(old if old is not None else rows.limit(0), rows)
+        merged = stored(merged.withColumns({"batch": F.lit(number).cast("long"), "bucket": F.pmod(F.xxhash64("call"), F.lit(buckets)).cast("int")}), "merged")
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=trigger)).start()
 
 
-def newest_calls(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of the call store, or the newest before one; None if there is none."""
+def _call_store(spark: SparkSession, path: str) -> DataFrame | None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(place):
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return None
-    whole = [s.getPath().getName() for s in fs.listStatus(place) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    versions = [int(n[2:]) for n in whole if n.startswith("v=") and (before is None or int(n[2:]) < before)]
-    return spark.read.parquet(f"{path}/v={max(versions)}") if versions else None
+    return spark.read.parquet(path)
+
+
+def newest_calls(spark: SparkSession, path: str) -> DataFrame | None:
+    """The call store that upsert_calls() keeps; None if there is none yet."""
+    held = _call_store(spark, path)
+    return held.drop("batch", "bucket") if held is not None else None

@@ -1,10 +1,11 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ionolake.operators import correction, lookups
 from ionolake.plans import pipeline, report
-from ionolake.sources import sinks
+from ionolake.sources import feeds, sinks
 
 SCHEMA = "event_id long, t long, freq_khz double, de_call string, dx_call string, report int, mode string, comment string"
 PREFIXES = [("K", "US", "NA", 5, 8, 291), ("W", "US", "NA", 4, 7, 291), ("G", "England", "EU", 14, 27, 223)]
@@ -73,3 +74,55 @@ def test_calls_merged_from_a_stream(spark, tmp_path):
     got = {r["call"]: r for r in sinks.newest_calls(spark, str(tmp_path / "store")).collect()}
     assert set(got) == {"A", "B0", "B1", "B2"} and (got["A"]["grid"], got["A"]["observations"]) == ("FN20", 3)
     assert sinks.newest_calls(spark, str(tmp_path / "none")) is None
+
+
+def test_only_touched_buckets_of_the_call_store_are_written(spark, tmp_path):
+    schema = "call string, is_known int, grid string, observations long, first_seen long, updated_at long, expires_at long"
+    table, store = tmp_path / "in", tmp_path / "store"
+
+    def files():
+        return {str(p.relative_to(store)) for p in store.rglob("part-*.parquet")}
+
+    def run(rows, progress):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(table))
+        sinks.upsert_calls(spark.readStream.schema(schema).parquet(str(table)), str(store), str(tmp_path / progress), once=True).awaitTermination()
+
+    run([(f"K{i}A", 0, None, 1, 1, 1, None) for i in range(500)], "p")
+    first = files()
+    assert len({f.split("/")[0] for f in first}) == 64
+    run([("K7A", 0, "FN20", 1, 0, 0, None), ("K8A", 0, "FN30", 2, 5, 5, None)], "p")
+    second = files()
+    assert 1 <= len(first - second) <= 2 and len(second - first) == len(first - second)
+    got = {r["call"]: (r["grid"], r["observations"], r["first_seen"]) for r in sinks.newest_calls(spark, str(store)).collect()}
+    assert len(got) == 500 and got["K7A"] == ("FN20", 2, 0) and got["K8A"] == ("FN30", 3, 1)
+    # the same micro-batches again, as after a failure: nothing changes
+    sinks.upsert_calls(spark.readStream.schema(schema).parquet(str(table)), str(store), str(tmp_path / "again"), once=True).awaitTermination()
+    assert files() == second
+
+
+def test_skew_files_are_read_as_they_are_written(spark, tmp_path):
+    import json
+
+    t = spark.createDataFrame([("w3lpl", 1.5, 30, 1.00001), ("K1AA", -2.0, 9, 0.99999), ("N0ONE", 0.0, 5, 1.0)], "call string, skew_hz double, spots long, factor double")
+    path = tmp_path / "skew"
+    sinks.write_skew_json(t, str(path))
+    (part,) = path.glob("part-*")
+    assert [r["callsign"] for r in json.loads(part.read_text())] == ["K1AA", "N0ONE", "w3lpl"]
+    (tmp_path / "lines.json").write_text('{"callsign": "w3lpl", "skew_hz": 1.5, "spots": 30, "correction_factor": 1.00001}\n{"callsign": "K1AA", "skew_hz": -2.0, "spots": 9, "correction_factor": 0.99999}\n')
+    for p in (path, tmp_path / "lines.json"):
+        assert {tuple(r) for r in feeds.read_skew_json(spark, str(p)).collect()} == {("W3LPL", 1.5, 30, 1.00001), ("K1AA", -2.0, 9, 0.99999)}
+    with pytest.raises(ValueError):
+        sinks.write_skew_json(t.limit(0), str(path))
+
+
+def test_composed_run_with_all_its_tables(spark):
+    s = spark.createDataFrame([(i, 100 + i, 14020.0, f"W{i}AA", "K1ABC", 9, "CW", "") for i in range(4)] + [(5, 130, 14020.0, "W8ZZ", "K1ABD", 9, "CW", ""), (6, 131, 14020.0, "W9BAD", "K1ABD", 9, "CW", ""), (7, 600, 7010.0, "W8ZZ", "K9ZZ", 9, "CW", "")], "event_id long, t long, freq_khz double, de_call string, dx_call string, report int, mode string, comment string")
+    prefixes = spark.createDataFrame([("K", "US", "NA", 5, 8, 291), ("W", "US", "NA", 4, 7, 291)], "prefix string, country string, continent string, cq_zone int, itu_zone int, adif int")
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    plan = pipeline.Plan(settings=correction.Settings(window=60, min_reports=3, min_confidence=60, min_reliability=0.5), prefixes=prefixes, weights=table([("W9BAD", 0.1), ("W9BAD", 0.2)], "call string, weight double"), grids=table([("K1ABC", "FN20"), ("K1ABC", "FN21"), ("W8ZZ", "EN80")], "call string, grid string"), second_window=0)
+    judged = pipeline.judged(s, plan)
+    got = {r["event_id"]: r for r in judged.collect()}
+    assert len(got) == 7 and got[5]["dx_call"] == "K1ABC" == got[6]["dx_call"] and got[5]["confidence"] == "C"
+    assert got[6]["dx"]["grid"] == "FN21" and got[7]["de"]["grid"] == "EN80" and got[7]["dx"]["grid"] is None
+    updates = {r["call"]: r for r in pipeline.call_updates(judged, table([("K9ZZ",)], "call string")).collect()}
+    assert updates["K1ABC"]["grid"] == "FN21" and updates["K1ABC"]["observations"] == 6 and updates["K9ZZ"]["is_known"] == 1 and updates["K9ZZ"]["grid"] is None

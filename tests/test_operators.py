@@ -22,6 +22,29 @@ def test_anchor_dedup_against_a_loop(spark, prefer):
     assert {r["event_id"] for r in got.collect()} == want
 
 
+def test_slices_of_a_busy_key(spark, monkeypatch):
+    """One key, whatever the slices' length: few rows wait for earlier slices, and rows without a time go on."""
+    rng = random.Random(6)
+    rows = [(i, 2 * i + rng.randrange(3), "A", rng.choice([None, *range(40)]), {"x": i}) for i in range(20_000)]
+    rows += [(100_000 + i, i, "B", 5, None) for i in range(3000)] + [(200_000, None, "A", 1, None)]
+    schema = "event_id long, t long, k string, report long, more struct<x:long>"
+    want, state = {200_000}, {}
+    for i, t, k, r, _ in sorted((r for r in rows if r[1] is not None), key=lambda x: (x[1], x[0])):
+        a = state.get(k)
+        if a is None or t - a[0] >= 60 or (r is not None and a[1] is None) or (r or 0) > (a[1] or 0):
+            state[k] = (t, r)
+            want.add(i)
+    tables = []
+    plain = dedup.stored
+    monkeypatch.setattr(dedup, "stored", lambda df, name: tables.append(plain(df, name)) or tables[-1])
+    for slice_ in (1, 7, 20):
+        monkeypatch.setattr(dedup, "_SLICE", slice_)
+        got = dedup.secondary(spark.createDataFrame(rows, schema), ["k"], 60)
+        assert got.columns == ["event_id", "t", "k", "report", "more"] and {r["event_id"] for r in got.collect()} == want
+        assert all(r["more"]["x"] == r["event_id"] for r in got.where("more is not null").collect())
+    assert tables[-1].where("_kind > 0 and _key0 = 'A'").count() < 1500 and tables[-1].where("_key0 = 'A'").select("_slice").distinct().count() > 30
+
+
 def test_pass_through_rows(spark):
     t = spark.createDataFrame([(1, 1, "a", 5, 0), (2, 2, "a", 5, 0), (3, 3, "a", 5, 3), (4, 4, "a", 5, 3)], "event_id long, t long, k string, report long, adif int")
     assert {r["event_id"] for r in dedup.secondary(t, ["k"], 60, pass_through="adif <= 0").collect()} == {1, 2, 3}
