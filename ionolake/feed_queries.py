@@ -142,9 +142,10 @@ def history_csv(spark, sf_dir):
     return feeds.read_history(spark, path).select("freq_khz", "dx_call", F.unix_timestamp("ts").alias("ts"))
 
 
-@_query("SELECT i AS event_id, i AS t, 'DX' || printf('%05d', i % 100000) AS dx_call, 'DE' || printf('%05d', i * 7 % 50000) AS de_call, 14000.0::DOUBLE + CAST(i % 1000 AS DOUBLE) / 10 AS freq_khz, i % 30 - 10 AS report, ['FT8', 'FT4', 'CW', 'RTTY', 'SSB'][i % 5 + 1] AS mode FROM range(5000) r(i)")
+@_query("SELECT i AS event_id, i AS t, 'DX' || printf('%05d', i % 100000) AS dx_call, 'DE' || printf('%05d', i * 7 % 50000) AS de_call, 14000.0::DOUBLE + CAST(i % 1000 AS DOUBLE) / 10 AS freq_khz, i % 30 - 10 AS report, ['FT8', 'FT4', 'CW', 'RTTY', 'SSB'][i % 5 + 1] AS mode FROM range((SELECT COUNT(*) FROM events)) r(i)")
 def generated(spark, sf_dir):
-    return feeds.generate(spark, 5000)
+    """As many spots as there are events."""
+    return feeds.generate(spark, spark.read.parquet(f"{sf_dir}/events.parquet").count())
 
 
 @_query(SPOTS_SQL + " SELECT event_id, CAST(epoch(timestamp '2025-12-04 00:00:00') AS BIGINT) + CASE WHEN (event_id % 24) * 3600 + (event_id % 60) * 60 - 1800 > 43200 THEN -86400 ELSE 0 END + (event_id % 24) * 3600 + (event_id % 60) * 60 AS ts FROM spots")
@@ -214,9 +215,10 @@ def call_store_upkeep(spark, sf_dir):
     return lookups.seed_known(kept, known, 0).select("call", "is_known", "observations")
 
 
-@_query("SELECT prefix, n FROM (VALUES ('K1', 1), ('K1A', 2)) t(prefix, n)")
+@_query(SPOTS_SQL + " SELECT substr(dx_call, 1, 3) AS prefix, COUNT(*) AS n FROM spots WHERE starts_with(dx_call, 'K1') GROUP BY 1")
 def prefix_scan(spark, sf_dir):
-    return lookups.with_prefix(spark.createDataFrame([("K1", 1), ("K1A", 2), ("K2", 3)], "prefix string, n int"), " k1")
+    table = spots(spark, sf_dir).groupBy(F.substring("dx_call", 1, 3).alias("prefix")).agg(F.count("*").alias("n"))
+    return lookups.with_prefix(table, " k1")
 
 
 @_query(_decided(" SELECT decision, COUNT(*) AS n, CASE WHEN COUNT(*) * 100.0 / (SELECT COUNT(*) FROM decisions) < 30 THEN 'low' WHEN COUNT(*) * 100.0 / (SELECT COUNT(*) FROM decisions) > 60 THEN 'high' ELSE 'balanced' END AS rate FROM decisions GROUP BY decision"))

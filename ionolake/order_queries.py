@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .flow_queries import _COLUMNS, _FEED_VOTES, FEED, _feed
-from .operators import feedback
-from .plans.spots import SPOTS_SQL
+from . import queries as base
+from .flow_queries import _COLUMNS, _FEED_VOTES, _FOLD, FEED, _feed
+from .operators import correction, feedback
+from .plans.spots import SPOTS_SQL, spots
+from .plans.store import new_place
+from .streaming import states
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -77,3 +83,67 @@ def learning_decisions(spark, sf_dir):
     """The consensus where decisions change the quality that later anchors go by."""
     priors = spark.createDataFrame(_PRIORS, "call string, bin long, score long")
     return feedback.settle(_feed(spark, sf_dir), FEED, votes_back=False, quality_back=True, priors=priors).decisions.select(*_LEARNED.split(", "))
+
+
+# ---- streams with keyed state: micro-batches whose spots are out of order
+
+#: The tables' times begin at 0, which is where watermarks begin; on streams they are a day later.
+_DAY = 86_400
+
+
+def _by_parts(spark: SparkSession, s: DataFrame, part: Column, parts: int, run: Callable[[DataFrame], None]) -> tuple[int, int]:
+    """Runs a stream over s (t in seconds), a run and a micro-batch for each part, and one more with a spot of id -1, long after all others, which closes them. Returns the first and the last time."""
+    place = new_place(spark, "parts")
+    lo, hi = s.agg(F.min("t"), F.max("t")).first()
+    held = s.withColumn("_part", part)
+    last = s.limit(1).withColumns({"event_id": F.lit(-1).cast("long"), "t": F.lit((hi or 0) + 100_000).cast("long")})
+    for k in range(parts + 1):
+        (held.where(F.col("_part") == k).drop("_part") if k < parts else last).write.mode("append").parquet(place)
+        run(spark.readStream.schema(s.schema).parquet(place))
+    return lo, hi
+
+
+def _part_of(s: DataFrame, parts: int, jitter: int) -> Column:
+    """Parts of equal spans of time, between which spots of up to jitter seconds change places."""
+    lo, hi = s.agg(F.min("t"), F.max("t")).first()
+    return F.least(F.lit(parts - 1), F.floor((F.col("t") - (lo or 0) + F.pmod(F.hash("event_id"), F.lit(jitter))) * parts / ((hi or 0) - (lo or 0) + 1))).cast("int")
+
+
+@_query(SPOTS_SQL + _FEED_VOTES + f" SELECT {_COLUMNS} FROM fd")
+def stream_keyed_decisions(spark, sf_dir):
+    """The consensus from keyed state by frequency zone: the batch's rows, whatever the order within a minute."""
+    s = correction.eligible(_feed(spark, sf_dir), FEED).withColumn("t", F.col("t").cast("long") + _DAY)
+    place = new_place(spark, "keyed")
+    _by_parts(spark, s, _part_of(s, 4, 40), 4, lambda stream: states.consensus(stream, FEED, f"{place}/out", f"{place}/progress", lateness="60 seconds"))
+    return spark.read.option("basePath", f"{place}/out").parquet(f"{place}/out").where("event_id >= 0").withColumn("t", F.col("t") - _DAY).select(*_COLUMNS.split(", "))
+
+
+@_query(SPOTS_SQL + base._STATE_SQL + " SELECT slot, grp, st.raw_state, st.state, a.mean_reporters FROM st JOIN a USING (slot, grp)")
+def stream_adaptive_states(spark, sf_dir):
+    """States of band groups from timers, one group without any reporter among them."""
+    k = F.col("k")
+    s = spots(spark, sf_dir).withColumns({"freq_khz": F.when(k % 2 == 0, 14010.0).when(k % 4 == 1, 28010.0).otherwise(50010.0), "t": F.col("t").cast("long") + _DAY}).select("event_id", "t", "freq_khz", "de_call")
+    place, groups = new_place(spark, "states"), {}
+    for g, band in base._GROUPS:
+        groups.setdefault(g, []).append(band)
+    _, hi = _by_parts(spark, s, _part_of(s, 3, 40), 3, lambda stream: states.start(states.adaptive_states(stream, groups, 600, 900, 70, 93, lateness="60 seconds"), f"{place}/progress", path=f"{place}/out"))
+    return spark.read.schema(states._STATES).parquet(f"{place}/out").where(F.col("slot") <= (hi or 0) // 600).withColumn("slot", F.col("slot") - _DAY // 600).select("slot", "grp", "raw_state", "state", "mean_reporters")
+
+
+_LATE_SQL = """, d AS (SELECT event_id, event_id // 4 AS t, dx_call, CAST(FLOOR(freq_khz) AS BIGINT) AS khz, CASE WHEN k % 3 = 0 THEN NULL ELSE report - 2 END AS report FROM spots), b AS (SELECT MIN(t) AS lo, MAX(t) AS hi FROM d),
+p AS (SELECT d.*, LEAST(3, (t - lo) * 4 // (hi - lo + 1) + CASE WHEN event_id % 17 = 0 THEN 2 ELSE 0 END) AS part FROM d, b), m AS (SELECT part, MAX(t) AS t FROM p GROUP BY part),
+n AS (SELECT part, MAX(t) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM m), lt AS (SELECT p.*, COALESCE(p.t <= newest - 30, FALSE) AS late FROM p JOIN n ON n.part = p.part), lk AS (SELECT * FROM lt WHERE NOT late)"""
+
+
+@_query(_RECURSIVE + _LATE_SQL + _FOLD.format(keys="khz, dx_call", okeys="y.khz, y.dx_call", window=20, join="o.khz = w.khz AND o.dx_call = w.dx_call").replace("SELECT event_id FROM w WHERE keep", "SELECT 'kept' AS kind, event_id FROM w WHERE keep UNION ALL SELECT 'late', event_id FROM lt WHERE late"))
+def stream_late_rows(spark, sf_dir):
+    """Every seventeenth spot comes two parts late: what a watermark of half a minute would drop is set apart, and the rest deduplicated by anchors that expire."""
+    k = F.col("k")
+    s = _feed(spark, sf_dir).select("event_id", (F.col("t").cast("long") + _DAY).alias("t"), "dx_call", F.floor("freq_khz").alias("khz"), F.when(k % 3 != 0, F.col("report") - 2).alias("report"))
+    place = new_place(spark, "late")
+    part = F.least(F.lit(3), _part_of(s, 4, 1) + F.when(F.col("event_id") % 17 == 0, 2).otherwise(0))
+    _by_parts(spark, s, part, 4, lambda stream: states.split_late(stream, 30, f"{place}/main", f"{place}/late", f"{place}/marks", f"{place}/p1"))
+    main = spark.readStream.schema(s.schema).parquet(f"{place}/main/part=*")
+    states.start(states.expiring_dedup(main, ["khz", "dx_call"], 20, lateness="60 seconds"), f"{place}/p2", path=f"{place}/kept")
+    kept = spark.read.schema("event_id long").parquet(f"{place}/kept").where("event_id >= 0").select(F.lit("kept").alias("kind"), "event_id")
+    return kept.unionByName(spark.read.schema(s.schema).parquet(f"{place}/late/part=*").select(F.lit("late").alias("kind"), "event_id"))

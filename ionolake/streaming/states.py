@@ -191,7 +191,8 @@ def adaptive_states(stream: DataFrame, groups: dict[str, list[str]], period: int
     Distinct reporters are counted by Spark's own windowed aggregates, spread over bands and reporters; a group's state sees a row for each band and slot."""
     window = window or period
     x = stream.select(F.timestamp_seconds("t").alias("_ts"), "de_call", radio.band("freq_khz").alias("band")).withWatermark("_ts", lateness)
-    once = x.groupBy(F.window("_ts", f"{window} seconds", f"{period} seconds"), "band", "de_call").agg(F.count("*").alias("_n"))
+    # windows end where slots do
+    once = x.groupBy(F.window("_ts", f"{window} seconds", f"{period} seconds", f"{-window % period} seconds"), "band", "de_call").agg(F.count("*").alias("_n"))
     seen = once.groupBy("window", "band").agg(F.count("*").alias("n"))
     slot = (F.unix_timestamp(F.col("window.end")) / period).cast("long") - 1
     rows = seen.select(F.window_time("window").alias("_ts"), slot.alias("slot"), "band", "n", F.explode(F.array(*[F.lit(g) for g in groups])).alias("grp"))
