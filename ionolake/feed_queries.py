@@ -237,3 +237,14 @@ def filter_more_dimensions(spark, sf_dir):
 
     f = _filter("PASS DXZONE 14 15", "REJECT DXCONT " + ",".join(radio.CONTINENTS[:2]), "PASS DECONT NA", "PASS DEZONE 5", "PASS DEDXCC 291", "REJECT DXDXCC 11", "REJECT DXCALL K1ABC", "PASS CONFIDENCE V", "PASS DXGRID2 FN", "PASS DEGRID2 JO", "PASS SOURCE HUMAN,SKIMMER", "PASS BAND 20M")
     return _wide(spots(spark, sf_dir)).where(filters.compile_filter(f)).select("event_id")
+
+
+@_query(SPOTS_SQL + ", p(prefix, country, zone) AS (VALUES ('K1', 'one', 5), ('K2', 'two', 4), ('K', 'all', 3)), c AS (SELECT DISTINCT dx_call FROM spots), m AS (SELECT dx_call, arg_max(country, length(prefix)) AS country, arg_max(zone, length(prefix)) AS zone FROM c JOIN p ON starts_with(dx_call, prefix) GROUP BY dx_call) SELECT event_id, s.de_call, s.dx_call, s.freq_khz AS khz, country, zone FROM spots s LEFT JOIN m ON m.dx_call = s.dx_call WHERE k % 6 <> 0")
+def sql_functions(spark, sf_dir):
+    """Lines parsed and calls looked up in Spark SQL; every sixth line is no spot."""
+    from .functions import tables
+
+    tables.register(spark, spark.createDataFrame([("K1", "one", 5), ("K2", "two", 4), ("K", "all", 3)], "prefix string, country string, zone int"))
+    line = F.when(_k() % 6 == 0, F.lit("no spot here")).otherwise(F.concat(F.lit("DX de "), _de(), F.lit(": "), F.col("freq_khz").cast("string"), F.lit(" "), _dx(), F.lit(" CW 5 dB 1200Z")))
+    spots(spark, sf_dir).select("event_id", line.alias("line")).createOrReplaceTempView("spot_lines")
+    return spark.sql("SELECT l.event_id, x.de_call, x.dx_call, x.khz, p.country, p.zone FROM spot_lines l, LATERAL parse_spot_line(l.line) x LEFT JOIN LATERAL prefix_lookup(x.dx_call) p")

@@ -18,6 +18,13 @@ def dated(template: str, day: datetime.date) -> str:
     return template
 
 
+def delay_to(now: datetime.datetime, hhmm: str) -> datetime.timedelta:
+    """How long until it is HH:MM, the next day's if that is now or has been: what a daily refresh waits."""
+    hour, minute = map(int, hhmm.strip().split(":"))
+    then = now.replace(hour=hour, minute=minute, second=0, microsecond=0)
+    return (then if then > now else then + datetime.timedelta(days=1)) - now
+
+
 def daily(decisions: DataFrame, reference: DataFrame, spots: DataFrame, day: datetime.date | None = None, contests: DataFrame | None = None, horizon: int = 300, bucket: int = 900, least: int = 2) -> dict[str, DataFrame]:
     """The tables of the daily report; decisions are read by each of them, so they come from a stored table. reference: row, t, freq_khz, subject, correct."""
     flags = analytics.follow_on(decisions, spots, horizon, least=least)

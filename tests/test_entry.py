@@ -17,7 +17,7 @@ def test_some_queries_against_sql(spark, sf):
     c = duckdb.connect()
     c.execute(f"create view events as select * from read_parquet('{sf}/events.parquet')")
     q, o = entry.queries(), entry.oracle_sql()
-    for name in ("spots_projection", "license_base_call", "fixed_width_line", "secondary_dedup", "consensus_decisions", "harmonics", "freq_average", "subscribers_theta", "stability_bucket", "feed_decisions", "anchored_decisions", "keyed_distances", "primary_dedup_loose", "secondary_dedup_loose", "stream_dedup_loose", "stream_decisions", "reliability_lines", "busted_log", "scalar_functions", "corrections_with_valid_calls"):
+    for name in ("spots_projection", "license_base_call", "fixed_width_line", "secondary_dedup", "consensus_decisions", "harmonics", "freq_average", "subscribers_theta", "stability_bucket", "feed_decisions", "anchored_decisions", "keyed_distances", "primary_dedup_loose", "secondary_dedup_loose", "stream_dedup_loose", "stream_decisions", "reliability_lines", "busted_log", "scalar_functions", "corrections_with_valid_calls", "sql_functions", "skew_json", "grid_merge", "filter_more_dimensions", "activity_states", "fed_back_decisions", "learning_decisions", "stream_late_rows"):
         a = q[name](spark, sf)
         cols = sorted(a.columns)
         want = sorted(map(str, ([r[cols.index(k)] for k in cols] for r in c.sql(f"select {', '.join(cols)} from ({o[name]})").fetchall())))

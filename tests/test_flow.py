@@ -64,6 +64,13 @@ def test_daily_report(spark):
     assert report.dated("logs/{yyyy}/{mm}-{dd}-{Mon}.txt", day) == "logs/2025/12-04-Dec.txt" and report.distance3(d)["list"].count() == 66 and set(report.reappearances(d)) == {"gaps", "classes"}
 
 
+def test_delay_to_the_next_refresh():
+    import datetime
+
+    now = datetime.datetime(2025, 12, 4, 22, 30, 15)
+    assert report.delay_to(now, "22:31").total_seconds() == 45 and report.delay_to(now, " 02:00").total_seconds() == 3.5 * 3600 - 15 and report.delay_to(now.replace(second=0), "22:30").days == 1
+
+
 def test_calls_merged_from_a_stream(spark, tmp_path):
     schema = "call string, is_known int, grid string, observations long, first_seen long, updated_at long, expires_at long"
     table = str(tmp_path / "in")
