@@ -44,6 +44,8 @@ ROWS = 5
 ROUNDS = 2
 #: Members of a bucket that are compared with each other, or with another block of it, at once.
 BLOCK = 256
+#: Partners of a text that are listed in one row.
+PARTNERS = 256
 SHINGLE = 5
 THRESHOLD = 0.8
 #: A pair goes on if this share of its samples agrees: 3.5 standard errors under the threshold.
@@ -64,6 +66,8 @@ ID_BITS = 22
 BROADCAST_IDS = 200_000
 #: Bytes of text of one numpy pass: a pass takes some 40 times as much memory.
 _CHUNK = 1 << 19
+#: Comparisons of samples that are made in one step.
+_AT_ONCE = 1 << 20
 STEP = 1 / 32
 _POOL = 4096
 _LEVELS = 160
@@ -278,10 +282,13 @@ def _agreeing(members: pa.StructArray, x: int, y: int, least: float, kind: type)
     ids, roots, block = (members.field(k).to_numpy() for k in range(3))
     sig = np.frombuffer(b"".join(members.field(3).to_pylist()), kind).reshape(len(ids), -1)
     p, q = np.flatnonzero(block == x), np.flatnonzero(block == y)
-    left, right = np.ascontiguousarray(sig[p].T), np.ascontiguousarray(sig[q].T)
-    same = np.zeros((len(p), len(q)), np.uint16)
-    for k in range(sig.shape[1]):
-        same += left[k][:, None] == right[k]
+    if len(p) * len(q) * sig.shape[1] <= _AT_ONCE:  # most buckets are small
+        same = (sig[p][:, None, :] == sig[q][None, :, :]).sum(axis=2, dtype=np.uint16)
+    else:
+        left, right = np.ascontiguousarray(sig[p].T), np.ascontiguousarray(sig[q].T)
+        same = np.zeros((len(p), len(q)), np.uint16)
+        for k in range(sig.shape[1]):
+            same += left[k][:, None] == right[k]
     u, v = np.nonzero((same >= least * sig.shape[1]) & (roots[p][:, None] != roots[q]))
     return p[u], q[v], same[u, v].astype(np.int64), ids
 
@@ -419,11 +426,11 @@ def _fine(docs: DataFrame, wanted: DataFrame, idf) -> DataFrame:
 
 
 def _vectors(docs: DataFrame, wanted: DataFrame, idf) -> DataFrame:
-    """id, h (sorted uint32 hashes), w (levels) of the texts in wanted (id, doc, h1, h2)."""
+    """id, share, leads, is_lead, h (sorted uint32 hashes), w (levels) of the texts in wanted (id, doc, h1, h2, share, leads, is_lead)."""
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, offs in chunks(*string_buffer(b.column(3)), _CHUNK):
+            for lo, hi, data, offs in chunks(*string_buffer(b.column(6)), _CHUNK):
                 rows, h, tf, h1, h2 = _shingles(data, offs)
                 level = _levels(idf.value, h, tf).astype(np.uint8)
                 first = np.searchsorted(rows, np.arange(hi - lo + 1))
@@ -435,9 +442,10 @@ def _vectors(docs: DataFrame, wanted: DataFrame, idf) -> DataFrame:
                     o = np.argsort(x, kind="stable")
                     hs.append(x[o].tobytes())
                     ws.append(level[first[i] : first[i + 1]][o].tobytes())
-                yield pa.RecordBatch.from_pydict({"id": b.column(0).take(pa.array(own + lo)), "h": pa.array(hs, pa.binary()), "w": pa.array(ws, pa.binary())})
+                take = pa.array(own + lo)
+                yield pa.RecordBatch.from_pydict({"id": b.column(0).take(take), "share": b.column(3).take(take), "leads": b.column(4).take(take), "is_lead": b.column(5).take(take), "h": pa.array(hs, pa.binary()), "w": pa.array(ws, pa.binary())})
 
-    return _texts_of(docs, wanted).select("id", "h1", "h2", "text").mapInArrow(vectors, "id long, h binary, w binary")
+    return _texts_of(docs, wanted).select("id", "h1", "h2", "share", "leads", "is_lead", "text").mapInArrow(vectors, "id long, share int, leads array<long>, is_lead boolean, h binary, w binary")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
@@ -460,11 +468,15 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, idf, threshold
             out = pa.RecordBatch.from_pydict({"id": b.column(0), "lead": b.column(1), "similarity": pa.array(sims)})
             yield out.filter(keep)
 
-    ids = pairs.select("id").unionByName(pairs.select(F.col("lead").alias("id"))).distinct()
-    wanted = materialise(ids.join(reps.select("id", "doc", "h1", "h2"), "id"), "wanted")
-    vectors = materialise(_vectors(docs, wanted, idf).dropDuplicates(["id"]), "vectors")
-    own = pairs.select("id", "lead").join(vectors, "id")
-    lead = vectors.select(F.col("id").alias("lead"), F.col("h").alias("lead_h"), F.col("w").alias("lead_w"))
+    # an id's partners in shares of about PARTNERS, a row each; its first share stands for it as a lead too, so that a text makes its vector once
+    many = pairs.groupBy("id").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("shares"))
+    dealt = pairs.select("id", "lead").join(many, "id").select("id", F.pmod(F.xxhash64("lead"), F.col("shares")).cast("int").alias("share"), "lead")
+    rows = dealt.unionByName(pairs.select(F.col("lead").alias("id"), F.lit(0).alias("share"), F.lit(None).cast("long").alias("lead")))
+    leads = rows.groupBy("id", "share").agg(F.collect_set("lead").alias("leads"), F.max(F.col("lead").isNull()).alias("is_lead"))
+    wanted = materialise(leads.join(reps.select("id", "doc", "h1", "h2"), "id").select("id", "doc", "h1", "h2", "share", "leads", "is_lead"), "leads")
+    vectors = materialise(_vectors(docs, wanted, idf).dropDuplicates(["id", "share"]), "vectors")
+    own = vectors.where(F.size("leads") > 0).select("id", F.explode("leads").alias("lead"), "h", "w")
+    lead = vectors.where("is_lead").select(F.col("id").alias("lead"), F.col("h").alias("lead_h"), F.col("w").alias("lead_w"))
     return own.join(lead, "lead").select("id", "lead", "h", "w", "lead_h", "lead_w").mapInArrow(compare, "id long, lead long, similarity double")
 
 
@@ -489,7 +501,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _named(signed: DataFrame) -> DataFrame:
     """id, doc (the least doc_id), sig, h1, h2 of each text. Its id is h1, or, where an earlier h2 shares that, a hash of both."""
-    texts = signed.repartition("h1").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sig")).alias("x"))
+    texts = signed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sig")).alias("x"))
     first = F.row_number().over(Window.partitionBy("h1").orderBy("h2")) == 1
     return texts.select(F.when(first, F.col("h1")).otherwise(F.xxhash64("h1", "h2")).alias("id"), F.col("x.doc_id").alias("doc"), "x.sig", "h1", "h2")
 

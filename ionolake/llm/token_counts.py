@@ -11,7 +11,8 @@ A token that crosses a border is allotted by the rule given:
 
 A document's sections are its lines (the line end belongs to the line before it), or the fields given, joined by one line end each.
 
-Cases: null or empty text has one section of 0 tokens (number 0, span 0 to 0); repeated rows are counted alike, each by itself; a null doc_id is kept; extra columns are ignored.
+Cases: null or empty text has one section of 0 tokens (number 0, span 0 to 0); repeated rows are counted alike, each by itself; a null doc_id is kept; extra columns are ignored, whatever their names; an empty table gives no rows; a text is encoded whole,
+however long, runs of blanks of any length among it.
 """
 
 from __future__ import annotations
