@@ -253,6 +253,67 @@ def test_quality(spark, docs, empty):
     assert quality.score_documents(docs).count() == docs.count() and quality.score_documents(empty).count() == 0
 
 
+def plain_votes(text):
+    """The labellers' votes, a text at a time."""
+    raw = (text or "").encode()
+    size, found = max(len(raw), 1), re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)
+    low = [w.lower() for w in found]
+    n = max(len(found), 1)
+    count = lambda kinds: sum(c in kinds for c in raw)
+    letters = sum(len(w) for w in found)
+    symbols = 1 - letters / size - count(b" \n") / size - count(b".,;:!?'\"()-") / size
+    mean, echo, stops = letters / n, sum(a == b for a, b in zip(low, low[1:], strict=False)) / n, count(b".!?")
+    digits, bars, distinct = count(b"0123456789") / size, count(b"|") / size, len(set(low))
+    rules = [
+        (symbols > 0.05, symbols < 0.02), (mean > 14 or mean < 1.5, 2.5 < mean < 9), (echo > 0.15, echo < 0.05 and len(found) >= 5), (n >= 40 and distinct / n < 0.25, n >= 10 and distinct / n > 0.4), (False, n >= 20),
+        (n > max(150, 300 * stops), stops >= 1 and n < 60 * stops), (digits > 0.2, digits < 0.05), (bars > 0.02, bars == 0),
+    ]
+    return [0 if bad or not found else 1 if good else 2 for bad, good in rules]
+
+
+def plain_score(text, weights):
+    """The linear scorer on features counted one by one."""
+    raw, low64 = (text or "").encode(), (1 << 64) - 1
+
+    def bucket(x, salt):
+        z = (x * 0x9E3779B97F4A7C15 + salt) & low64
+        z ^= z >> 32
+        z = z * 0xD6E8FEB86659FD93 & low64
+        return (z ^ z >> 32) >> 52
+
+    shape = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in raw)
+    counts = collections.Counter(bucket(int.from_bytes(raw[i : i + 3], "little"), 1) for i in range(len(raw) - 2))
+    counts.update(bucket(int.from_bytes(shape[i : i + 4], "little"), 2) for i in range(len(raw) - 3))
+    found = re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)
+    low = [w.lower() for w in found]
+    counts.update(bucket(min(len(w), 30) + 40 * (i > 0 and low[i] == low[i - 1]), 3) for i, w in enumerate(found))
+    total = max(sum(counts.values()), 1)
+    s = sum(math.sqrt(c / total) * float(weights[b]) for b, c in counts.items()) + float(weights[-1])
+    return 1 / (1 + math.exp(-s))
+
+
+def test_votes_posteriors_and_scores_of_each_text_by_brute_force(spark, docs):
+    """The query's every row: the votes of the labellers, Bayes' rule with the model's accuracies, and the scorer."""
+    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(7001, "| a | b | 12 |\n" * 30), (7002, "same same same same same same"), (7003, "1234567890 " * 20), (7004, "Ünïcödé wörds ärë fïné. " * 9), (7005, "@#$%^&*" * 9), (7006, "word " * 70), (None, "no id here. " * 5)], "doc_id long, text string")
+    rows = some.unionByName(docs.select("doc_id", "text")).unionByName(more)
+    model = quality.train(rows)
+    got = collections.Counter((r["doc_id"], r["pattern"], round(r["posterior"], 6), round(r["score"], 3), r["keep"]) for r in quality.score(rows, model).collect())
+    want = collections.Counter()
+    for r in rows.collect():
+        v = plain_votes(r["text"])
+        odds = model["bad"] / (1 - model["bad"])
+        for said, (hit, right) in zip(v, model["accuracies"], strict=True):
+            odds *= 1 if said == 2 else hit / (1 - right) if said == 0 else (1 - hit) / right
+        s = plain_score(r["text"], model["weights"])
+        want[r["doc_id"], sum(x * 3**k for k, x in enumerate(v)), round(1 / (1 + odds), 6), round(s, 3), s >= quality.KEEP] += 1
+    close = lambda a, b: a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 and abs(a[3] - b[3]) < 3e-3
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2], x[3])
+    a, b = sorted(got.elements(), key=key), sorted(want.elements(), key=key)
+    assert len(a) == len(b) and all(close(x, y) for x, y in zip(a, b, strict=True))
+    assert len({x[1] for x in a}) > 10
+
+
 def test_em_recovers_accuracies():
     rng = np.random.default_rng(1)
     good = rng.random(40_000) > 0.15
