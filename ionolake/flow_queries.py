@@ -184,6 +184,12 @@ def subscribers_by_table(spark, sf_dir):
     return filters.deliver_by_table(base._wide(spots(spark, sf_dir)), filters.filter_table(spark, subs)).select("subscriber", "event_id")
 
 
+@_query(base.oracle_sql()["subscribers_theta"])
+def subscribers_by_rarest(spark, sf_dir):
+    subs = [("K3ABC", base._filter("PASS MODE CW")), ("W1AW", base._filter("REJECT DXCONT EU", "REJECT MODE FT8")), ("N0NE", base._filter("REJECT BAND ALL"))]
+    return filters.deliver_by_rarest(base._wide(spots(spark, sf_dir)), filters.filter_table(spark, subs)).select("subscriber", "event_id")
+
+
 @_query(SPOTS_SQL + " SELECT event_id FROM spots WHERE mode IN ('CW') AND mode NOT IN ('FT8') AND k % 41 IN (3, 14)")
 def filter_allow_with_all(spark, sf_dir):
     """An allow list holds even where everything else is let through."""

@@ -211,6 +211,52 @@ def deliver_by_table(spots: DataFrame, table: DataFrame) -> DataFrame:
     return by_band.select(*spots.columns, "subscriber").unionByName(by_call.select(*spots.columns, "subscriber"))
 
 
+#: Dimensions that can't stand for a filter: what they let through is more than their list.
+_UNLISTED = {"CONFIDENCE"}
+
+
+def _pairs(spots: DataFrame) -> Column:
+    """Of a spot: its (dimension, value) pairs, and the pair that every spot has."""
+    own = [F.struct(F.lit(d).alias("dim"), F.col(name).cast("string").alias("value")) for d, (name, _) in DIMENSIONS.items() if d not in _UNLISTED]
+    return F.filter(F.array(*own, F.struct(F.lit("").alias("dim"), F.lit("").alias("value"))), lambda p: p["value"].isNotNull())
+
+
+def shares(spots: DataFrame) -> DataFrame:
+    """dim, value, n: how many spots have each value, by which rules are compared; of a day's spots, say, for a stream."""
+    return spots.select(F.explode(_pairs(spots)).alias("p")).groupBy("p.dim", "p.value").agg(F.count("*").alias("n"))
+
+
+def rarest_rules(table: DataFrame, counts: DataFrame) -> DataFrame:
+    """subscriber, dim, value: the allow list that fewest spots meet, for each filter of a table: an inverted index of filters. Without such a list a filter stands under the pair that every spot has; one that lets nothing through has no row."""
+    lists = []
+    for d in DIMENSIONS:
+        if d in _UNLISTED:
+            continue
+        rule = F.col(d.lower())
+        exact = ~F.exists(rule["allow"], lambda p: p.contains("*")) if d in PATTERNED else F.lit(True)
+        lists.append(F.when((F.size(rule["allow"]) > 0) & exact, F.struct(F.lit(d).alias("dim"), rule["allow"].alias("values"))))
+    none = reduce(lambda a, b: a | b, [F.col(d.lower())["none"] for d in DIMENSIONS])
+    rules = table.where(~none).select("subscriber", F.array_compact(F.array(*lists, F.struct(F.lit("").alias("dim"), F.array(F.lit("")).alias("values")))).alias("_lists"))
+    flat = rules.select("subscriber", F.explode("_lists").alias("l")).select("subscriber", "l.dim", F.explode(F.array_distinct("l.values")).alias("value"))
+    cost = flat.join(counts, ["dim", "value"], "left").groupBy("subscriber", "dim").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    best = cost.groupBy("subscriber").agg(F.min(F.struct("n", "dim"))["dim"].alias("dim"))
+    return flat.join(best, ["subscriber", "dim"]).select("subscriber", "dim", "value")
+
+
+def deliver_by_rarest(spots: DataFrame, table: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """What deliver_by_table() gives, where most filters ask for little: each stands under its most selective allow list (call, zone, grid, band and so on; counts: shares() of such spots, these themselves without), so a spot meets the filters
+    that name one of its values, and those without any list, and not all that are open to its band. The rest of a filter is read from its row."""
+    counts = counts if counts is not None else shares(spots)
+    packed = table.select("subscriber", F.struct(*[c for c in table.columns if c != "subscriber"]).alias("_filter"))
+    index = rarest_rules(table, counts).join(packed, "subscriber")
+    passes = reduce(lambda a, b: a & b, [_by_table(d) for d in DIMENSIONS], F.lit(True)) & (F.coalesce(F.col("_filter.beacons"), F.lit(True)) | ~F.coalesce(F.col("is_beacon"), F.lit(False)))
+    met = spots.withColumn("_p", F.explode(_pairs(spots))).withColumns({"dim": F.col("_p.dim"), "value": F.col("_p.value")}).drop("_p").join(index, ["dim", "value"])
+    by_rule = met.where(passes)
+    mine = packed.withColumn("_call", F.upper("_filter.call"))
+    by_call = spots.withColumn("_call", F.upper("dx_call")).join(mine, "_call").where(~F.coalesce(passes, F.lit(False)))
+    return by_rule.select(*spots.columns, "subscriber").unionByName(by_call.select(*spots.columns, "subscriber"))
+
+
 #: Characters that a command line may hold.
 _TYPED = re.compile(r"[A-Za-z0-9/#@*_,.:;?!+ -]*")
 
