@@ -104,7 +104,7 @@ def test_more_files(spark, tmp_path):
     (tmp_path / "skew.csv").write_text("W3LPL,1.2,900,1.000012\nK1A,0,5,1\n")
     sinks.refresh_skew(spark, str(tmp_path / "skew.csv"), str(tmp_path / "skew.json"))
     lines = [x for f in (tmp_path / "skew.json").glob("part-*") for x in f.read_text().splitlines()]
-    assert lines == ['{"callsign":"W3LPL","skew_hz":1.2,"spots":900,"correction_factor":1.000012}']
+    assert lines == ["[", '  {"callsign":"W3LPL","skew_hz":1.2,"spots":900,"correction_factor":1.000012}', "]"]
     (tmp_path / "one.json").write_text('[{"callsign": "w3lpl", "skew_hz": 1.2, "spots": 9, "correction_factor": 1.1}, {"callsign": "K1A", "skew_hz": 0, "spots": 1, "correction_factor": 1.0}]')
     assert [tuple(r) for r in feeds.read_skew_json(spark, str(tmp_path / "one.json")).collect()] == [("W3LPL", 1.2, 9, 1.1)]
     (tmp_path / "contests.txt").write_text("# list\n2025-12-06\n2025-12-06\nnone\n2025-11-29\n")
