@@ -73,6 +73,11 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("event_id", "t", "freq_khz", "subject", "winner", "winner_support", "subject_support", "total", "conf", "distance", "decision", "reason")
 
 
+def _judged(s: DataFrame) -> DataFrame:
+    """What corrections and glyphs read of the decisions, stored: the votes are joined and counted once."""
+    return stored(correction.decide(correction.tallies(correction.votes(s, CONSENSUS)), CONSENSUS).select("event_id", "subject", "winner", "decision", "total", "subject_support"), "decisions")
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decisions as a stored log, for what reads them more than once."""
     return stored(_decisions(spark, sf_dir), "decisions")
@@ -286,8 +291,8 @@ def quality_scores(spark, sf_dir):
 @_query(_decided(" SELECT s.event_id, CASE WHEN d.decision = 'applied' AND s.mode IN ('CW', 'RTTY', 'SSB') THEN d.winner ELSE s.dx_call END AS dx_call FROM spots s JOIN decisions d ON s.event_id = d.event_id"))
 def corrected_spots(spark, sf_dir):
     s = spots(spark, sf_dir)
-    tally = correction.tallies(correction.votes(s, CONSENSUS))
-    out = correction.apply_to(s, correction.decide(tally, CONSENSUS), correction.glyphs(tally, F.lit(True)))
+    d = _judged(s)
+    out = correction.apply_to(s, d, correction.glyphs(d, F.lit(True)))
     return out.select("event_id", "dx_call")
 
 
@@ -550,7 +555,8 @@ def d3_scenarios(spark, sf_dir):
 
 @_query(_decided(" SELECT event_id, decision, conf, winner_support - subject_support AS advantage, CAST(winner_support AS DOUBLE) * 100 / total AS winner_share, CAST(subject_support AS DOUBLE) * 100 / total AS subject_share FROM decisions WHERE distance = 3"))
 def d3_list(spark, sf_dir):
-    return analytics.distance3_list(_decisions(spark, sf_dir)).select("event_id", "decision", "conf", "advantage", "winner_share", "subject_share")
+    # stored: a sort reads its input twice, once to cut it into ranges
+    return analytics.distance3_list(stored(_decisions(spark, sf_dir).where("distance = 3"), "distance3")).select("event_id", "decision", "conf", "advantage", "winner_share", "subject_share")
 
 
 @_query(_decided(""", x AS (SELECT COUNT(*) FILTER (WHERE decision = 'applied' AND distance = 1) AS a1, COUNT(*) FILTER (WHERE distance = 1) AS n1, COUNT(*) FILTER (WHERE decision = 'applied' AND distance = 3) AS a3, COUNT(*) FILTER (WHERE distance = 3) AS n3,

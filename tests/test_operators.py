@@ -252,3 +252,22 @@ def test_sinks(spark, tmp_path):
     sinks.write_decisions(t, str(tmp_path / "log"))
     assert [r["id"] for r in sinks.recent_decisions(spark, str(tmp_path / "log"), "2025-12-04").collect()] == [2]
     assert sinks.report_lines({"decisions": 3, "applied": 1, "applied_pairs": 1}, [("a", 1), ("b", 2)], [("20m", 3, 1)])[1].split() == ["b", "2"]
+
+
+def test_votes_partitions_follow_the_pairs(spark, monkeypatch):
+    rows = [(i, i // 4, f"W{i % 9}S{i % 50}", f"K{i % 3}ABC", 14000.0 + i % 20 / 10, "CW", 10) for i in range(4000)]
+    t = spark.createDataFrame(rows, "event_id long, t long, de_call string, dx_call string, freq_khz double, mode string, report int")
+    s = Settings(window=90, bucket_reach=5)
+    subject, voter = correction._sides(t, s)
+    pairs = subject.join(voter, ["bucket", "tick"]).count()
+    for size in (1000, 50_000):
+        monkeypatch.setattr(correction, "PAIRS", size)
+        assert correction.parts(t, s) == -(-pairs // size)
+    monkeypatch.setattr(correction, "PAIRS", 50_000)
+    got = correction.votes(t, s)
+    assert got.rdd.getNumPartitions() == correction.parts(t, s) > 4 and correction.parts(t.limit(0), s) == 1
+    monkeypatch.setattr(correction, "PAIRS", 1 << 40)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, correction.votes(t, s).collect()))
+    tally = correction.tallies(got)
+    known = F.lit(True)
+    assert sorted(map(tuple, correction.glyphs(tally, known).collect())) == sorted(map(tuple, correction.glyphs(correction.decide(tally, s), known).collect()))
