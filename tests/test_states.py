@@ -92,3 +92,47 @@ def test_late_rows_and_expiring_anchors(spark, tmp_path):
     got = spark.read.parquet(at("counts")).where("start < 3000")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 10
     assert state_rows(q)[-1] <= 8
+
+
+def test_a_zone_holds_a_window_and_goes_with_its_tick():
+    """Voters alone leave a timer, by which they go; a spot of the zone is judged by what its own tick and the one before hold."""
+    import pandas as pd
+
+    class Held(list):
+        appendList = list.extend
+
+        def get(self):
+            return list(self)
+
+        def put(self, rows):
+            self[:] = rows
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.held = [], Held()
+
+        def getListState(self, name, schema):
+            return self.held
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Times:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    zone, handle = states._Zone(S), Handle()
+    zone.init(handle)
+    columns = [c.split()[0] for c in states._SPOT.split(", ")]
+    tick, end = 7, 8 * S.window
+    row = (1, end - 5, 14000.0, 140000, "W1A", "K1ABC", "CW", 500.0, True, True, False)
+    list(zone.handleInputRows((28000, tick), iter([pd.DataFrame([row], columns=columns)]), Times(0)))
+    assert handle.timers == [end * 1000]
+    own = (2, end - 4, 14000.0, 140000, "W2A", "K2ABC", "CW", 500.0, True, True, True)
+    list(zone.handleInputRows((28000, tick), iter([pd.DataFrame([own], columns=columns)]), Times(0)))
+    out = pd.concat(list(zone.handleExpiredTimer((28000, tick), Times((end - 4) * 1000), None)))
+    assert sorted(out["rep"]) == ["W1A", "W2A"] and len(handle.held) == 2 and handle.timers[-1] == end * 1000
+    assert not list(zone.handleExpiredTimer((28000, tick), Times(end * 1000), None)) and not handle.held
