@@ -62,7 +62,7 @@ SELECT {_COLUMNS} FROM r WHERE k = {_ROUNDS}"""
 )
 def fed_back_decisions(spark, sf_dir):
     """The consensus where corrected spots vote for their new calls."""
-    return feedback.settle(_feed(spark, sf_dir), FEED).decisions.select(*_COLUMNS.split(", "))
+    return feedback.settle(_feed(spark, sf_dir), FEED, keep_tallies=False).decisions.select(*_COLUMNS.split(", "))
 
 
 _PRIORS = [("K1ABC", -1, 3), ("K3ABC", -1, 2), ("K5AB8", -1, 4), ("K7ABC", 14001, 2), ("K9ABC", -1, 1)]
@@ -82,7 +82,7 @@ SELECT fd.event_id, COALESCE(anchor, winner) AS winner, COALESCE(fr.n, winner_su
 def learning_decisions(spark, sf_dir):
     """The consensus where decisions change the quality that later anchors go by."""
     priors = spark.createDataFrame(_PRIORS, "call string, bin long, score long")
-    return feedback.settle(_feed(spark, sf_dir), FEED, votes_back=False, quality_back=True, priors=priors).decisions.select(*_LEARNED.split(", "))
+    return feedback.settle(_feed(spark, sf_dir), FEED, votes_back=False, quality_back=True, priors=priors, keep_tallies=False).decisions.select(*_LEARNED.split(", "))
 
 
 # ---- streams with keyed state: micro-batches whose spots are out of order

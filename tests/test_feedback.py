@@ -127,3 +127,14 @@ def test_spots_without_frequency_time_or_reporter(spark):
     got = {r["event_id"]: r["reason"] for r in correction.decide(correction.tallies(correction.votes(spark.createDataFrame(rows, SPOT), S)), S).collect()}
     assert set(got) == {0, 1, 2, 3, 7, 8, 9, 10} and got[7] == got[8] == "no_reporters"
     assert feedback.settle(spark.createDataFrame([], SPOT), S).decisions.count() == 0
+
+
+def test_a_log_of_rounds_takes_one_anti_join(spark):
+    """The latest row of each spot, by a plan that doesn't grow with the square of the rounds."""
+    log, ids = feedback._Log(), []
+    for k, of in enumerate(([0, 1, 2, 3, 4], [1, 2, 3], [2, 3], [3, 1], [3])):
+        log.tables.append(spark.createDataFrame([(i, k) for i in of], "event_id long, k int"))
+        ids.append(log.tables[-1].select("event_id"))
+    out = log.latest(ids)
+    assert sorted(map(tuple, out.collect())) == [(0, 0), (1, 3), (2, 2), (3, 4), (4, 0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 1
