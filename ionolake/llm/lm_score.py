@@ -8,9 +8,11 @@ prediction). total bits / bytes is bits_per_byte; score is the text's log10 prob
 
 Counts come from every training document: byte (ORDERS+1)-grams are counted in each task, summed by Spark, and turned into slots with
 the grams in context order, so each task meets a context once. The tables have 2^SLOT_BITS slots an order however large the corpus
-is, and are broadcast. The mixer's weights and the map (some thousand numbers) learn online, predict first and update after, along
-MIX_STEPS occurrences drawn from the counted grams; there each occurrence is taken out of the counts before it is predicted, as
-if it had not been seen. After that everything is frozen, so a text's score doesn't depend on its neighbours or its partition.
+is, and are broadcast. The mixer's weights and the map (some thousand numbers) learn from every counted gram, as often as it occurs; there
+each occurrence is taken out of the counts before it is predicted, as if it had not been seen. A gate's weights are a logistic
+regression: STEPS passes over the grams sum its gradient and a bound of its curvature (Jaakkola and Jordan's, so that no step loses) in each
+task, Spark adds them, and the driver solves a system of ORDERS + 1 unknowns a gate; a last pass sums the map. What is learned is rounded, so that the order of sums doesn't show in it.
+After that everything is frozen, so a text's score doesn't depend on its neighbours or its partition.
 
 A byte's probability depends on its last ORDERS bytes alone, so scoring keeps the grams it has evaluated in a table of fixed size,
 which a Python worker keeps over its tasks; what is kept is what is returned, so a score doesn't depend on it. The nodes of
@@ -38,9 +40,11 @@ from .common import LOWER, TOKEN_BYTES, chunks, fold_of, materialise, mix, row_o
 
 ORDERS = 6
 SLOT_BITS = 22
-#: Occurrences that the mixer learns from: a bounded sample of the counted grams.
-MIX_STEPS = 1 << 17
-SAMPLE_GRAMS = 200_000
+#: Passes over the counted grams that the mixer's weights take, and how far each goes: with less than twice the bound's own step none loses.
+STEPS = 4
+STRIDE = 1.9
+#: Occurrences that a gate's first weights, and a cell of the map, count for.
+PRIOR = 50
 HEAVY_BITS = 20
 _MAP = 24
 _HELD_OUT = 1
@@ -49,6 +53,10 @@ _GRAM_PIECE = 3 << 20
 _MEMO_BITS = 21
 _CHUNK = 1 << 19
 _SCORED_AT_ONCE = 1 << 14
+_DIGITS = 6
+#: Pairs of a gate's inputs: the upper triangle, by row.
+_PAIRS = [(i, j) for i in range(ORDERS + 1) for j in range(i, ORDERS + 1)]
+_SLOPES = ORDERS + 1 + len(_PAIRS)
 _PIECE_BITS = 16
 
 
@@ -249,10 +257,11 @@ class Mixer:
         n0, n1 = _COUNT[None, :], _COUNT[:, None]
         self.stretched = np.where(n0 + n1 > 0, np.log((n1 + 0.4) / (n0 + 0.4)), 0).ravel().astype(np.float32)
         self.sure = self._sure(n0 + n1).ravel()
-        self.weights = np.full((64 * (ORDERS + 1), ORDERS + 1), 0.35, np.float64)
-        self.weights[:, ORDERS] = 0
-        centres = _squash((np.arange(_MAP) - (_MAP - 1) / 2) / 1.0)
-        self.map = np.tile(centres, (256, 1))
+        # the same with one zero less, then with one one less
+        less = [(np.maximum(n0 - (1 - bit), 0), np.maximum(n1 - bit, 0)) for bit in (0, 1)]
+        self.stretched_less = np.concatenate([np.where(a + b > 0, np.log((b + 0.4) / (a + 0.4)), 0).ravel() for a, b in less]).astype(np.float32)
+        self.sure_less = np.concatenate([self._sure(a + b).ravel() for a, b in less])
+        self.weights, self.map = self.first()
         self._memo: _Memo | None = None
 
     @staticmethod
@@ -270,63 +279,109 @@ class Mixer:
         lo = f.astype(np.int64)  # f is positive
         return lo, f - lo
 
-    def _learning_inputs(self, gram: np.ndarray, node: np.ndarray, bit: int, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions by order, and the gate, with the bits themselves (one) taken out of the counts."""
-        x, sure = np.ones((len(gram), ORDERS + 1)), np.zeros(len(gram), np.uint8)
-        for order in range(1, ORDERS + 1):
-            pair = self.codes[order - 1][_slots(order, gram, node, bit)]
-            a, b = np.maximum(_COUNT[pair & 255] - (1 - one), 0), np.maximum(_COUNT[pair >> 8] - one, 0)
-            x[:, order - 1] = np.where(a + b > 0, np.log((b + 0.4) / (a + 0.4)), 0)
-            here = self._sure(a + b)
-            sure = np.where(here > 0, here, sure)
-        return x, self._gate(bit, (x[:, :ORDERS] != 0).sum(axis=1), sure)
-
-    def learn(self, gram: np.ndarray) -> None:
-        """Online, 64 occurrences at a time: predict, then update the weights by the error and the map towards the bits."""
-        for step in range(0, len(gram), 64):
-            g = gram[step : step + 64]
-            sym = g & np.uint64(0xFF)
-            lr = 0.02 / (1 + step / 20_000) + 0.002
-            for bit in range(8):
-                node = (np.uint64(1) << np.uint64(bit)) | (sym >> np.uint64(8 - bit))
-                one = ((sym >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.float64)
-                x, gate = self._learning_inputs(g, node, bit, one)
-                s = (x * self.weights[gate]).sum(axis=1)
-                np.add.at(self.weights, gate, lr * (one - _squash(s))[:, None] * x)
-                lo, part = self._buckets(s)
-                i = node.astype(np.int64)
-                np.add.at(self.map, (i, lo), 0.02 * (1 - part) * (one - self.map[i, lo]))
-                np.add.at(self.map, (i, lo + 1), 0.02 * part * (one - self.map[i, lo + 1]))
-
-    def log10(self, gram: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each gram's last byte after the others."""
-        n = len(gram)
-        weights = np.ascontiguousarray(self.weights.T, np.float32)
-        flat_map = self.map.ravel().astype(np.float32)
+    @staticmethod
+    def first() -> tuple[np.ndarray, np.ndarray]:
+        """Weights and map before anything is learned."""
+        weights = np.full((64 * (ORDERS + 1), ORDERS + 1), 0.35, np.float64)
+        weights[:, ORDERS] = 0
+        return weights, np.tile(_squash((np.arange(_MAP) - (_MAP - 1) / 2) / 1.0), (256, 1))
+
+    def adopt(self, weights: np.ndarray, map_: np.ndarray) -> Mixer:
+        """The model with these; what it remembers of others is dropped."""
+        if not (np.array_equal(weights, self.weights) and np.array_equal(map_, self.map)):
+            self.weights, self.map, self._memo = weights, map_, None
+        return self
+
+    def _inputs(self, gram: np.ndarray, less: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each bit: the node, the bit, the stretched predictions by order (until the next bit) and the gate. less: with the bit itself taken out of the counts."""
         sym = (gram & np.uint64(0xFF)).astype(np.int64)
-        x = np.empty((ORDERS, n), np.float32)
-        out = np.ones(n)
+        stretched, sure_of = (self.stretched_less, self.sure_less) if less else (self.stretched, self.sure)
+        x = np.empty((ORDERS, len(gram)), np.float32)
         for half in (0, 4):
             groups = [_group(order, gram, 0 if half == 0 else 16 | (sym >> 4).astype(np.uint64)) for order in range(1, ORDERS + 1)]
             for bit in range(half, half + 4):
-                node = 1 << bit | sym >> (8 - bit)
+                node, one = 1 << bit | sym >> (8 - bit), sym >> (7 - bit) & 1
                 local = 1 << (bit - half) | node & ((1 << (bit - half)) - 1)
-                sure, seen = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+                sure, seen = np.zeros(len(gram), np.uint8), np.zeros(len(gram), np.uint8)
                 for k in range(ORDERS):
                     pair = self.codes[k].take(groups[k] ^ local).astype(np.intp)
-                    self.stretched.take(pair, out=x[k], mode="clip")
-                    here = self.sure.take(pair)
+                    if less:
+                        pair |= one << 16
+                    stretched.take(pair, out=x[k], mode="clip")
+                    here = sure_of.take(pair)
                     np.copyto(sure, here, where=here > 0)
                     seen += x[k] != 0
-                gate = self._gate(bit, seen.astype(np.intp), sure)
-                s = weights[ORDERS].take(gate)
-                for k in range(ORDERS):
-                    s += x[k] * weights[k].take(gate)
-                lo, part = self._buckets(s)
-                lo += node * _MAP
-                refined = flat_map.take(lo) * (1 - part) + flat_map.take(lo + 1) * part
-                p = np.clip((_squash(s) + refined) / 2, 1e-6, 1 - 1e-6)
-                out *= np.where(sym >> (7 - bit) & 1, p, 1 - p)
+                yield node, one, x, self._gate(bit, seen.astype(np.intp), sure)
+
+    @staticmethod
+    def _mixed(weights: np.ndarray, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """weights: by input, then gate."""
+        s = weights[ORDERS].take(gate)
+        for k in range(ORDERS):
+            s += x[k] * weights[k].take(gate)
+        return s
+
+    def slopes(self, gram: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """By gate, over these grams, each c times: the gradient of the log probability by weight, then a bound of its negated curvature by pair of weights (upper triangle)."""
+        weights, n = np.ascontiguousarray(self.weights.T, np.float32), len(self.weights)
+        out = np.zeros((n, _SLOPES))
+        for _, one, x, gate in self._inputs(gram, less=True):
+            s = self._mixed(weights, x, gate)
+            half = np.maximum(np.abs(s), 1e-3) / 2
+            error, curve = c * (one - _squash(s)), c * (np.tanh(half) / (4 * half))
+            rows = [*x, np.ones(len(gram), np.float32)]
+            for k, (i, j) in enumerate(_PAIRS, ORDERS + 1):
+                if i == j:
+                    out[:, i] += np.bincount(gate, error * rows[i], n)
+                    scaled = curve * rows[i]
+                out[:, k] += np.bincount(gate, scaled * rows[j], n)
+        return out
+
+    def stepped(self, slopes: np.ndarray) -> np.ndarray:
+        """The weights after a step by these; a gate's first weights count for PRIOR occurrences."""
+        start = self.first()[0]
+        curve = np.zeros((len(start), ORDERS + 1, ORDERS + 1))
+        for k, (i, j) in enumerate(_PAIRS, ORDERS + 1):
+            curve[:, i, j] = curve[:, j, i] = slopes[:, k]
+        curve += PRIOR * np.eye(ORDERS + 1)
+        step = np.linalg.solve(curve, (slopes[:, : ORDERS + 1] - PRIOR * (self.weights - start))[:, :, None])[:, :, 0]
+        return np.round(self.weights + STRIDE * step, _DIGITS)
+
+    def cells(self, gram: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """By known bits, over these grams, each c times: the occurrences in each bucket of the map, then how many of them are ones."""
+        weights = np.ascontiguousarray(self.weights.T, np.float32)
+        out = np.zeros((2, 256 * _MAP))
+        for node, one, x, gate in self._inputs(gram, less=True):
+            lo, part = self._buckets(self._mixed(weights, x, gate))
+            lo += node * _MAP
+            for at, share in ((lo, c * (1 - part)), (lo + 1, c * part)):
+                out[0] += np.bincount(at, share, 256 * _MAP)
+                out[1] += np.bincount(at, share * one, 256 * _MAP)
+        return np.hstack(out.reshape(2, 256, _MAP))
+
+    def mapped(self, cells: np.ndarray) -> np.ndarray:
+        """The map of these cells; its first value counts for PRIOR occurrences."""
+        return np.round((PRIOR * self.first()[1] + cells[:, _MAP:]) / (PRIOR + cells[:, :_MAP]), _DIGITS)
+
+    def learn(self, gram: np.ndarray, c: np.ndarray | None = None) -> None:
+        """What train() does, on grams at hand."""
+        c = np.ones(len(gram)) if c is None else c
+        for _ in range(STEPS):
+            self.adopt(self.stepped(self.slopes(gram, c)), self.map)
+        self.adopt(self.weights, self.mapped(self.cells(gram, c)))
+
+    def log10(self, gram: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each gram's last byte after the others."""
+        weights = np.ascontiguousarray(self.weights.T, np.float32)
+        flat_map = self.map.ravel().astype(np.float32)
+        out = np.ones(len(gram))
+        for node, one, x, gate in self._inputs(gram):
+            s = self._mixed(weights, x, gate)
+            lo, part = self._buckets(s)
+            lo += node * _MAP
+            refined = flat_map.take(lo) * (1 - part) + flat_map.take(lo + 1) * part
+            p = np.clip((_squash(s) + refined) / 2, 1e-6, 1 - 1e-6)
+            out *= np.where(one, p, 1 - p)
         return np.log10(out)
 
     def memo(self) -> _Memo:
@@ -356,29 +411,55 @@ class _Memo:
         return out
 
 
-def train(counts: DataFrame) -> Mixer:
-    """The model from the counts of _training_counts()."""
-    grams = counts.where("kind = 1")
-    n_grams = grams.count()
+def _summed(grams: DataFrame, model, weights: np.ndarray, map_: np.ndarray, what: str, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of the model's slopes() or cells() over all grams: a task hands on a row for each gate or node."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, out, held, size = getattr(model.value.adopt(weights, map_), what), np.zeros(shape), [], 0
+
+        def taken() -> np.ndarray:
+            k, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            o = np.argsort(k)  # like contexts together
+            return of(k[o].view(np.uint64), c[o].astype(np.float64))
+
+        for b in batches:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            size += b.num_rows
+            if size >= _SCORED_AT_ONCE:
+                out += taken()
+                held, size = [], 0
+        if held:
+            out += taken()
+        at = np.flatnonzero(out.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(x) for x in out[at].T)], names=names)
+
+    names = ["at", *(f"x{k}" for k in range(shape[1]))]
+    rows = grams.mapInArrow(sums, "at int, " + ", ".join(f"{x} double" for x in names[1:])).groupBy("at").agg(*[F.sum(x).alias(x) for x in names[1:]]).toArrow()
+    total = np.zeros(shape)
+    total[rows.column("at").to_numpy()] = np.stack([rows.column(x).to_numpy() for x in names[1:]], axis=1)
+    return total
+
+
+def train(counts: DataFrame):
+    """From the counts of _training_counts(): the model as a broadcast that has learned nothing yet, and the weights and map to adopt()."""
+    grams = counts.where("kind = 1").select("k", "c")
     codes = np.zeros(((ORDERS << SLOT_BITS) >> _PIECE_BITS, 1 << _PIECE_BITS, 2), np.uint8)
     for r in _slot_pieces(grams).select("piece", "slots").toLocalIterator():
         codes[r["piece"]] = np.frombuffer(r["slots"], np.uint8).reshape(2, -1).T
     model = Mixer(np.moveaxis(codes.reshape(ORDERS, -1, 2), -1, 0))
-    share = min(1.0, SAMPLE_GRAMS / max(1, n_grams))
-    drawn = grams.where(F.pmod(F.xxhash64("k", F.lit(7)), F.lit(1 << 30)) <= int(share * (1 << 30))).select("k", "c").limit(2 * SAMPLE_GRAMS).toArrow()
-    k, c = drawn.column("k").to_numpy(), drawn.column("c").to_numpy().astype(np.float64)
-    if len(k):
-        o = np.argsort(k)
-        k, c = k[o].view(np.uint64), c[o]
-        model.learn(k[np.random.default_rng(11).choice(len(k), MIX_STEPS, p=c / c.sum())])
-    return model
+    shared = counts.sparkSession.sparkContext.broadcast(model)
+    weights, map_ = model.first()
+    for _ in range(STEPS):
+        weights = model.adopt(weights, map_).stepped(_summed(grams, shared, weights, map_, "slopes", (len(weights), _SLOPES)))
+    map_ = model.mapped(_summed(grams, shared, weights, map_, "cells", (256, 2 * _MAP)))
+    return shared, weights, map_
 
 
-def _scored(docs: DataFrame, model, heavy) -> DataFrame:
+def _scored(docs: DataFrame, trained, heavy) -> DataFrame:
     """By row: doc_id, held_out, n_tokens, n_bytes, score, and what the broadcast token counts give of the base (known, log_sum); rest and rest_n: the other tokens."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = model.value.memo()
+        memo = model.value.adopt(weights, map_).memo()
         keys, logs = heavy.value
         for b in batches:
             for lo, hi, data, offs in chunks(*string_buffer(b.column(2)), _CHUNK):
@@ -403,6 +484,7 @@ def _scored(docs: DataFrame, model, heavy) -> DataFrame:
                     "known": pa.array(known), "log_sum": pa.array(log_sum.astype(np.float64)), "rest": pa.ListArray.from_arrays(cuts, pa.array(h[new].view(np.int64))), "rest_n": pa.ListArray.from_arrays(cuts, pa.array(times)),
                 })
 
+    model, weights, map_ = trained
     held = F.coalesce(fold_of("doc_id") == _HELD_OUT, F.lit(False))
     return docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_bytes long, score double, known long, log_sum double, rest array<long>, rest_n array<int>")
 
@@ -419,8 +501,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     keys, logs = often.column("k").to_numpy().view(np.uint64), np.log10(often.column("c").to_numpy() + 0.5)
     o = np.argsort(keys)
     heavy = spark.sparkContext.broadcast((keys[o], logs[o]))
-    model = spark.sparkContext.broadcast(train(counts))
-    scored = materialise(_scored(docs, model, heavy).withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = materialise(_scored(docs, train(counts), heavy).withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = scored.select("row", F.explode(F.arrays_zip("rest", "rest_n")).alias("x")).select("row", F.col("x.rest").alias("k"), F.col("x.rest_n").alias("times"))
     c = F.coalesce("c", F.lit(0))
     light = tokens.where(F.col("c") <= floor)

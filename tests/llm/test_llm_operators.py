@@ -544,6 +544,35 @@ def test_grams_and_packing():
 # 8
 
 
+def test_mixer_learns_from_every_counted_gram(spark):
+    """In Spark as at hand, and a gram that occurs three times counts three times."""
+    rows = [(i, f"cq de k{i % 7}abc at 14025.{i % 10} khz" + " test" * (i % 5)) for i in range(200)]
+    counts = lm_score._training_counts(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    shared, weights, map_ = lm_score.train(counts)
+    held = counts.where("kind = 1").toArrow()
+    gram, c = held.column("k").to_numpy().view(np.uint64), held.column("c").to_numpy()
+    a, b = lm_score.Mixer(np.moveaxis(shared.value.codes.view(np.uint8).reshape(*shared.value.codes.shape, 2), -1, 0)), shared.value
+    a.learn(gram, c.astype(float))
+    assert np.abs(a.weights - weights).max() < 1e-3 and np.abs(a.map - map_).max() < 1e-3
+    assert (weights != lm_score.Mixer.first()[0]).any() and (map_ != lm_score.Mixer.first()[1]).any()
+    some = slice(0, 300)
+    b.adopt(*b.first()).learn(gram[some], c[some].astype(float))
+    at_once = b.weights
+    b.adopt(*b.first()).learn(np.repeat(gram[some], c[some]))
+    assert np.abs(b.weights - at_once).max() < 1e-3
+    w = at_once.copy()
+    for _ in range(3):  # no step loses
+        before = _loss(b.adopt(w, b.map), gram, c)
+        w = b.stepped(b.slopes(gram, c.astype(float)))
+        assert _loss(b.adopt(w, b.map), gram, c) <= before + 1e-6
+
+
+def _loss(model, gram, c):
+    weights = model.weights.T.astype(np.float32)
+    start = ((model.weights - model.first()[0]) ** 2).sum() * lm_score.PRIOR / 2
+    return start + sum((c * np.log1p(np.exp(np.where(one, -1, 1) * model._mixed(weights, x, gate)))).sum() for _, one, x, gate in model._inputs(gram, less=True))
+
+
 def test_token_counts(spark, docs, empty):
     r = token_counts.section_counts(docs).toPandas()
     assert r.groupby(["doc_id", "section"], dropna=False).size().max() == 2  # the repeated row
