@@ -138,3 +138,28 @@ def test_a_log_of_rounds_takes_one_anti_join(spark):
     out = log.latest(ids)
     assert sorted(map(tuple, out.collect())) == [(0, 0), (1, 3), (2, 2), (3, 4), (4, 0)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 1
+
+
+@pytest.mark.parametrize("start", [0, 3], ids=str)
+def test_qualities_by_slices_of_time_are_those_in_one_go(spark, start):
+    """A crowded bin is cut into slices that are folded side by side, again where a start moved a comparison; a loop over the spots gives the same anchors."""
+    rng, tally, decided, want, scores = random.Random(5 + start), [], [], {}, {}
+    names = ["K1ABC", "K1ABD", "K1ABE", "K1XYZ"]
+    for i in range(400):
+        subject, calls = rng.choice(names), rng.sample(names, 3)
+        winner, applied, khz = rng.choice(calls), rng.random() < 0.6, 14000.2 + i % 2
+        tally += [(i, i // 3, subject, "CW", c, khz) for c in calls]
+        decided.append((i, winner, "applied" if applied else "rejected"))
+        priors = {"K1ABD": start}
+        near = sorted((levenshtein(subject, c), c) for c in calls if c != subject and levenshtein(subject, c) <= 2 and scores.get((i % 2, c), priors.get(c, 0)) >= 2)
+        if near:
+            want[i] = winner = near[0][1]
+        for c in calls if applied or near else []:
+            scores[i % 2, c] = scores.get((i % 2, c), 0) + (2 if c == winner else -1)
+    t = spark.createDataFrame(tally, "event_id long, t long, subject string, mode string, cand string, freq_khz double")
+    d = spark.createDataFrame(decided, "event_id long, winner string, decision string")
+    p = spark.createDataFrame([("K1ABD", -1, start)], "call string, bin long, score long")
+    s = Settings(max_distance=2, good_quality=2)
+    for size in (11, 1000):
+        got = feedback.learned_anchors(t, d, s, p, gain=2, size=size).collect()
+        assert {r["event_id"]: r["anchor"] for r in got} == want and len(got) == len(want) > 20
