@@ -33,6 +33,17 @@ def test_fixed_line(spark):
         assert len(line) == 78 and line.endswith("FN20 V 0454Z") and line[65] == " " and line[:25].endswith("14074.0") and line[39:].startswith("FT8 -5 dB")
 
 
+def test_keyed_distances_read_their_rows_once(spark, tmp_path):
+    rows = [("CW", "E1A", "H1A"), ("RTTY", "K1AB6C", "K1A86C"), ("SSB", "E1A", "H1A"), ("CW", None, "H1A"), ("RTTY", "E1A", None), (None, "E1A", "H1A")] * 3
+    spark.createDataFrame(rows, "mode string, a string, b string").write.parquet(str(tmp_path / "t"))
+    t = distance.with_distance(spark.read.parquet(str(tmp_path / "t")), "a", "b", "mode")
+    models = {"CW": "morse", "RTTY": "baudot"}
+    want = [(m, a, b, None if a is None or b is None else distance.call_distance(a, b, models.get(m, "plain"))) for m, a, b in rows]
+    assert sorted(map(repr, (tuple(r) for r in t.collect()))) == sorted(map(repr, want))
+    plan = t._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 1 and "Join" not in plan.toString()
+
+
 def test_distances(spark):
     d = distance.call_distance
     assert d("E1A", "H1A", "morse") == 2 and d("E1A", "H1A") == 1 and d("K1ABC", "K1A8C") == 1 and d("K1AB6C", "K1A86C", "baudot") > d("K1AB6C", "K1A86C")
