@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from ionolake.operators import correction
 
 SF = "/root/testdata/sf0.01"
-NAMES = ["pipeline_counts", "spot_pipeline"]
+NAMES = ["pipeline_counts", "spot_pipeline", "anchored_decisions"]
 
 
 def rows(df, cols):
