@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from ionolake.operators import correction
 
 SF = "/root/testdata/sf0.01"
-NAMES = ["pipeline_counts", "spot_pipeline", "anchored_decisions"]
+NAMES = ["pipeline_counts", "spot_pipeline", "anchored_decisions", "d1_against_d3"]
 
 
 def rows(df, cols):
