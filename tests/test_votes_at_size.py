@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from ionolake.operators import correction
 
 SF = "/root/testdata/sf0.01"
-NAMES = ["pipeline_counts", "spot_pipeline", "anchored_decisions", "d1_against_d3", "d3_scenarios", "daily_summary", "frequent_pairs"]
+NAMES = ["pipeline_counts", "spot_pipeline", "anchored_decisions", "d1_against_d3", "d3_scenarios", "daily_summary", "frequent_pairs", "headroom"]
 
 
 def rows(df, cols):
