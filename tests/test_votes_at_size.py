@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from ionolake.operators import correction
 
 SF = "/root/testdata/sf0.01"
-NAMES = ["pipeline_counts", "spot_pipeline", "feed_decisions", "anchored_decisions", "d1_against_d3", "d3_scenarios", "daily_summary", "frequent_pairs", "headroom", "m1c_by_distance"]
+NAMES = ["pipeline_counts", "spot_pipeline", "feed_decisions", "anchored_decisions", "d1_against_d3", "d3_scenarios", "daily_summary", "decision_reasons", "frequent_pairs", "headroom", "m1c_by_distance"]
 
 
 def rows(df, cols):
