@@ -34,3 +34,11 @@ def test_no_task_holds_most_votes(spark, monkeypatch, name):
     else:
         monkeypatch.setattr(correction, "PAIRS", 1 << 40)
         assert got == rows(query(spark, SF), cols)
+
+
+def test_voters_are_copied_in_many_tasks(spark, monkeypatch):
+    seen, sides = [], correction._sides
+    monkeypatch.setattr(correction, "_sides", lambda *a: seen.append(sides(*a)) or seen[-1])
+    monkeypatch.setattr(correction, "PAIRS", 1 << 14)
+    entry.queries()["feed_decisions"](spark, SF)
+    assert seen[0][1].rdd.getNumPartitions() > correction.FEW >= spark.read.parquet(f"{SF}/events.parquet").rdd.getNumPartitions()
