@@ -158,12 +158,19 @@ def read_skew(spark: SparkSession, path: str, min_spots: int = 0) -> DataFrame:
 
 
 def read_skew_json(spark: SparkSession, path: str) -> DataFrame:
-    """call, skew_hz, spots, factor of a skew file, a JSON array or JSON lines (a row for each reporter, so a file is read whole); factors of 1 drop."""
-    one = "struct<callsign:string,skew_hz:double,spots:bigint,correction_factor:double>"
-    text = F.trim("value")
-    lines = F.transform(F.filter(F.split(text, "\\R"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, one))
-    rows = F.when(text.startswith("["), F.from_json(text, f"array<{one}>")).otherwise(lines)
-    x = spark.read.text(path, wholetext=True).select(F.explode(rows).alias("x")).select("x.*")
+    """call, skew_hz, spots, factor of skew files, JSON arrays or JSON lines; factors of 1 drop. Entries are flat, so files are cut at closing braces, wherever their lines end, and read by many tasks. A file where that doesn't give whole entries (a brace in
+    a name, a nested field) is read in one piece; which these are takes a pass over all."""
+    one = "callsign:string,skew_hz:double,spots:bigint,correction_factor:double"
+    piece = F.regexp_replace("value", r"^[\s,\[\]]+", "")
+    entry = F.from_json(F.concat(piece, F.lit("}")), f"struct<{one},_bad:string>", {"columnNameOfCorruptRecord": "_bad"})
+    x = spark.read.text(path, lineSep="}").where(piece != "").select(F.col("_metadata.file_path").alias("_file"), entry.alias("x")).select("_file", "x.*")
+    odd = [r["_file"] for r in x.where("_bad is not null").select("_file").distinct().collect()]  # names of files
+    if odd:
+        text = F.trim("value")
+        lines = F.transform(F.filter(F.split(text, "\\R"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, f"struct<{one}>"))
+        rows = F.when(text.startswith("["), F.from_json(text, f"array<struct<{one}>>")).otherwise(lines)
+        whole = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_path").isin(odd)).select(F.explode(rows).alias("x")).select("x.*")
+        x = x.where(~F.col("_file").isin(odd)).drop("_file", "_bad").unionByName(whole)
     return x.select(F.upper(F.trim("callsign")).alias("call"), "skew_hz", "spots", F.col("correction_factor").alias("factor")).where("call is not null and factor <> 1")
 
 

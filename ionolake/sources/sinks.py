@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,21 +60,29 @@ def append_history(spots: DataFrame, path: str, order: tuple[str, str] = ("t", "
     held.withColumn("_rank", rank).join(starts, "hour").withColumn("spot_id", (F.col("_start") + F.col("_rank")).cast("long")).drop("_start", "_rank").write.mode("append").partitionBy("hour").parquet(path)
 
 
+#: Rows of a skew file.
+SKEW_ROWS = 1 << 18
+
+
 def write_skew_json(skew: DataFrame, path: str) -> None:
-    """The skew table (call, skew_hz, spots, factor) as one JSON array in one file, by call: a row for each reporter. Without rows: an error, as such a file can't be used."""
+    """The skew table (call, skew_hz, spots, factor) as a JSON array, by call: a row for each reporter. A table of more than SKEW_ROWS rows becomes several files, written side by side, each an array of the calls between those of the files before and after
+    it. Without rows: an error, as such a file can't be used."""
     rows = skew.select(F.col("call").alias("callsign"), "skew_hz", "spots", F.col("factor").alias("correction_factor"))
-    if rows.isEmpty():
+    n = -(-rows.count() // SKEW_ROWS)
+    if n == 0:
         raise ValueError("no skew entries to write")
 
     def array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = "["
+        held = "["  # the line that is followed by a comma, or by the end
         for b in batches:
-            for line in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_pydict({"value": pa.array([held])})
-                held = f"  {line},"
-        yield pa.RecordBatch.from_pydict({"value": pa.array([held[:-1], "]"])})
-
-    lines = rows.coalesce(1).sortWithinPartitions("callsign").select(F.to_json(F.struct("*")).alias("value"))
+            if b.num_rows:
+                lines = pc.binary_join_element_wise("  ", b.column(0), ",", "")
+                yield pa.RecordBatch.from_pydict({"value": pa.concat_arrays([pa.array([held], lines.type), lines[:-1]])})
+                held = lines[-1].as_py()
+        yield pa.RecordBatch.from_pydict({"value": pa.array(["[]"] if held == "[" else [held[:-1], "]"])})
+
+    dealt = rows.coalesce(1) if n == 1 else rows.repartitionByRange(n, "callsign")
+    lines = dealt.sortWithinPartitions("callsign").select(F.to_json(F.struct("*")).alias("value"))
     lines.mapInArrow(array, "value string").write.mode("overwrite").text(path)
 
 

@@ -133,3 +133,35 @@ def test_composed_run_with_all_its_tables(spark):
     assert got[6]["dx"]["grid"] == "FN21" and got[7]["de"]["grid"] == "EN80" and got[7]["dx"]["grid"] is None
     updates = {r["call"]: r for r in pipeline.call_updates(judged, table([("K9ZZ",)], "call string")).collect()}
     assert updates["K1ABC"]["grid"] == "FN21" and updates["K1ABC"]["observations"] == 6 and updates["K9ZZ"]["is_known"] == 1 and updates["K9ZZ"]["grid"] is None
+
+
+def test_large_skew_tables_are_written_and_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    import json
+
+    monkeypatch.setattr(sinks, "SKEW_ROWS", 100, raising=False)
+    t = spark.range(1000).selectExpr("concat('K', 1000 + id) as call", "id / 2D as skew_hz", "id as spots", "1 + id / 1000000D as factor")
+    path = tmp_path / "skew"
+    sinks.write_skew_json(t, str(path))
+    arrays = [[r["callsign"] for r in json.loads(p.read_text())] for p in sorted(path.glob("part-*"))]
+    assert len(arrays) >= 8 and max(map(len, arrays)) <= 300 and sum(arrays, []) == [f"K{1000 + i}" for i in range(1000)]
+    got = feeds.read_skew_json(spark, str(path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, t.where("factor <> 1").collect()))
+    (tmp_path / "large.json").write_text("[\n" + ",\n".join("  " + json.dumps({"callsign": f"K{i}", "correction_factor": 1.5}) for i in range(3000)) + "\n]\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = feeds.read_skew_json(spark, str(tmp_path / "large.json"))
+        assert got.rdd.getNumPartitions() > 4 and {r["call"] for r in got.collect()} == {f"K{i}" for i in range(3000)} and got.count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_skew_files_of_all_forms(spark, tmp_path):
+    """Entries over several lines as the source's writer indents them, all in one line, and those that can't be cut at braces."""
+    import json
+
+    rows = [{"callsign": "w3lpl", "correction_factor": 1.5}, {"callsign": "K1A}B", "correction_factor": 1.25}, {"callsign": "N0ONE", "correction_factor": 1.0}, {"callsign": "K2A", "skew_hz": 2.0, "correction_factor": 0.5, "more": {"a": 1}}]
+    for k, (text, want) in enumerate([(json.dumps(rows[::2], indent=2), {"W3LPL"}), (json.dumps(rows[::2]), {"W3LPL"}), (json.dumps(rows), {"W3LPL", "K1A}B", "K2A"}), (json.dumps(rows, indent=2), {"W3LPL", "K1A}B", "K2A"}), ("\n".join(map(json.dumps, rows)) + "\n", {"W3LPL", "K1A}B", "K2A"}), ("[]", set())]):
+        (tmp_path / f"{k} x").mkdir()
+        (tmp_path / f"{k} x" / "skew file.json").write_text(text)
+        (tmp_path / f"{k} x" / "other.json").write_text(json.dumps([{"callsign": "K9Z", "correction_factor": 2.5}]))
+        assert sorted(r["call"] for r in feeds.read_skew_json(spark, str(tmp_path / f"{k} x")).collect()) == sorted(want | {"K9Z"}), text
