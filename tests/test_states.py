@@ -136,3 +136,52 @@ def test_a_zone_holds_a_window_and_goes_with_its_tick():
     out = pd.concat(list(zone.handleExpiredTimer((28000, tick), Times((end - 4) * 1000), None)))
     assert sorted(out["rep"]) == ["W1A", "W2A"] and len(handle.held) == 2 and handle.timers[-1] == end * 1000
     assert not list(zone.handleExpiredTimer((28000, tick), Times(end * 1000), None)) and not handle.held
+
+
+def test_a_crowded_zone_gives_its_spots_once(spark):
+    """No pair of spots is made in Python, and what a micro-batch brings is one value of the state."""
+    import pandas as pd
+
+    class Held(list):
+        appendList = list.extend
+        get = list.copy
+
+        def put(self, rows):
+            self[:] = rows
+
+    class Handle:
+        held = Held()
+        getListState = lambda self, name, schema: self.held
+        registerTimer = lambda self, at: None
+
+    class Times:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    zone = states._Zone(S)
+    zone.init(Handle())
+    rows = [(i, 420 + i % 59, 14000.0, 140000, f"W{i % 9}A", "K1ABC", "CW", 500.0, True, True, i % 3 > 0) for i in range(600)]
+    list(zone.handleInputRows((28000, 7), iter([pd.DataFrame(rows, columns=[c.split()[0] for c in states._SPOT.split(", ")])]), Times(0)))
+    assert len(zone.held) == 1
+    first = pd.concat(zone.handleExpiredTimer((28000, 7), Times(450_000), None))
+    second = pd.concat(zone.handleExpiredTimer((28000, 7), Times(479_000), None))
+    assert len(first) <= 600 and len(second) == 600
+    ready = [set(x.loc[x["ready"], "event_id"]) for x in (first, second)]
+    assert ready[0] == {r[0] for r in rows if r[-1] and r[1] <= 450} and ready[1] == {r[0] for r in rows if r[-1] and r[1] > 450}
+    assert not list(zone.handleExpiredTimer((28000, 7), Times(479_500), None))
+
+
+def test_spots_at_the_edges_of_spans(spark, tmp_path, monkeypatch):
+    from dataclasses import replace
+
+    monkeypatch.setattr(states, "SPAN", 2, raising=False)
+    s, rows = replace(S, window=20), [r for r in inputs(4) if r[6] != "FT8"]
+    parts = [*shuffled_parts(rows, 3, 40), [(10**6, 2000, 14000.0, "W1END", "K0END", 9, "CW")], [(10**6 + 1, 4000, 14000.0, "W1END", "K0END", 9, "CW")]]
+    states.consensus(stream_of(spark, tmp_path, parts, SPOT), s, str(tmp_path / "out"), str(tmp_path / "progress"), lateness="60 seconds")
+    columns = ("event_id", "winner", "winner_support", "runner_up_support", "subject_support", "total", "conf", "distance", "reason")
+    got = spark.read.parquet(str(tmp_path / "out")).where("event_id < 1000000").select(*columns)
+    want = correction.decide(correction.tallies(correction.votes(spark.createDataFrame(rows, SPOT), s)), s).select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == len(rows)
